@@ -11,8 +11,9 @@ so a very popular object costs no more than a rare one, and pairs of detections
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skytable.functions import coords
@@ -20,41 +21,59 @@ from skytable.operators.ranking import arrival_rank, renumber
 from skytable.session import cut_lineage
 
 AROUND = list(range(-2, 3))
+WHOLE_CIRCLE = 360.0
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """One row per cell within two steps."""
+    """One row per cell within two steps of the own one; ``ring`` > 0 closes the first axis."""
     steps = F.array(*[F.lit(s) for s in AROUND])
-    return (
-        df.withColumn("_du", F.explode(steps))
-        .withColumn("_dv", F.explode(steps))
-        .withColumn("cu", F.col("cu") + F.col("_du"))
-        .withColumn("cv", F.col("cv") + F.col("_dv"))
-        .drop("_du", "_dv")
-    )
+    moved = df.withColumn("_du", F.explode(steps)).withColumn("_dv", F.explode(steps))
+    u = F.col("cu") + F.col("_du")
+    u = F.when(F.col("ring") > 0, F.pmod(u, F.col("ring"))).otherwise(u)
+    return moved.withColumn("cu", u).withColumn("cv", F.col("cv") + F.col("_dv")).drop("_du", "_dv")
+
+
+CELL = ["level", "cu", "cv"]
+
+
+def _founders_nearby(founders: DataFrame, shown: list[str]) -> DataFrame:
+    """Per cell the founders of the cells around it. A cell (and size class) has one founder, so the lists are short."""
+    return _spread(founders).groupBy(*CELL).agg(F.collect_list(F.struct("seq", *shown)).alias("near"))
 
 
-def _founders_nearby(founders: DataFrame) -> DataFrame:
-    """Per cell the founders of the cells around it: one per cell, so at most 25."""
-    return _spread(founders).groupBy("cu", "cv").agg(F.collect_list(F.struct("seq", "ra", "dec")).alias("near"))
+def _seen_from(items: DataFrame, grids: Column) -> DataFrame:
+    """One row per grid in use, with the item's cell on that grid. ``grids``: array of (level, cu, cv) structs."""
+    return items.withColumn("_grid", F.explode(grids)).select(
+        *[c for c in items.columns if c not in CELL], F.col("_grid.level").alias("level"), "_grid.cu", "_grid.cv"
+    )
+
 
+def first_come_groups(items: DataFrame, grids: Column, shown: list[str], match: Callable[[Column], Column]) -> DataFrame:
+    """The sequential rule in parallel rounds: (seq, home) per item, where home is its group's first item.
 
-def find_founders(positions: DataFrame, arcsec: float) -> DataFrame:
-    """Positions that start a group. ``positions``: distinct (ra, dec) with their first ``seq`` and cell."""
+    ``items``: unique ``seq``, own cell (level, cu, cv), ``kind`` so that items of one cell and kind always match,
+    ``ring``, and the ``shown`` columns that ``match`` reads. ``grids``: the item's cells on all grids in use.
+    """
     founders = None
-    open_rows = cut_lineage(positions)
+    items = cut_lineage(items)
+    open_rows = items
     while True:
-        first = open_rows.groupBy("cu", "cv").agg(F.min(F.struct("seq", "ra", "dec")).alias("c")).select("cu", "cv", "c.*")
-        around = _spread(first.select("cu", "cv", "seq")).groupBy("cu", "cv").agg(F.min("seq").alias("earliest"))
-        sure = first.join(around, ["cu", "cv"]).filter("seq = earliest").select("cu", "cv", "seq", "ra", "dec")
-        sure = cut_lineage(sure)
+        first = open_rows.groupBy(*CELL, "ring", "kind").agg(F.min(F.struct("seq", *shown)).alias("c"))
+        first = first.select(*CELL, "ring", "kind", "c.*")
+        earliest = _spread(first.select(*CELL, "ring", "seq")).groupBy(*CELL).agg(F.min("seq").alias("earliest"))
+        rival = _seen_from(first, grids).join(earliest, CELL).groupBy("seq").agg(F.min("earliest").alias("earliest"))
+        sure = cut_lineage(first.join(rival.filter("seq = earliest").select("seq"), "seq", "left_semi"))
         founders = sure if founders is None else founders.unionByName(sure)
-        near = _founders_nearby(sure)
-        match = F.exists("near", lambda f: coords.flat_match(F.col("ra"), F.col("dec"), f["ra"], f["dec"], arcsec))
-        left = open_rows.join(near, ["cu", "cv"], "left").filter(~F.coalesce(match, F.lit(False))).drop("near")
-        open_rows = cut_lineage(left)
+        hit = F.exists("near", match)
+        # At most one row per item and grid, however many detections share a place.
+        covered = _seen_from(open_rows, grids).join(_founders_nearby(sure, shown), CELL).filter(hit).select("seq").distinct()
+        open_rows = cut_lineage(open_rows.join(covered, "seq", "left_anti"))
         if open_rows.isEmpty():
-            return founders
+            break
+    # Structs order by their first field, so the least one is the earliest founder.
+    home = F.array_min(F.filter("near", match))
+    placed = _seen_from(items, grids).join(_founders_nearby(founders, shown), CELL).withColumn("home", home)
+    return placed.filter("home is not null").groupBy("seq").agg(F.min("home").alias("home"))
 
 
 def group_detections(detections: DataFrame, arcsec: float = 1.0) -> DataFrame:
@@ -66,20 +85,77 @@ def group_detections(detections: DataFrame, arcsec: float = 1.0) -> DataFrame:
     positions = (
         detections.groupBy("ra", "dec")
         .agg(F.min("seq").alias("seq"))
+        .withColumn("level", F.lit(0))
         .withColumn("cu", F.floor(F.col("ra") / side).cast("bigint"))
         .withColumn("cv", F.floor(F.col("dec") / side).cast("bigint"))
+        .withColumn("ring", F.lit(0).cast("bigint"))
+        .withColumn("kind", F.lit(0))
     )
     positions = cut_lineage(positions)
-    founders = find_founders(positions, arcsec)
-    fit = F.filter("near", lambda f: coords.flat_match(F.col("ra"), F.col("dec"), f["ra"], f["dec"], arcsec))
-    # Structs order by their first field, so the least one is the earliest founder.
-    home = F.array_min(fit)
-    placed = positions.join(_founders_nearby(founders), ["cu", "cv"]).select(
-        "ra", "dec", home["seq"].alias("group_seq"), home["ra"].alias("group_ra"), home["dec"].alias("group_dec")
+    match = lambda f: coords.flat_match(F.col("ra"), F.col("dec"), f["ra"], f["dec"], arcsec)
+    homes = first_come_groups(positions, F.array(F.struct("level", "cu", "cv")), ["ra", "dec"], match)
+    placed = positions.select("seq", "ra", "dec").join(homes, "seq").select(
+        "ra", "dec", F.col("home.seq").alias("group_seq"), F.col("home.ra").alias("group_ra"), F.col("home.dec").alias("group_dec")
     )
     return detections.join(placed, ["ra", "dec"])
 
 
+def group_by_footprint(detections: DataFrame, size_fraction: float = 0.5, size_floor: float = 1.0) -> DataFrame:
+    """In arrival order a detection joins the first group whose footprint contains it and whose size is similar.
+
+    ``detections``: unique ``seq``, (ra, dec), half sides ``half_ra``, ``half_dec`` of the footprint in degrees (below
+    16) and ``size`` in arcsec, which may be null. RA wraps. Adds ``group_seq``. A footprint's grid is the largest
+    power of two that fits its half sides, so one cell and size class holds one group at most.
+    """
+    same = ["ra", "dec", "half_ra", "half_dec", "size"]
+    power = lambda c: F.floor(F.log2(F.col(c))).cast("int")
+    checked = F.when((F.col("half_ra") < 16) & (F.col("half_dec") < 16), power("half_ra")).otherwise(
+        F.raise_error(F.lit("footprints must be smaller than 16 degrees")).cast("int")
+    )
+    size_class = F.floor(F.log(F.col("size")) / math.log(1.0 + size_fraction * (1 - 1e-9))).cast("bigint")
+
+    def cell(lx: Column, ly: Column) -> tuple[Column, Column]:
+        return (
+            F.floor(F.pmod(F.col("ra"), F.lit(WHOLE_CIRCLE)) * F.pow(F.lit(2.0), -lx)).cast("bigint"),
+            F.floor(F.col("dec") * F.pow(F.lit(2.0), -ly)).cast("bigint"),
+        )
+
+    # Copies in every respect share their fate; the first stands for all.
+    items = detections.groupBy(*same).agg(F.min("seq").alias("seq")).withColumn("_lx", checked).withColumn("_ly", power("half_dec"))
+    # A power of two below 16 degrees divides the circle, so the ring has a whole number of cells.
+    items = (
+        items.withColumn("level", F.struct(F.col("_lx").alias("lx"), F.col("_ly").alias("ly")))
+        .withColumn("cu", cell(F.col("_lx"), F.col("_ly"))[0])
+        .withColumn("cv", cell(F.col("_lx"), F.col("_ly"))[1])
+        .withColumn("ring", (F.lit(WHOLE_CIRCLE) * F.pow(F.lit(2.0), -F.col("_lx"))).cast("bigint"))
+        .withColumn("kind", F.coalesce(F.when(F.col("size") > 0, size_class), F.lit(-(1 << 40)).cast("bigint")))
+        .drop("_lx", "_ly")
+    )
+    items = cut_lineage(items)
+    # Powers of two of plausible half sides: a handful of rows whatever the table holds.
+    used = [(r[0], r[1]) for r in items.select("level.lx", "level.ly").distinct().collect()]
+    grids = F.array(
+        *[
+            F.struct(
+                F.struct(F.lit(lx).alias("lx"), F.lit(ly).alias("ly")).alias("level"),
+                cell(F.lit(lx), F.lit(ly))[0].alias("cu"),
+                cell(F.lit(lx), F.lit(ly))[1].alias("cv"),
+            )
+            for lx, ly in used
+        ]
+    )
+
+    def match(f: Column) -> Column:
+        gap = F.abs(F.pmod(F.col("ra") - f["ra"] + 180.0, F.lit(WHOLE_CIRCLE)) - 180.0)
+        inside = (gap <= f["half_ra"]) & (F.abs(F.col("dec") - f["dec"]) <= f["half_dec"])
+        return (f["seq"] <= F.col("seq")) & inside & coords.similar_size(f["size"], F.col("size"), size_fraction, size_floor)
+
+    homes = first_come_groups(items, grids, same, match)
+    placed = items.join(homes, "seq").select(*same, F.col("home.seq").alias("group_seq"))
+    keys = [detections[c].eqNullSafe(placed[c]) for c in same]
+    return detections.join(placed, keys).select(*[detections[c] for c in detections.columns], "group_seq")
+
+
 def with_group_ids(grouped: DataFrame) -> DataFrame:
     """Adds ``group_id``: 1, 2, ... in order of first arrival."""
     ids = renumber(grouped.select("group_seq").distinct(), [F.col("group_seq")], "group_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,9 +63,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize on shared storage, so that a lost executor costs one read, not the whole history."""
+    """Write to shared storage and read back, so that a lost executor costs one read, not the whole history.
+
+    A written table computes its input once; ``checkpoint()`` without a cache would compute it twice.
+    """
     spark = df.sparkSession
-    base = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark).rstrip('/')}/skytable-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
