@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +48,7 @@ def bucket_split(df: DataFrame, target: str, ids: list[str], buckets: int, test_
     few = sizes.agg(F.min("_n").alias("_least"), F.count("*").alias("_kinds"))
     least = F.when(F.col("_kinds") < buckets, F.lit(0)).otherwise(F.col("_least")) if mode == "original" else F.col("_least")
     ranked = random_rank(placed, ["_bucket"], ids, seed, "_rank")
-    # The share is scaled to whole thousandths, so that 0.8 of 5 is 4 and not 3.999.
-    keep = F.floor(least * F.lit(round((1 - test_share) * 1000)) / 1000)
+    keep = F.floor(least * F.lit(1 - test_share))
     split = F.when(F.col("_rank") <= keep, "train").otherwise("test")
     return _one_row(ranked, few).withColumn("split", split).drop("_bucket", "_rank", "_least", "_kinds")
 
@@ -95,8 +92,3 @@ def fold_number(df: DataFrame, label: str, ids: list[str], folds: int = 5, seed:
     """Stratified fold per row: each class is dealt out evenly."""
     ranked = random_rank(df, [label], ids, seed, "_rank")
     return ranked.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(folds)).cast("int")).drop("_rank")
-
-
-def expected_quota(n: int, share: float, at_least: int = 1) -> int:
-    """Rows drawn from a bin of n."""
-    return max(at_least, math.floor(n * share)) if n else 0

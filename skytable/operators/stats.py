@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skytable.operators.quantiles import exact_quantiles
+
 BINS = 10
 
 
@@ -117,10 +119,11 @@ def misclassified(df: DataFrame, y: str, pred: str) -> DataFrame:
 
 
 def prediction_summary(df: DataFrame) -> DataFrame:
-    """Counts, ranges and the spread threshold over rows that were not flagged."""
+    """Counts and ranges over rows that were not flagged, and the spread threshold, in one row."""
     ok = ~F.col("flagged_non_galaxy")
     p, s = F.when(ok, F.col("predicted_P_spiral")), F.when(ok, F.col("tree_std"))
-    return df.agg(
+    threshold = exact_quantiles(df.filter(ok), [], "tree_std", {"std_p90": 0.9})
+    summary = df.agg(
         F.count("*").alias("total"),
         F.count_if(~ok).alias("non_galaxies"),
         F.count_if(ok).alias("galaxies"),
@@ -129,9 +132,9 @@ def prediction_summary(df: DataFrame) -> DataFrame:
         F.avg(p).alias("p_mean"),
         F.min(s).alias("std_min"),
         F.max(s).alias("std_max"),
-        F.percentile(s, F.lit(0.9)).alias("std_p90"),
         F.count_if("low_confidence").alias("low_confidence"),
     )
+    return summary.withColumn("_one", F.lit(1)).join(threshold.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
 
 
 def label_counts(df: DataFrame, label: str) -> DataFrame:
