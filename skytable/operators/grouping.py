@@ -199,8 +199,8 @@ def instance_of(versions: DataFrame, lookups: DataFrame, tolerance_deg: float =
     groups = cells(versions.select("group_seq", "group_ra", "group_dec").distinct(), "group_ra", "group_dec")
     steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
     asked = cells(lookups, "ra", "dec")
-    asked = asked.withColumn("cu", F.col("cu") + F.explode(steps))
-    asked = asked.withColumn("cv", F.col("cv") + F.explode(steps))
+    asked = asked.withColumn("cu", F.explode(F.transform(steps, lambda s: F.col("cu") + s)))
+    asked = asked.withColumn("cv", F.explode(F.transform(steps, lambda s: F.col("cv") + s)))
     near = (F.abs(F.col("group_ra") - F.col("ra")) < tolerance_deg) & (F.abs(F.col("group_dec") - F.col("dec")) < tolerance_deg)
     hit = asked.join(groups, ["cu", "cv"]).filter(near)
     one = hit.groupBy("lookup_id", "file").agg(F.min(F.struct("group_seq", "group_ra", "group_dec")).alias("g")).select(

@@ -19,8 +19,8 @@ from skytable.operators.quantiles import exact_quantiles
 from skytable.session import cut_lineage
 
 # The grid of the published model search.
-GRID_TREES = [50, 100, 150, 200, 250, 300, 350, 400]
-GRID_FEATURES = [20, 40, 60, 80, 100, 120, 140]
+GRID_TREES = [10, 30, 50, 70, 90, 110, 130, 150]
+GRID_FEATURES = [10, 30, 50, 70, 90, 110, 130]
 GRID_BUCKETS = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
 
 
