@@ -34,6 +34,30 @@ def grid_key(value: Column, decimals: int) -> Column:
     return F.floor(value * float(10**decimals) + 0.5).cast("bigint")
 
 
+def fixed_text(value: Column, decimals: int) -> Column:
+    """Text with a fixed number of decimals, rounded from the exact binary value with ties to even.
+
+    The JVM formatter rounds the shortest decimal form instead, which differs for values such as 38.495. Below 1024 a
+    double is a whole multiple of 2^-52, so decimal arithmetic is exact; larger values use the formatter.
+    """
+    unit = 1 << 52
+    size = F.abs(value)
+    scaled = (size * float(unit)).cast("bigint").cast("decimal(20,0)") * F.lit(10**decimals).cast("decimal(10,0)")
+    whole = F.floor(scaled / F.lit(unit).cast("decimal(18,0)")).cast("bigint")
+    rest = scaled - whole.cast("decimal(20,0)") * F.lit(unit).cast("decimal(18,0)")
+    half = F.lit(unit // 2).cast("decimal(18,0)")
+    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+    units = whole + up.cast("int")
+    sign = F.when((value < 0), F.lit("-")).otherwise(F.lit(""))
+    exact = F.concat(
+        sign,
+        F.floor(units / 10**decimals).cast("string"),
+        F.lit("."),
+        F.lpad((units % 10**decimals).cast("string"), decimals, "0"),
+    )
+    return F.when(size < 1024, exact).otherwise(F.format_string(f"%.{decimals}f", value))
+
+
 def separation_arcsec(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
     """Great-circle separation (haversine)."""
     dlat = F.radians(dec2 - dec1) / 2.0

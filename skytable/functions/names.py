@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skytable.functions.coords import fixed_text
+
 # The instrument names that may stand in the third field of a product file name.
 INSTRUMENTS = ["nircam", "niriss", "niri", "miri", "fgs"]
 
@@ -27,7 +29,7 @@ def stem(name: Column) -> Column:
 def object_file_name(ra: Column, dec: Column, band: Column, version: Column, instrument: Column | None = None) -> Column:
     """``RA_DEC_[instrument_]band_vN.fits`` with six decimals."""
     middle = band if instrument is None else F.concat_ws("_", instrument, band)
-    return F.format_string("%.6f_%.6f_%s_v%d.fits", ra, dec, middle, version)
+    return F.format_string("%s_%s_%s_v%d.fits", fixed_text(ra, 6), fixed_text(dec, 6), middle, version)
 
 
 def parse_object_file_name(name: Column) -> Column:
@@ -158,7 +160,7 @@ def readable_bytes(size: Column) -> Column:
     out = F.lit(None).cast("string")
     units = ["TB", "GB", "MB", "KB", "B"]
     for power, unit in zip((4, 3, 2, 1, 0), units):
-        scaled = F.format_string(f"%.2f {unit}", size / float(1024**power))
+        scaled = F.concat(fixed_text(size / float(1024**power), 2), F.lit(f" {unit}"))
         out = scaled if power == 4 else F.when(size / float(1024**power) < 1024, scaled).otherwise(out)
     return out
 
