@@ -78,13 +78,13 @@ def new_rows(spark, folder):
 
 @R.add("S4_group_stream", ["detections"], "select seq, min(seq) over (partition by k1, k2) as group_seq from detections")
 def group_stream(spark, folder):
-    # Arrival order cut into three landings: a file per range of arrival numbers.
+    # Arrival order cut into three landings of eight files each; a batch takes one landing.
     d = detections(spark, folder)
     path = fresh(spark, "landing")
     rows = d.count()
     for part in range(3):
-        d.filter((F.col("seq") >= rows * part // 3) & (F.col("seq") < rows * (part + 1) // 3)).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        d.filter((F.col("seq") >= rows * part // 3) & (F.col("seq") < rows * (part + 1) // 3)).repartition(8, "seq").write.mode("append").parquet(path)
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 8).parquet(path)
     return jobs.group_stream(stream).select("seq", "group_seq")
 
 

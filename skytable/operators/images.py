@@ -147,6 +147,7 @@ def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
     """
     both = edges.select(*keys, F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct()
     now = cut_lineage(both)
+    last = None
     while True:
         # Towards larger neighbours.
         sym = now.unionByName(now.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
@@ -157,10 +158,12 @@ def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
         moved = big.join(small_least, [*keys, "u"])
         small = moved.filter("v <> m").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(small_least.select(*keys, "u", F.col("m").alias("v"))).distinct()
-        after = cut_lineage(small)
-        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
+        now = cut_lineage(small)
+        # Edges are distinct, so an unchanged count and hash mean an unchanged set.
+        mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64(*keys, "u", "v"))).first())
+        if mark == last:
             break
-        now = after
+        last = mark
     tops = now.groupBy(*keys, F.col("u").alias("node")).agg(F.min("v").alias("root"))
     roots = now.select(*keys, F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     return tops.unionByName(roots.join(tops.select(*keys, "node"), [*keys, "node"], "left_anti"))
