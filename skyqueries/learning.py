@@ -9,6 +9,7 @@ from skyqueries.reports import COLUMNS, fresh
 from skytable.functions import report
 from skytable.operators import images, models, sampling, stats
 from skytable.plans import spirality
+from skytable.session import cut_lineage
 
 R = Registry()
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
@@ -17,7 +18,8 @@ IDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
 
 def _rows(spark, folder):
     lines = view(spark, folder, "lines").withColumn("P_spiral", F.least(F.lit(1.0), F.col("l_discount") * 8 + F.col("l_tax")))
-    return sampling.bucket_split(lines, "P_spiral", IDS, 2)
+    # A fit reads its input many times, so the split is written once.
+    return cut_lineage(sampling.bucket_split(lines, "P_spiral", IDS, 2))
 
 
 def _forest(spark, folder, trees=10):
@@ -98,6 +100,7 @@ def _report_model(spark, folder):
     encoder = models.fit_encoder(clean, REPORT_TEXT)
     rows = spirality.prepare_features(clean, encoder, REPORT_TEXT, REPORT_FEATURES, WIDTHS, ["name", "P_CW", "P_ACW"])
     rows = report.spirality(rows.withColumn("P_CW", F.col("P_CW").cast("double")).withColumn("P_ACW", F.col("P_ACW").cast("double")))
+    rows = cut_lineage(rows)
     return models.fit_forest(rows, REPORT_FEATURES, "P_spiral", 8, 4, 6), encoder
 
 

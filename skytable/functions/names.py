@@ -65,13 +65,11 @@ def parse_legacy_name(name: Column) -> Column:
 
 def parse_report_name(name: Column) -> Column:
     """Struct (ra, dec) from ``t045_8870+0_5025_r``; null when the shape differs."""
-    clean = F.trim(name)
-    ra = F.translate(F.regexp_extract(clean, REPORT_NAME_PATTERN, 1), "_", ".").try_cast("double")
-    dec = F.concat(
-        F.regexp_extract(clean, REPORT_NAME_PATTERN, 2),
-        F.translate(F.regexp_extract(clean, REPORT_NAME_PATTERN, 3), "_", "."),
-    ).try_cast("double")
-    return F.when(ra.isNotNull() & dec.isNotNull(), F.struct(ra.alias("ra"), dec.alias("dec")))
+    # One match rewrites the name as "45.887 0.5025"; a name of another shape has no blank and gives no numbers.
+    plain = F.translate(F.regexp_replace(F.trim(name), REPORT_NAME_PATTERN, "$1 $2$3"), "_", ".")
+    ra = F.substring_index(plain, " ", 1).try_cast("double")
+    dec = F.substring_index(plain, " ", -1).try_cast("double")
+    return F.when(plain.contains(" ") & ra.isNotNull() & dec.isNotNull(), F.struct(ra.alias("ra"), dec.alias("dec")))
 
 
 def underscore_to_file(name: Column, mode: str = "scan") -> Column:

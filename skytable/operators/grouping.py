@@ -20,60 +20,85 @@ from skytable.functions import coords
 from skytable.operators.ranking import arrival_rank, renumber
 from skytable.session import cut_lineage
 
-AROUND = list(range(-2, 3))
+REACH = 2
+BLOCK_CELLS = 16
 WHOLE_CIRCLE = 360.0
+CELL = ["level", "cu", "cv"]
+BLOCK = ["level", "gu", "gv"]
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """One row per cell within two steps of the own one; ``ring`` > 0 closes the first axis."""
-    steps = F.array(*[F.lit(s) for s in AROUND])
-    moved = df.withColumn("_du", F.explode(steps)).withColumn("_dv", F.explode(steps))
-    u = F.col("cu") + F.col("_du")
-    u = F.when(F.col("ring") > 0, F.pmod(u, F.col("ring"))).otherwise(u)
-    return moved.withColumn("cu", u).withColumn("cv", F.col("cv") + F.col("_dv")).drop("_du", "_dv")
+def _on_ring(u: Column, ring: Column) -> Column:
+    return F.when(ring > 0, F.pmod(u, ring)).otherwise(u)
 
 
-CELL = ["level", "cu", "cv"]
+def _block(c: Column) -> Column:
+    return F.floor(c / BLOCK_CELLS).cast("bigint")
+
 
+def _to_blocks(df: DataFrame) -> DataFrame:
+    """One row per block of cells that has a cell within reach: mostly one, at most four."""
+    u, v, ring = F.col("cu"), F.col("cv"), F.col("ring")
+    across = F.array_distinct(F.array(_block(_on_ring(u - REACH, ring)), _block(_on_ring(u, ring)), _block(_on_ring(u + REACH, ring))))
+    along = F.array_distinct(F.array(_block(v - REACH), _block(v + REACH)))
+    return df.withColumn("gu", F.explode(across)).withColumn("gv", F.explode(along))
 
-def _founders_nearby(founders: DataFrame, shown: list[str]) -> DataFrame:
-    """Per cell the founders of the cells around it. A cell (and size class) has one founder, so the lists are short."""
-    return _spread(founders).groupBy(*CELL).agg(F.collect_list(F.struct("seq", *shown)).alias("near"))
+
+def _by_block(df: DataFrame, shown: list[str]) -> DataFrame:
+    """Per block the rows that reach into it. The input has one row per cell and kind, so a list is bounded by the
+    cells of a block."""
+    return _to_blocks(df).groupBy(*BLOCK).agg(F.collect_list(F.struct("seq", *shown, "cu", "cv")).alias("near"))
 
 
 def _seen_from(items: DataFrame, grids: Column) -> DataFrame:
-    """One row per grid in use, with the item's cell on that grid. ``grids``: array of (level, cu, cv) structs."""
-    return items.withColumn("_grid", F.explode(grids)).select(
-        *[c for c in items.columns if c not in CELL], F.col("_grid.level").alias("level"), "_grid.cu", "_grid.cv"
-    )
+    """One row per grid in use, with the item's cell on that grid. ``grids``: array of (level, cu, cv, ring) structs."""
+    kept = [c for c in items.columns if c not in (*CELL, "ring")]
+    out = items.withColumn("_grid", F.explode(grids)).select(*kept, "_grid.level", "_grid.cu", "_grid.cv", "_grid.ring")
+    return out.withColumn("gu", _block(F.col("cu"))).withColumn("gv", _block(F.col("cv")))
 
 
-def first_come_groups(items: DataFrame, grids: Column, shown: list[str], match: Callable[[Column], Column]) -> DataFrame:
+def _cell_in_reach(f: Column) -> Column:
+    gap = F.abs(f["cu"] - F.col("cu"))
+    gap = F.when(F.col("ring") > 0, F.least(gap, F.col("ring") - gap)).otherwise(gap)
+    return (gap <= REACH) & (F.abs(f["cv"] - F.col("cv")) <= REACH)
+
+
+def first_come_groups(items: DataFrame, grids: list[Column], shown: list[str], match: Callable[[Column], Column]) -> DataFrame:
     """The sequential rule in parallel rounds: (seq, home) per item, where home is its group's first item.
 
     ``items``: unique ``seq``, own cell (level, cu, cv), ``kind`` so that items of one cell and kind always match,
-    ``ring``, and the ``shown`` columns that ``match`` reads. ``grids``: the item's cells on all grids in use.
+    ``ring`` (cells around the circle, 0 without wrap), and the ``shown`` columns that ``match`` reads; a written table,
+    as every round reads it. A match lies within two cells. ``grids``: the item's cell on each grid in use.
     """
+    views = F.array(*grids)
+    one_grid = len(grids) == 1
     founders = None
-    items = cut_lineage(items)
     open_rows = items
     while True:
         first = open_rows.groupBy(*CELL, "ring", "kind").agg(F.min(F.struct("seq", *shown)).alias("c"))
         first = first.select(*CELL, "ring", "kind", "c.*")
-        earliest = _spread(first.select(*CELL, "ring", "seq")).groupBy(*CELL).agg(F.min("seq").alias("earliest"))
-        rival = _seen_from(first, grids).join(earliest, CELL).groupBy("seq").agg(F.min("earliest").alias("earliest"))
-        sure = cut_lineage(first.join(rival.filter("seq = earliest").select("seq"), "seq", "left_semi"))
+        seen = _seen_from(first, views).join(_by_block(first, []), BLOCK)
+        seen = seen.withColumn("earliest", F.array_min(F.transform(F.filter("near", _cell_in_reach), lambda f: f["seq"])))
+        if one_grid:
+            sure = seen.filter("seq = earliest").select(*first.columns)
+        else:
+            calm = seen.groupBy("seq").agg(F.min("earliest").alias("earliest")).filter("seq = earliest").select("seq")
+            sure = first.join(calm, "seq", "left_semi")
+        sure = cut_lineage(sure)
         founders = sure if founders is None else founders.unionByName(sure)
-        hit = F.exists("near", match)
-        # At most one row per item and grid, however many detections share a place.
-        covered = _seen_from(open_rows, grids).join(_founders_nearby(sure, shown), CELL).filter(hit).select("seq").distinct()
-        open_rows = cut_lineage(open_rows.join(covered, "seq", "left_anti"))
+        near = _by_block(sure, shown)
+        hit = F.coalesce(F.exists("near", match), F.lit(False))
+        if one_grid:
+            rest = _seen_from(open_rows, views).join(near, BLOCK, "left").filter(~hit).select(*open_rows.columns)
+        else:
+            covered = _seen_from(open_rows, views).join(near, BLOCK).filter(hit).select("seq").distinct()
+            rest = open_rows.join(covered, "seq", "left_anti")
+        open_rows = cut_lineage(rest)
         if open_rows.isEmpty():
             break
     # Structs order by their first field, so the least one is the earliest founder.
     home = F.array_min(F.filter("near", match))
-    placed = _seen_from(items, grids).join(_founders_nearby(founders, shown), CELL).withColumn("home", home)
-    return placed.filter("home is not null").groupBy("seq").agg(F.min("home").alias("home"))
+    placed = _seen_from(items, views).join(_by_block(founders, shown), BLOCK).select("seq", home.alias("home")).filter("home is not null")
+    return placed if one_grid else placed.groupBy("seq").agg(F.min("home").alias("home"))
 
 
 def group_detections(detections: DataFrame, arcsec: float = 1.0) -> DataFrame:
@@ -93,7 +118,7 @@ def group_detections(detections: DataFrame, arcsec: float = 1.0) -> DataFrame:
     )
     positions = cut_lineage(positions)
     match = lambda f: coords.flat_match(F.col("ra"), F.col("dec"), f["ra"], f["dec"], arcsec)
-    homes = first_come_groups(positions, F.array(F.struct("level", "cu", "cv")), ["ra", "dec"], match)
+    homes = first_come_groups(positions, [F.struct("level", "cu", "cv", "ring")], ["ra", "dec"], match)
     placed = positions.select("seq", "ra", "dec").join(homes, "seq").select(
         "ra", "dec", F.col("home.seq").alias("group_seq"), F.col("home.ra").alias("group_ra"), F.col("home.dec").alias("group_dec")
     )
@@ -134,16 +159,15 @@ def group_by_footprint(detections: DataFrame, size_fraction: float = 0.5, size_f
     items = cut_lineage(items)
     # Powers of two of plausible half sides: a handful of rows whatever the table holds.
     used = [(r[0], r[1]) for r in items.select("level.lx", "level.ly").distinct().collect()]
-    grids = F.array(
-        *[
-            F.struct(
-                F.struct(F.lit(lx).alias("lx"), F.lit(ly).alias("ly")).alias("level"),
-                cell(F.lit(lx), F.lit(ly))[0].alias("cu"),
-                cell(F.lit(lx), F.lit(ly))[1].alias("cv"),
-            )
-            for lx, ly in used
-        ]
-    )
+    grids = [
+        F.struct(
+            F.struct(F.lit(lx).alias("lx"), F.lit(ly).alias("ly")).alias("level"),
+            cell(F.lit(lx), F.lit(ly))[0].alias("cu"),
+            cell(F.lit(lx), F.lit(ly))[1].alias("cv"),
+            F.lit(int(WHOLE_CIRCLE * 2.0**-lx)).cast("bigint").alias("ring"),
+        )
+        for lx, ly in used
+    ]
 
     def match(f: Column) -> Column:
         gap = F.abs(F.pmod(F.col("ra") - f["ra"] + 180.0, F.lit(WHOLE_CIRCLE)) - 180.0)

@@ -31,7 +31,9 @@ def match_ground_truth(report: DataFrame, truth: DataFrame, value: str, arrival:
         [F.col("_arrival")],
         last=True,
     ).drop("_arrival")
-    place = report.withColumn("_p", names.parse_report_name(F.col("name"))).filter("_p is not null")
+    # Going through an array keeps the optimizer from parsing the name once per use.
+    parsed = F.filter(F.array(names.parse_report_name(F.col("name"))), lambda p: p.isNotNull())
+    place = report.withColumn("_p", F.explode(parsed))
     keyed = _keyed(place, F.col("_p.ra"), F.col("_p.dec")).drop("_p")
     return keyed.join(lookup, ["_kr", "_kd"]).drop("_kr", "_kd").withColumn("P_ACW", F.lit("0"))
 

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from skytable.functions import report as R
 
+# Positions of the fields that must not be blank, counted from 0.
+KEY_FIRST, KEY_LAST = 4, 22
+
 
 def drop_reason(columns: list[str]) -> Column:
     """Why a raw row is dropped, or ``kept``."""
     return (
         F.when(R.has_bad_word(columns), "bad_value")
         .when(R.is_rejected(columns), "input_rejected")
-        .when(R.has_blank_key(columns), "blank_key")
+        .when(R.has_blank_key(columns, KEY_FIRST, KEY_LAST), "blank_key")
         .otherwise("kept")
     )
 
@@ -44,7 +47,16 @@ def sanitize_report(raw: DataFrame, mode: str = "train", carry: list[str] | None
     """One scan; text rules first, casts later. ``carry`` columns (a row id) pass through untouched."""
     carry = carry or []
     columns = [c for c in raw.columns if c not in carry]
-    kept = R.trimmed(raw, columns).filter(drop_reason(columns) == "kept")
+    # All fields are trimmed once, in an array; the row tests read it, and each kept field is taken from it.
+    fields = F.array(*[F.trim(F.coalesce(R.q(c), F.lit(""))) for c in columns])
+    listed = raw.select(*[R.q(c) for c in carry], F.explode(F.array(fields)).alias("_fields"))
+    state = columns.index("fit_state") if "fit_state" in columns else None
+    bad = F.arrays_overlap("_fields", F.array(*[F.lit(w) for w in R.BAD_WORDS]))
+    blank = F.array_contains(F.slice("_fields", KEY_FIRST + 1, KEY_LAST - KEY_FIRST + 1), "")
+    good = ~bad & ~blank
+    if state is not None:
+        good = good & (F.col("_fields")[state] != "input rejected")
+    kept = listed.filter(good).select(*[R.q(c) for c in carry], *[F.col("_fields")[i].alias(c) for i, c in enumerate(columns)])
     return kept.select(*[R.q(c) for c in carry], *cleaned_columns(columns, mode))
 
 
