@@ -85,7 +85,7 @@ def predict_spread(model: PipelineModel, rows: DataFrame) -> DataFrame:
     names = []
     for i, tree in enumerate(forest.trees):
         names.append(f"_tree_{i}")
-        out = tree.setFeaturesCol("features").setPredictionCol(names[-1]).transform(out)
+        out = tree.copy().setFeaturesCol("features").setPredictionCol(names[-1]).transform(out)
     each = out.withColumn("_each", F.array(*names)).drop(*names)
     n = float(len(names))
     mean = F.aggregate("_each", F.lit(0.0), lambda s, p: s + p) / n
