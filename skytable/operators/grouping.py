@@ -251,8 +251,15 @@ def attach_batch(known: DataFrame, batch: DataFrame, arcsec: float = 1.0) -> Dat
     """Batch of a growing store: detections join known groups first, the rest form new ones.
 
     ``known``: (group_seq, group_ra, group_dec). Feeding the known founders with their arrival numbers, which are lower
-    than the batch's, makes them win exactly as in one long run.
+    than the batch's, makes them win exactly as in one long run. Only founders near the batch enter.
     """
-    old = known.select(F.col("group_seq").alias("seq"), F.col("group_ra").alias("ra"), F.col("group_dec").alias("dec"))
+    step = arcsec / coords.ARCSEC * (1 + 1e-9)
+    cells = lambda df, ra, dec: df.withColumn("_u", F.floor(F.col(ra) / step)).withColumn("_v", F.floor(F.col(dec) / step))
+    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    reached = cells(batch.select("ra", "dec"), "ra", "dec").select("_u", "_v").distinct()
+    reached = reached.withColumn("_u", F.explode(F.transform(steps, lambda s: F.col("_u") + s)))
+    reached = reached.withColumn("_v", F.explode(F.transform(steps, lambda s: F.col("_v") + s)))
+    near = cells(known, "group_ra", "group_dec").join(reached.distinct(), ["_u", "_v"], "left_semi")
+    old = near.select(F.col("group_seq").alias("seq"), F.col("group_ra").alias("ra"), F.col("group_dec").alias("dec"))
     marked = batch.withColumn("_new", F.lit(True)).unionByName(old.withColumn("_new", F.lit(False)), allowMissingColumns=True)
     return group_detections(marked, arcsec).filter("_new").drop("_new")

@@ -56,15 +56,13 @@ def random_rank(df: DataFrame, keys: list[str], ids: list[str], seed: int, name:
     return rank_in_chunks(tagged, keys, order, F.shiftright(F.col("_hash"), 64 - bits), name).drop("_hash")
 
 
-def text_order_rank(df: DataFrame, keys: list[str], order: list[str], prefix: int, name: str) -> DataFrame:
-    """Rank by text columns; the first characters of the first one are the chunk."""
-    chunk = F.substring(F.col(order[0]), 1, prefix)
-    return rank_in_chunks(df, keys, [F.col(o) for o in order], chunk, name)
-
-
 def renumber(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Dense 0-based number in a total order. Writes the sorted rows once to the checkpoint folder."""
-    placed = cut_lineage(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    """Dense 0-based number in a total order. Writes the sorted rows once to the checkpoint folder.
+
+    Rows equal in ``order`` are told apart by where they were read, so that a mass of equal rows still spreads over tasks.
+    """
+    told = df.withColumn("_read", F.monotonically_increasing_id())
+    placed = cut_lineage(told.orderBy(*order, "_read").drop("_read").withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("_at"), 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     # One row per partition of the sort, so the window over all of them is small.

@@ -221,8 +221,41 @@ def cone_pairs(spots: DataFrame, centres: DataFrame, arcsec: float) -> DataFrame
     return lx.join(rx, keys).drop(*keys).withColumn("sep_arcsec", sep).filter(F.col("sep_arcsec") <= arcsec)
 
 
+def search_rings(centres: DataFrame, arcsec: float, leaf: int = LEAF_POSITIONS) -> list[float]:
+    """Radii to search in turn: just the full one where cells hold few centres, else halves of it, smallest first.
+
+    Starts one small job per radius looked at (the largest cell count).
+    """
+    rings = [arcsec]
+    axes = list(coords.unit_vector(F.col("c_ra"), F.col("c_dec")))
+    while len(rings) <= MAX_LEVELS:
+        size = coords.chord(rings[0]) * (1 + SLACK)
+        counts = centres.groupBy(*[_cell(a, size, 0).alias(f"c{i}") for i, a in enumerate(axes)]).agg(F.count("*").alias("n"))
+        largest = counts.agg(F.max("n")).first()[0]
+        if largest is None or largest <= leaf:
+            break
+        rings.insert(0, rings[0] / 2)
+    return rings
+
+
+def _best_cover(places: DataFrame, offered: DataFrame, arcsec: float) -> DataFrame:
+    """Best covering offer of each position within the radius."""
+    pairs = cone_pairs(places, offered, arcsec)
+    x, y, front = coords.sky_to_pixel(
+        F.col("scale_deg"), F.col("crpix_x"), F.col("crpix_y"), F.col("ra"), F.col("dec"), F.col("crval_ra"), F.col("crval_dec")
+    )
+    covered = pairs.withColumn("px", x).withColumn("py", y).filter(
+        front & coords.inside_image(F.col("px"), F.col("py"), F.col("width"), F.col("height"))
+    )
+    order = F.struct(
+        "filter_rank", "sep_arcsec", F.col("offer.obs_id").alias("obs_id"), F.col("offer.product_rank").alias("product_rank"),
+        F.col("offer.product_filename").alias("product_filename"), "px", "py",
+    )
+    return covered.groupBy("ra", "dec").agg(F.min(order).alias("b")).select("ra", "dec", "b.*")
+
+
 def resolve_sources(
-    spots: DataFrame, observations: DataFrame, products: DataFrame, radius_deg: float = 0.01
+    spots: DataFrame, observations: DataFrame, products: DataFrame, radius_deg: float = 0.01, leaf: int = LEAF_POSITIONS
 ) -> DataFrame:
     """For each position the first product that covers it, over the observations within the radius.
 
@@ -230,7 +263,9 @@ def resolve_sources(
     ``products``: (obs_id, product_rank, product_filename, scale_deg, crpix_x, crpix_y, crval_ra, crval_dec, width,
     height). Order: filter rank, separation, observation id, product rank.
 
-    Copies of one pointing with one image geometry cover the same sky, so only the best of them enters the join.
+    Copies of one pointing with one image geometry cover the same sky, so only the best of them enters the join. Where
+    pointings are dense the search goes filter by filter and outwards in rings: what a ring finds beats everything
+    farther out, so a position leaves as soon as it is found and the wide rings only see what is left.
     """
     geometry = ["scale_deg", "crpix_x", "crpix_y", "crval_ra", "crval_dec", "width", "height"]
     pointing = ["c_ra", "c_dec", "filter_rank"]
@@ -241,16 +276,17 @@ def resolve_sources(
         .agg(F.min(F.struct("obs_id", "product_rank", "product_filename")).alias("offer"))
     )
     places = spots.select("ra", "dec").distinct()
-    pairs = cone_pairs(places, offered, radius_deg * coords.ARCSEC)
-    x, y, front = coords.sky_to_pixel(
-        F.col("scale_deg"), F.col("crpix_x"), F.col("crpix_y"), F.col("ra"), F.col("dec"), F.col("crval_ra"), F.col("crval_dec")
-    )
-    covered = pairs.withColumn("px", x).withColumn("py", y).filter(
-        front & coords.inside_image(F.col("px"), F.col("py"), F.col("width"), F.col("height"))
-    )
-    order = F.struct(
-        "filter_rank", "sep_arcsec", F.col("offer.obs_id").alias("obs_id"), F.col("offer.product_rank").alias("product_rank"),
-        F.col("offer.product_filename").alias("product_filename"), "px", "py",
-    )
-    best = covered.groupBy("ra", "dec").agg(F.min(order).alias("b")).select("ra", "dec", "b.*")
+    rings = search_rings(offered, radius_deg * coords.ARCSEC, leaf)
+    if len(rings) == 1:
+        best = _best_cover(places, offered, rings[0])
+    else:
+        offered, left = cut_lineage(offered), cut_lineage(places)
+        found = []
+        # Filter preferences are a short fixed list.
+        for rank in sorted(r[0] for r in offered.select("filter_rank").distinct().collect()):
+            for ring in rings:
+                hit = cut_lineage(_best_cover(left, offered.filter(F.col("filter_rank") == rank), ring))
+                found.append(hit)
+                left = cut_lineage(left.join(hit.select("ra", "dec"), ["ra", "dec"], "left_anti"))
+        best = reduce(DataFrame.unionByName, found)
     return spots.join(best, ["ra", "dec"])

@@ -118,8 +118,9 @@ def group_stream(detections: DataFrame, arcsec: float = 1.0) -> DataFrame:
         if number == 0:
             known = empty
         else:
-            earlier = spark.read.parquet(store).filter(F.col("batch") < number)
-            known = earlier.select("group_seq", "group_ra", "group_dec").distinct()
+            # A group's first detection carries the group's own number: one row per group without a shuffle.
+            earlier = spark.read.parquet(store).filter((F.col("batch") < number) & (F.col("seq") == F.col("group_seq")))
+            known = earlier.select("group_seq", "group_ra", "group_dec")
         attach_batch(known, batch, arcsec).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     writer = detections.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)

@@ -73,3 +73,22 @@ def test_cone(pair):
 def test_tolerance_must_be_positive(pair):
     with pytest.raises(ValueError):
         spatial.nearest_match(pair[2], pair[3], 0)
+
+
+def test_resolve_sources_dense_equals_plain(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(6)
+    n = 120
+    c = pd.DataFrame({"obs_id": [f"o{i}" for i in range(n)], "c_ra": 30 + r.normal(0, 3e-3, n), "c_dec": 10 + r.normal(0, 3e-3, n), "filter_rank": r.choice([0, 1, 2], n)})
+    obs = spark.createDataFrame(c)
+    size = F.when(F.col("filter_rank") == 0, 8).otherwise(40)
+    products = obs.select(
+        "obs_id", F.lit(0).alias("product_rank"), F.concat("obs_id", F.lit(".fits")).alias("product_filename"), F.lit(1e-4).alias("scale_deg"),
+        (size / 2.0).alias("crpix_x"), (size / 2.0).alias("crpix_y"), F.col("c_ra").alias("crval_ra"), F.col("c_dec").alias("crval_dec"), size.alias("width"), size.alias("height"),
+    )
+    spots = spark.createDataFrame(pd.DataFrame({"id": range(80), "ra": 30 + r.normal(0, 4e-3, 80), "dec": 10 + r.normal(0, 4e-3, 80)}))
+    plain = {x.id: x.obs_id for x in spatial.resolve_sources(spots, obs, products, 0.004, 1000).collect()}
+    dense = {x.id: x.obs_id for x in spatial.resolve_sources(spots, obs, products, 0.004, 8).collect()}
+    assert len(spatial.search_rings(obs.select("c_ra", "c_dec"), 14.4, 8)) > 1
+    assert dense == plain and 20 < len(plain)
