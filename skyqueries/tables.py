@@ -287,9 +287,9 @@ def bucket_counts(n: int, closed: bool) -> str:
 )
 def smallest(spark, folder):
     s = view(spark, folder, "scored")
-    a = stats.smallest_bucket(s, "p", 10, "original").select(F.lit(1).alias("one"), F.col("smallest").alias("original"))
-    b = stats.smallest_bucket(s, "p", 10, "later").select(F.lit(1).alias("one"), F.col("smallest").alias("later"))
-    return a.join(b, "one").drop("one")
+    a = stats.smallest_bucket(s, "p", 10, "original").select(F.col("smallest").alias("original"))
+    b = stats.smallest_bucket(s, "p", 10, "later")
+    return a.withColumn("later", b.scalar())
 
 
 @R.add(

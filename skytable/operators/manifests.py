@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skytable.functions import names
 from skytable.operators.ranking import first_per_key
+from skytable.operators.scalars import with_row
 from skytable.sources.tables import MANIFEST_COLUMNS
 
 # Where each manifest column may come from, in order of preference.
@@ -76,8 +77,7 @@ def normalize_products(raw: DataFrame, arrival: str, batch: list[str] | None = N
     if batch:
         marked = base.join(base.groupBy(*batch).agg(*flags), batch)
     else:
-        # One row, so the broadcast is bounded; the keyless join has exactly one row on its right side.
-        marked = base.withColumn("_one", F.lit(1)).join(F.broadcast(base.agg(*flags).withColumn("_one", F.lit(1))), "_one").drop("_one")
+        marked = with_row(base, base.agg(*flags))
     file_name = _filled(F.col("productFilename"))
     uri = _filled(F.col("dataURI"))
     final_level = F.when(F.col("_has_level"), level).otherwise("3")

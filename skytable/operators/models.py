@@ -16,6 +16,7 @@ from pyspark.sql.window import Window as W
 
 from skytable.operators import sampling, stats
 from skytable.operators.quantiles import exact_quantiles
+from skytable.operators.scalars import with_row
 from skytable.session import cut_lineage
 
 # The grid of the published model search.
@@ -53,8 +54,7 @@ def standardize(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
     for c in columns:
         x = F.when(train, F.col(c))
         aggs += [F.avg(x).alias(f"_m_{c}"), F.stddev_pop(x).alias(f"_s_{c}")]
-    scale = df.agg(*aggs).withColumn("_one", F.lit(1))
-    joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(scale), "_one")
+    joined = with_row(df, df.agg(*aggs))
     scaled = {c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}")) for c in columns}
     return joined.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
 
@@ -98,7 +98,7 @@ def flag_low_confidence(scored: DataFrame, quantile: float = 0.9, low: float = 0
     """Spread above the quantile over rows not flagged, and a middling prediction."""
     bar = exact_quantiles(scored.filter(~F.col("flagged_non_galaxy")), [], "tree_std", {"_bar": quantile})
     # One row, or none when everything was flagged; then the bar is 0.
-    joined = scored.withColumn("_one", F.lit(1)).join(F.broadcast(bar.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
+    joined = with_row(scored, bar)
     test = (F.col("tree_std") > F.coalesce("_bar", F.lit(0.0))) & (F.col("predicted_P_spiral") >= low) & (F.col("predicted_P_spiral") < high)
     return joined.withColumn("low_confidence", test).drop("_bar")
 
@@ -155,8 +155,8 @@ def grid_search(
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     """Row weight n / (classes * n_class)."""
     per = df.groupBy(label).agg(F.count("*").alias("_nc"))
-    total = per.agg(F.sum("_nc").alias("_n"), F.count("*").alias("_k")).withColumn("_one", F.lit(1))
-    weights = per.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("weight"))
+    total = per.agg(F.sum("_nc").alias("_n"), F.count("*").alias("_k"))
+    weights = with_row(per, total).select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("weight"))
     return df.join(weights, label)
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from skytable.operators.scalars import with_row
+
 STEPS_PER_OCTAVE = 1024
 LOWEST_OCTAVE = 1100
 
@@ -48,8 +50,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str
     if keys:
         placed = placed.join(sizes, keys)
     else:
-        # A one-row side.
-        placed = placed.withColumn("_one", F.lit(1)).join(F.broadcast(sizes.withColumn("_one", F.lit(1))), "_one").drop("_one")
+        placed = with_row(placed, sizes)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c")), F.col("_v")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skytable.operators.ranking import random_rank, seeded_order
+from skytable.operators.scalars import with_row
 from skytable.operators.stats import BINS, bin_of, bucket_of
 
 
@@ -15,18 +16,13 @@ def observed_bin(p: Column, low: Column, high: Column, bins: int = BINS) -> Colu
     return F.when(step == 0, F.lit(0)).otherwise(F.greatest(F.ceil((p - low) / step).cast("int") - 1, F.lit(0)))
 
 
-def _one_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row."""
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(row.withColumn("_one", F.lit(1))), "_one").drop("_one")
-
-
 def validation_names(df: DataFrame, target: str, ids: list[str], share: float = 0.2, seed: int = 42, at_least: int = 1) -> DataFrame:
     """Names of the validation rows: per bin ``max(at_least, int(n * share))`` random rows.
 
     Chosen by name, so rows of one name stay together.
     """
     spread = df.agg(F.min(target).alias("_low"), F.max(target).alias("_high"))
-    binned = _one_row(df.filter(F.col(target).isNotNull()), spread).withColumn(
+    binned = with_row(df.filter(F.col(target).isNotNull()), spread).withColumn(
         "_bin", observed_bin(F.col(target), F.col("_low"), F.col("_high"))
     )
     sizes = binned.groupBy("_bin").agg(F.count("*").alias("_n"))
@@ -50,7 +46,7 @@ def bucket_split(df: DataFrame, target: str, ids: list[str], buckets: int, test_
     ranked = random_rank(placed, ["_bucket"], ids, seed, "_rank")
     keep = F.floor(least * F.lit(1 - test_share))
     split = F.when(F.col("_rank") <= keep, "train").otherwise("test")
-    return _one_row(ranked, few).withColumn("split", split).drop("_bucket", "_rank", "_least", "_kinds")
+    return with_row(ranked, few).withColumn("split", split).drop("_bucket", "_rank", "_least", "_kinds")
 
 
 def fill_deficit(variations: DataFrame, original: DataFrame, target: str, ids: list[str], seed: int = 42) -> DataFrame:
@@ -62,7 +58,7 @@ def fill_deficit(variations: DataFrame, original: DataFrame, target: str, ids: l
     counts = original.groupBy(bin_of(F.col(target)).alias("_bin")).agg(F.count("*").alias("_n"))
     bins = spark.range(BINS).select(F.col("id").cast("int").alias("_bin")).join(counts, "_bin", "left").fillna(0, ["_n"])
     top = counts.agg(F.max("_n").alias("_top"))
-    lack = _one_row(bins, top).select("_bin", (F.col("_top") - F.col("_n")).alias("_lack"))
+    lack = with_row(bins, top).select("_bin", (F.col("_top") - F.col("_n")).alias("_lack"))
     placed = variations.filter("p is not null").withColumn("_bin", bin_of(F.col("p")))
     ranked = random_rank(placed, ["_bin"], ids, seed, "_rank")
     chosen = ranked.join(F.broadcast(lack), "_bin").filter(F.col("_rank") <= F.col("_lack"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skytable.operators.quantiles import exact_quantiles
+from skytable.operators.scalars import with_row
 
 BINS = 10
 
@@ -31,8 +32,7 @@ def bin_histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     counts = df.filter(F.col(column) >= 0).groupBy(bin_of(F.col(column), bins).alias("bin")).agg(F.count("*").alias("n"))
     every = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     full = every.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
-    top = counts.agg(F.max("n").alias("max_n")).withColumn("_one", F.lit(1))
-    return full.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one").drop("_one")
+    return with_row(full, counts.agg(F.max("n").alias("max_n")))
 
 
 def edge(i: int, buckets: int) -> float:
@@ -134,7 +134,7 @@ def prediction_summary(df: DataFrame) -> DataFrame:
         F.max(s).alias("std_max"),
         F.count_if("low_confidence").alias("low_confidence"),
     )
-    return summary.withColumn("_one", F.lit(1)).join(threshold.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+    return with_row(summary, threshold)
 
 
 def label_counts(df: DataFrame, label: str) -> DataFrame:
