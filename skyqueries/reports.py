@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from skyqueries.inputs import Registry, detections, view
+from skyqueries.inputs import Registry, view
 from skytable.functions import report
 from skytable.operators import manifests, models, stats
 from skytable.plans import reports

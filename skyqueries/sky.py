@@ -113,6 +113,22 @@ def group_summary(spark, folder):
     return s.select("group_seq", F.round("ra", 6).alias("ra"), F.round("dec", 6).alias("dec"), "max_height", "max_width")
 
 
+@R.add("D1_group_ids", ["detections"], GROUPED + "select seq, dense_rank() over (order by group_seq) as group_id from f")
+def group_ids(spark, folder):
+    return grouping.with_group_ids(grouping.group_detections(detections(spark, folder), 1.0)).select("seq", "group_id")
+
+
+@R.add(
+    "D2_raise_group_size",
+    ["detections"],
+    GROUPED + "select group_seq, max(case when file = 'F' then height end) as first_height, max(height) as max_height from f group by 1 having count(*) filter (where file = 'F') > 0",
+)
+def raise_size(spark, folder):
+    g = grouping.group_detections(detections(spark, folder), 1.0)
+    start = grouping.group_summary(g.filter("file = 'F'")).withColumn("first_height", F.col("max_height"))
+    return grouping.raise_group_size(start, g.filter("file <> 'F'")).select("group_seq", "first_height", "max_height")
+
+
 @R.add(
     "D3_E1_instances_with_version",
     ["detections"],

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # ---- Fixed values: names and words of the report format ----
-PREFIX_COLUMNS = ["index", "P_CW", "P_ACW"]
 CHIRALITY_COLUMNS = ["chirality_maj", "chirality_alenWtd", "chirality_wtdPangSum", "chirality_longestArc"]
 MASK_COLUMNS = ["star_mask_used", "noise_mask_used"]
 BOOLEAN_COLUMNS = [

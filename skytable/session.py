@@ -62,6 +62,9 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_written: list[str] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write to shared storage and read back, so that a lost executor costs one read, not the whole history.
 
@@ -70,4 +73,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/skytable-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget_written(spark: SparkSession) -> int:
+    """Delete the tables :func:`cut_lineage` wrote in this process; returns how many. Results built on them become invalid."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += int(path.getFileSystem(conf).delete(path, True))
+    return done

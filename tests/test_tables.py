@@ -51,6 +51,35 @@ def test_row_without_extension_is_not_reusable(spark):
     assert got == [False, True, False]
 
 
+def test_labels_without_folder_and_columns(spark):
+    labels = spark.createDataFrame([("1-galaxies", "a.png")], "label_dir string, score_filename string")
+    wanted = spark.createDataFrame([("1-galaxies",), ("1-not-galaxies",)], "label_dir string")
+    assert [tuple(r) for r in lookup.missing_label_dirs(wanted, labels).collect()] == [("1-not-galaxies", "missing_label_dir")]
+    got = manifests.column_differences(spark, ["b", "a"], ["a", "c"]).collect()
+    assert [tuple(r) for r in got] == [("b", "missing"), ("c", "extra")]
+
+
+def test_new_files_stream(spark, tmp_path):
+    from skytable.streaming import jobs
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for n in ("a.fits", "b.FITS", "c.txt"):
+        (folder / n).write_bytes(b"xyz")
+    rows = jobs.run_to_table(jobs.new_files(spark, str(folder)).select("path", "length"))
+    assert sorted(r.path[-6:] for r in rows.collect()) == ["a.fits", "b.FITS"]
+
+
+def test_written_tables_can_be_deleted(spark):
+    from skytable import session
+
+    df = session.cut_lineage(spark.range(5))
+    assert df.count() == 5
+    path = session._written[-1]
+    session._written[:] = [path]
+    assert session.forget_written(spark) == 1 and session._written == []
+
+
 @pytest.fixture(scope="module")
 def scores(spark):
     r = np.random.default_rng(0)
