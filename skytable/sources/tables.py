@@ -46,12 +46,11 @@ def combine_reports(spark: SparkSession, root: str, columns: list[str]) -> DataF
     return df.filter(~F.col("_metadata.file_name").endswith("_arcs.csv"))
 
 
-def read_variations(spark: SparkSession, glob: str, columns: list[str]) -> DataFrame:
-    """A4: per-variation reports ``<object>/.../2-OUT/galaxy.csv``; good fits only, malformed lines skipped."""
-    df = read_report(spark, glob, columns, mode="DROPMALFORMED", recursiveFileLookup="true", pathGlobFilter="galaxy.csv")
-    where = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+/2-OUT/[^/]*$", 1)
-    direct = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/2-OUT/[^/]*$", 1)
-    tagged = df.select("*", F.coalesce(F.nullif(where, F.lit("")), direct).alias("object_id"))
+def read_variations(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:
+    """A4: per-object reports ``<object>/2-OUT/galaxy.csv``; good fits only, malformed lines skipped."""
+    df = read_report(spark, root, columns, mode="DROPMALFORMED", recursiveFileLookup="true", pathGlobFilter="galaxy.csv")
+    owner = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/2-OUT/galaxy\.csv$", 1)
+    tagged = df.select("*", owner.alias("object_id")).filter("object_id <> ''")
     return tagged.filter(F.trim("fit_state") == "OK")
 
 
