@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyqueries.inputs import Registry, pixels, table, view
-from skyqueries.reports import COLUMNS, fresh
+from skyqueries.reports import COLUMNS, cleaned_sql, fresh
 from skytable.functions import report
 from skytable.operators import images, models, sampling, stats
 from skytable.plans import spirality
@@ -119,7 +119,7 @@ def evaluate(spark, folder):
     )[1]
 
 
-@R.add("L12_save_and_load")
+@R.add("L12_save_and_load", ["raw_report"], cleaned_sql("infer") + "select count(*) as n from c")
 def save_and_load(spark, folder):
     model, encoder = _report_model(spark, folder)
     path = fresh(spark, "model")
