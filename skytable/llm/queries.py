@@ -25,3 +25,30 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
     entries = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return digests(table(spark, folder, "documents", "doc_id", "text"), entries, public_tokenizers.PATTERN)
+
+
+@register
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document by the compiled transducer."""
+    from pyspark.sql import functions as F
+
+    from skytable.llm.token_counts import count_tokens, read_vocabulary
+
+    vocabulary = read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    counted = count_tokens(table(spark, folder, "documents", "doc_id", "text"), vocabulary)
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@register
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's URL. The labelled URL table holds the URLs that the rules decide, with their verdicts."""
+    from pyspark.sql import functions as F
+
+    from skytable.llm.url_filter import Rule, host_of, judge, path_of, rule_for, train
+
+    rules = [Rule("net/", True), Rule("example.net/en/", False), Rule("example.com/de/", True), Rule("org/fr/", False)]
+    pages = table(spark, folder, "pages", "page_id", "url")
+    decided = rule_for(host_of(F.col("url")), path_of(F.col("url")), rules)
+    blocking = F.array_contains(F.array(*[F.lit(r.text) for r in rules if r.block]), F.col("rule"))
+    labelled = pages.select("url", decided.alias("rule")).where("rule is not null").select("url", blocking.alias("block"))
+    return judge(pages, rules, train(labelled))
