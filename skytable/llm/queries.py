@@ -52,3 +52,11 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     blocking = F.array_contains(F.array(*[F.lit(r.text) for r in rules if r.block]), F.col("rule"))
     labelled = pages.select("url", decided.alias("rule")).where("rule is not null").select("url", blocking.alias("block"))
     return judge(pages, rules, train(labelled))
+
+
+@register
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base statistics and verdict of every document."""
+    from skytable.llm.quality import judge
+
+    return judge(table(spark, folder, "documents", "doc_id", "text", "lang", "source"))
