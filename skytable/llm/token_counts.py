@@ -32,11 +32,12 @@ from skytable.llm.common import map_batches, texts_of
 from skytable.llm.pretokens import splitter
 
 # States and words that one task remembers; beyond them the memory is emptied and compiled anew, which changes no result.
-MOST_STATES = 120_000
-MOST_WORDS = 300_000
+MOST_STATES = 200_000
+MOST_WORDS = 400_000
 # Characters of a chunk; longer texts are cut.
 CHUNK = 1 << 16
 _START_NODE = 0
+_NODES = (1 << 24) - 1
 _NONE = -1
 _NEVER = 1 << 60
 
@@ -93,16 +94,17 @@ class Transducer:
                 node = below
             if token:
                 self.token_at[node] = i
-        self.edges = {_NONE: []}
         self.allowed: dict[tuple[int, int], bool] = {}
         self.forget()
 
     def forget(self) -> None:
         """Drop all compiled states but the start state."""
-        self.open = [((_NONE, _START_NODE, 0),)]
+        # A state is its open choices in order, each packed into one number: last token plus one, trie node, tokens over the least.
+        self.open: list[tuple[int, ...]] = [(0,)]
         self.number = {self.open[0]: 0}
         self.over = [0]
-        self.to: dict[int, tuple[int, int]] = {}
+        # By state and byte: next state and tokens emitted, packed alike.
+        self.to: dict[int, int] = {}
         self.allowed.clear()
 
     def _border(self, token: int, last: bool) -> list[tuple[int, int]]:
@@ -137,28 +139,37 @@ class Transducer:
             self.allowed[left, right] = known
         return known
 
-    def _compile(self, state: int, byte: int) -> tuple[int, int]:
-        """The transition of a state on a byte: next state and tokens emitted."""
+    def _compile(self, state: int, byte: int) -> int:
+        """The transition of a state on a byte."""
         found = []
-        child, token_at, inner = self.child, self.token_at, self.inner
-        for last, node, over in self.open[state]:
+        child, token_at, inner, allowed = self.child, self.token_at, self.inner, self.allowed
+        least, ended = 255, 0
+        for choice in self.open[state]:
+            over, node, last = choice & 255, choice >> 8 & _NODES, (choice >> 32) - 1
             below = child.get(node << 8 | byte)
             if below is None:
                 continue
             if inner[below]:
-                found.append((last, below, over))
+                found.append(last + 1 << 32 | below << 8 | over)
+                if over < least:
+                    least = over
             token = token_at[below]
-            if token != _NONE and (last == _NONE or self.may_follow(last, token)):
-                found.append((token, _START_NODE, over + 1))
-        least = min(over for _, _, over in found)
-        key = tuple(sorted((t, n, over - least) for t, n, over in found))
+            if token != _NONE and (last == _NONE or (allowed.get((last, token)) if (last, token) in allowed else self.may_follow(last, token))):
+                ended = over + 1
+                found.append(token + 1 << 32 | ended)
+                if ended < least:
+                    least = ended
+        if least:
+            found = [choice - least for choice in found]
+        found.sort()
+        key = tuple(found)
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.open)
             self.open.append(key)
-            self.over.append(next(over for _, node, over in key if node == _START_NODE))
-        self.to[state << 8 | byte] = number, least
-        return number, least
+            self.over.append(ended - least)
+        step = self.to[state << 8 | byte] = number << 8 | least
+        return step
 
     def count(self, word: bytes) -> int:
         """Tokens of one pre-token."""
@@ -167,8 +178,10 @@ class Transducer:
         state, emitted, to = 0, 0, self.to
         for b in word:
             step = to.get(state << 8 | b)
-            state, more = step if step is not None else self._compile(state, b)
-            emitted += more
+            if step is None:
+                step = self._compile(state, b)
+            state = step >> 8
+            emitted += step & 255
         return emitted + self.over[state]
 
 
