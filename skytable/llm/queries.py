@@ -60,3 +60,11 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from skytable.llm.quality import judge
 
     return judge(table(spark, folder, "documents", "doc_id", "text", "lang", "source"))
+
+
+@register
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Class and number of links of every document."""
+    from skytable.llm.jaccard_join import near_copies
+
+    return near_copies(table(spark, folder, "documents", "doc_id", "text"))
