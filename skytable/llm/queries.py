@@ -68,3 +68,12 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     from skytable.llm.jaccard_join import near_copies
 
     return near_copies(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@register
+def op7_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Five nearest neighbours of every vector whose id is divisible by 50."""
+    from skytable.llm.nearest import nearest
+
+    vectors = table(spark, folder, "embeddings", "vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"))
