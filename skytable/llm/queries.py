@@ -77,3 +77,19 @@ def op7_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
     vectors = table(spark, folder, "embeddings", "vec_id", "embedding")
     return nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@register
+def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the base spans, and all spans with the terms that reveal entities."""
+    from pyspark.sql import functions as F
+
+    from skytable.llm.sanitise import KINDS, digest_of, find, listed
+
+    found = find(table(spark, folder, "documents", "doc_id", "text"))
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *counts, digest_of(F.col("base")).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
