@@ -93,3 +93,11 @@ def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
     counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, digest_of(F.col("base")).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@register
+def op8_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every passage of every document that repeats in another one."""
+    from skytable.llm.chunk_dedup import repeated_passages
+
+    return repeated_passages(table(spark, folder, "documents", "doc_id", "text"))
