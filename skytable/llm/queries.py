@@ -101,3 +101,11 @@ def op8_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     from skytable.llm.chunk_dedup import repeated_passages
 
     return repeated_passages(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@register
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Topic, sampling probability and draw of every document."""
+    from skytable.llm.mixing import BUDGET, LANG_TARGETS, SOURCE_TARGETS, TOPIC_TARGETS, mix
+
+    return mix(table(spark, folder, "documents", "doc_id", "text", "lang", "source"), SOURCE_TARGETS, LANG_TARGETS, TOPIC_TARGETS, BUDGET)
