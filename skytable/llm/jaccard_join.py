@@ -156,13 +156,14 @@ def _groups(classes: DataFrame) -> DataFrame:
     # Every class that shares a bucket has a component, the root included.
     rooted = shared.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     rooted = cut_lineage(rooted)
-    sizes = rooted.select("digest", "root", "n").distinct().groupBy("root").agg(F.count("*").alias("all_classes"), F.sum("n").alias("all_shingles"))
+    # The plan of each component is a table of its own, so that joins on a large component's root can be split.
+    members = cut_lineage(rooted.select("digest", "root", "n").distinct())
+    sizes = members.groupBy("root").agg(F.count("*").alias("all_classes"), F.sum("n").alias("all_shingles"))
     by_bucket = rooted.groupBy("root").agg(F.sum(_blocks(F.col("classes"), F.col("shingles")).cast("double")).alias("cost"))
     plan = sizes.join(by_bucket, "root").withColumn("all_blocks", _blocks(F.col("all_classes"), F.col("all_shingles")))
-    plan = plan.select("root", "all_blocks", (F.col("all_classes") * F.col("all_blocks") <= F.col("cost")).alias("whole"))
-    planned = rooted.join(plan, "root")
-    whole = planned.where("whole").select("digest", F.hex("root").alias("group"), F.lit(-1).alias("band"), F.col("all_blocks").alias("blocks")).distinct()
-    single = planned.where("not whole").select("digest", F.col("bucket").cast("string").alias("group"), "band", _blocks(F.col("classes"), F.col("shingles")).alias("blocks"))
+    plan = cut_lineage(plan.select("root", "all_blocks", (F.col("all_classes") * F.col("all_blocks") <= F.col("cost")).alias("whole")))
+    whole = members.join(plan.where("whole"), "root").select("digest", F.hex("root").alias("group"), F.lit(-1).alias("band"), F.col("all_blocks").alias("blocks"))
+    single = rooted.join(plan.where("not whole"), "root").select("digest", F.col("bucket").cast("string").alias("group"), "band", _blocks(F.col("classes"), F.col("shingles")).alias("blocks"))
     return whole.unionByName(single)
 
 

@@ -109,3 +109,17 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from skytable.llm.mixing import BUDGET, LANG_TARGETS, SOURCE_TARGETS, TOPIC_TARGETS, mix
 
     return mix(table(spark, folder, "documents", "doc_id", "text", "lang", "source"), SOURCE_TARGETS, LANG_TARGETS, TOPIC_TARGETS, BUDGET)
+
+
+@register
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; labels of one fifth of the documents are held out."""
+    from pyspark.sql import functions as F
+
+    from skytable.llm.toxicity import sample, score, train
+
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    labels = table(spark, folder, "labels", "doc_id", "toxic").where(~held_out)
+    scored = score(docs, train(*sample(docs, labels)))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
