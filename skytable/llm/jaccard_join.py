@@ -19,7 +19,6 @@ least id; an empty table gives an empty table; only the id and text columns are
 from __future__ import annotations
 
 import re
-from functools import reduce
 from math import comb
 
 import numpy as np
@@ -30,6 +29,7 @@ from pyspark.sql import functions as F
 
 from skytable.llm.common import map_batches, texts_of
 from skytable.llm.components import components
+from skytable.llm.keyfilter import Known, bitmap
 from skytable.session import cut_lineage
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -40,8 +40,6 @@ TOLERANCE, STEP = 1e-9, 16
 BLOCK_CLASSES, BLOCK_SHINGLES = 1536, 1 << 20
 # Words that a task remembers the hash of.
 _REMEMBERED = 400_000
-# Bits of the filter that keeps texts which are no candidates from being shingled again; its size is fixed.
-_FILTER_BITS = 1 << 21
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -114,23 +112,22 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
 
 def sketches(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
     """``doc_id``, ``mark`` (hash of the text), ``digest`` of the shingle set (null if empty), its size ``n``, and ``bands``."""
-    taken = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    taken = docs.select(docs[id_col].alias("doc_id"), mark_of(docs[text_col]).alias("mark"), docs[text_col].alias("text"))
     kind = taken.schema["doc_id"].dataType.simpleString()
 
     def process():
         hashes = _WordHashes()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            marks, digests, sizes, found = [], [], [], []
+            digests, sizes, found = [], [], []
             for text in texts_of(batch):
                 s = shingles_of(text, hashes, width)
-                marks.append(_mark(text))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sizes.append(len(s))
                 found.append(band_hashes(signature(s, bands * rows), bands, rows).view(np.int64))
             flat = pa.array(np.concatenate(found), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * bands, pa.int32()), flat)
-            columns = [batch.column("doc_id"), pa.array(marks, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists]
+            columns = [batch.column("doc_id"), batch.column("mark"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists]
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "digest", "n", "bands"])
 
         return step
@@ -138,8 +135,13 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, te
     return map_batches(taken, f"doc_id {kind}, mark bigint, digest binary, n bigint, bands array<bigint>", process)
 
 
-def _mark(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+def mark_of(text: Column) -> Column:
+    """Hash of a text; with the id it names a row."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _key() -> Column:
+    return F.concat_ws("/", F.col("doc_id").cast("string"), F.col("mark").cast("string")).alias("key")
 
 
 def _blocks(classes: Column, shingles: Column) -> Column:
@@ -170,27 +172,14 @@ def _groups(classes: DataFrame) -> DataFrame:
 def _candidate_shingles(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """``digest`` and ``shingles`` of the rows that stand for the wanted classes (their ``doc_id`` and ``mark``), and of a few others."""
 
-    def bits(batches):
-        found = np.zeros(_FILTER_BITS // 8, np.uint8)
-        for batch in batches:
-            at = _place(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist())
-            np.bitwise_or.at(found, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], ["bits"])
-
-    # At most 16 bitmaps of a fixed size.
-    parts = [np.frombuffer(r[0], np.uint8) for r in wanted.select("doc_id", "mark").coalesce(16).mapInArrow(bits, "bits binary").collect()]
-    filtered = reduce(np.bitwise_or, parts, np.zeros(_FILTER_BITS // 8, np.uint8))
-    shared = docs.sparkSession.sparkContext.broadcast(filtered.tobytes())
-    taken = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(_key())))
+    taken = docs.select(docs[id_col].alias("doc_id"), mark_of(docs[text_col]).alias("mark"), docs[text_col].alias("text")).select(_key(), "text")
 
     def process():
-        hashes, known = _WordHashes(), np.frombuffer(shared.value, np.uint8)
+        hashes, known = _WordHashes(), Known(shared.value, 0)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = texts_of(batch)
-            at = _place(batch.column("doc_id").to_pylist(), [_mark(t) for t in texts])
-            hit = np.flatnonzero(known[at >> 3] >> (at & 7) & 1)
-            sets = [shingles_of(texts[i], hashes, width) for i in hit]
+            sets = [shingles_of(t, hashes, width) for k, t in zip(batch.column("key").to_pylist(), texts_of(batch), strict=True) if known[k]]
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "shingles"])
 
@@ -199,10 +188,6 @@ def _candidate_shingles(docs: DataFrame, wanted: DataFrame, width: int, id_col:
     return map_batches(taken, "digest binary, shingles binary", process)
 
 
-def _place(ids: list, marks: list[int]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(f"{i}/{m}".encode()) % _FILTER_BITS for i, m in zip(ids, marks, strict=True)], np.int64)
-
-
 def compare(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, band: int, threshold: float, bands: int, rows: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     """Places (in ``sets``) of the linked pairs between two lists of places, or within one list if they are the same list."""
     count = bands * rows
@@ -312,10 +297,13 @@ def near_copies(
 
     Starts jobs while the plan is built. Sketches, buckets, components and links are tables on shared storage.
     """
-    return _joined(docs, threshold, width, bands, rows, tolerance, id_col, text_col)[0]
+    sketched, known = _classes(docs, threshold, width, bands, rows, tolerance, id_col, text_col)
+    result = sketched.select("doc_id", "digest").join(known, "digest", "left")
+    return result.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
-def _joined(docs, threshold, width, bands, rows, tolerance, id_col, text_col) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, threshold: float, width: int, bands: int, rows: int, tolerance: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and ``digest``, ``root``, ``class_id`` and ``n_links`` of every shingle set with a copy or a link."""
     sketched = cut_lineage(sketches(docs, width, bands, rows, id_col, text_col))
     # The row that stands for a class: least id, then least text hash.
     classes = sketched.where("digest is not null").groupBy("digest").agg(
@@ -338,7 +326,44 @@ def _joined(docs, threshold, width, bands, rows, tolerance, id_col, text_col) ->
     known = classes.select("digest", "copies", "least_id").join(linked, "digest", "left").where("copies > 1 or links is not null")
     known = known.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     ids = known.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    known = cut_lineage(known.join(ids, "root").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    result = sketched.select("doc_id", "mark", "digest").join(known, "digest", "left")
-    result = result.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "mark", "digest")
-    return result.select("doc_id", "class_id", "n_links"), result
+    return sketched, cut_lineage(known.join(ids, "root").select("digest", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+
+
+def representatives(
+    docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The documents with one of each class left: that of least id, and of equal ids that of least text hash.
+
+    Only rows that a bitmap of fixed size lets through (those that go, and few others) take part in a join; the others stay where
+    they are read.
+    """
+    sketched, known = _classes(docs, threshold, width, bands, rows, tolerance, id_col, text_col)
+    members = cut_lineage(sketched.select("doc_id", "mark", "digest").join(known.where("n_links > 0").select("digest", "root"), "digest").select("doc_id", "mark", "root"))
+    first = members.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    # What one row of each key is to do: go, or stay once.
+    keys = members.groupBy("root", "doc_id", "mark").count().join(first, "root")
+    keys = keys.withColumn("goes", ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("mark").eqNullSafe(F.col("first.mark"))))
+    keys = cut_lineage(keys.where("goes or count > 1").select(_key(), "goes"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(keys.select("key")))
+    columns = docs.columns
+    named = docs.select(*[docs[c].alias(f"__{i}") for i, c in enumerate(columns)], F.concat_ws("/", docs[id_col].cast("string"), mark_of(docs[text_col]).cast("string")).alias("__key"))
+    keys = keys.withColumnRenamed("key", "__known")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema.fields)
+
+    def passing(hit: bool):
+        def process():
+            known = Known(shared.value, 0)
+
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+                return batch.filter(pa.array([known[k] == hit for k in batch.column("__key").to_pylist()], pa.bool_()))
+
+            return step
+
+        return process
+
+    rest = map_batches(named, schema, passing(False))
+    looked_up = map_batches(named, schema, passing(True)).join(keys, F.col("__key") == F.col("__known"), "left")
+    # Rows of one key have equal ids and texts.
+    once = looked_up.where("not goes").dropDuplicates(["__key"])
+    kept = rest.unionByName(looked_up.where("goes is null").select(rest.columns)).unionByName(once.select(rest.columns))
+    return kept.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(columns)])

@@ -218,14 +218,28 @@ def _groups(stats: DataFrame) -> DataFrame:
 
 
 def judge(
-    docs: DataFrame, cutoff: float = CUTOFF, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None
+    docs: DataFrame, cutoff: float = CUTOFF, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source"
 ) -> DataFrame:
-    """``doc_id``, the base statistics, ``base_failed``, ``kept`` and ``distance2`` of every document, with the columns of ``keep``.
+    """``doc_id``, the base statistics, ``base_failed``, ``kept`` and ``distance2`` of every document.
 
     ``distance2`` is null where the method says nothing. The statistics are written to shared storage once and read by every step.
     """
-    docs = docs.withColumns({"__lang": docs[lang_col], "__source": docs[source_col]})
-    stats = cut_lineage(base_statistics(docs, id_col, text_col, [*(keep or []), "__lang", "__source"]))
+    return _judged(docs, cutoff, id_col, text_col, lang_col, source_col, []).select("doc_id", *BASE, "base_failed", "kept", "distance2")
+
+
+def keep_good(
+    docs: DataFrame, cutoff: float = CUTOFF, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source"
+) -> DataFrame:
+    """The documents that are kept, with their columns. They are written to shared storage with their statistics, so that no text is shuffled."""
+    columns = docs.columns
+    judged = _judged(docs, cutoff, id_col, text_col, lang_col, source_col, columns)
+    return judged.where("kept").select(*[F.col(f"__keep_{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def _judged(docs: DataFrame, cutoff: float, id_col: str, text_col: str, lang_col: str, source_col: str, keep: list[str]) -> DataFrame:
+    carried = {"__lang": docs[lang_col], "__source": docs[source_col]} | {f"__keep_{i}": docs[c] for i, c in enumerate(keep)}
+    docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *[c.alias(n) for n, c in carried.items()])
+    stats = cut_lineage(base_statistics(docs, keep=list(carried)))
     values = {f"__{n}": c for n, c in transformed().items()}
     floors = {f"__{n}": f for n, f in FLOORS.items()}
     grouped = null_safe(stats.withColumns(values), cut_lineage(_groups(stats)), ["__lang", "__source"], "left")
@@ -234,4 +248,4 @@ def judge(
     joined = null_safe(grouped, params.where(F.col("n_rows") >= LEAST_ROWS), GROUP, "left")
     judged = joined.withColumn("distance2", F.when(~F.col("base_failed"), _squared_distance(list(values))))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))
-    return judged.select("doc_id", *(keep or []), *BASE, "base_failed", kept.alias("kept"), "distance2")
+    return judged.withColumn("kept", kept)

@@ -171,21 +171,18 @@ def disclosures(marked: DataFrame, docs: DataFrame, text_col: str, support: int
     pairs = cut_lineage(pairs.where(F.col("support") >= support))
     entities = near.groupBy("entity", "__row", "window").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("windows"))
     counts = _occurrences(docs, pairs.select("term").distinct(), text_col)
-    # Windows in the corpus; one row.
-    total = marked.agg((F.sum("__words") / (2 * REACH)).alias("total"))
-    known = pairs.join(entities, "entity").join(counts, "term").crossJoin(F.broadcast(total))
+    # Windows in the corpus.
+    total = (marked.agg(F.sum("__words")).first()[0] or 1) / (2 * REACH)
+    known = pairs.join(entities, "entity").join(counts, "term")
     given = F.least(F.col("together") / F.col("occurrences"), F.lit(1.0))
-    share = F.least(F.col("windows") / F.col("total"), F.lit(0.5))
+    share = F.least(F.col("windows") / F.lit(total), F.lit(0.5))
     return known.select("entity", "term", (F.lit(1.0) - F.log(given) / F.log(share)).alias("disclosure"))
 
 
-def find(
+def _found(
     docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
 ) -> DataFrame:
-    """``doc_id``, ``base`` and ``spans`` (arrays of start, kind, end; kind 4 is a term, 5 a term to be removed) of every text, and the kept columns.
-
-    Starts jobs while the plan is built. Words of documents without personal data take no part in any join.
-    """
+    """As :func:`find`, with the columns of ``keep`` as ``__keep_0`` and so on."""
     keep = keep or []
     marked = _marked(docs, id_col, text_col, keep)
     found = disclosures(marked, docs, text_col, support).where(F.col("disclosure") >= generalise)
@@ -196,10 +193,18 @@ def find(
     some = F.size("__near") > 0
     with_terms = marked.where(some).join(terms, "__row", "left").withColumn("spans", F.array_sort(F.concat("__base", F.coalesce("__terms", F.array().cast("array<struct<start:int,kind:int,end:int>>")))))
     without = marked.where(~some).withColumn("spans", F.col("__base"))
-    names = ["doc_id", *[F.col(f"__keep_{i}").alias(c) for i, c in enumerate(keep)], F.col("__base").alias("base"), "spans"]
+    names = ["doc_id", *[f"__keep_{i}" for i in range(len(keep))], F.col("__base").alias("base"), "spans"]
     return with_terms.select(*names).unionByName(without.select(*names))
 
 
+def find(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``base`` and ``spans`` (arrays of start, kind, end; kind 4 is a term, 5 a term to be removed) of every text.
+
+    Starts jobs while the plan is built. Words of documents without personal data take no part in any join.
+    """
+    return _found(docs, generalise, remove, support, id_col, text_col)
+
+
 def listed(spans, names: tuple[str, ...] = (*KINDS, "term", "term")):
     """Spans as ``kind:start:end``, comma-joined."""
     kinds = F.array(*[F.lit(n) for n in names])
@@ -227,20 +232,23 @@ def redact(text: str, spans: list[dict]) -> str:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with their texts sanitised; other columns stay as they are."""
     columns = docs.columns
-    found = find(docs, id_col=id_col, text_col=text_col, keep=columns)
-    plain = found.where(F.size("spans") == 0).select(*columns)
-    touched = found.where(F.size("spans") > 0).select(*columns, F.col("spans").alias("__spans"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    found = _found(docs, id_col=id_col, text_col=text_col, keep=columns)
+    names = [f"__keep_{i}" for i in range(len(columns))]
+    text = names[[c.lower() for c in columns].index(text_col.lower())]
+    plain = found.where(F.size("spans") == 0).select(*names)
+    touched = found.where(F.size("spans") > 0).select(*names, "spans")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
 
     def process():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts, spans = batch.column(text_col).to_pylist(), batch.column("__spans").to_pylist()
-            new = pa.array([t if t is None else redact(t, s) for t, s in zip(texts, spans, strict=True)], pa.string())
-            return pa.RecordBatch.from_arrays([new if c == text_col else batch.column(c) for c in columns], columns)
+            pairs = zip(batch.column(text).to_pylist(), batch.column("spans").to_pylist(), strict=True)
+            new = pa.array([t if t is None else redact(t, s) for t, s in pairs], pa.string())
+            return pa.RecordBatch.from_arrays([new if n == text else batch.column(n) for n in names], names)
 
         return step
 
-    return plain.unionByName(map_batches(touched, schema, process))
+    whole = plain.unionByName(map_batches(touched, schema, process))
+    return whole.select(*[F.col(n).alias(c) for n, c in zip(names, columns, strict=True)])
 
 
 def digest_of(spans) -> object:
