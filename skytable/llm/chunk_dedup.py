@@ -1,7 +1,8 @@
 """Substring deduplication by content-defined chunking.
 
-A gear hash rolls over the bytes of a text: each step doubles it and adds a number drawn for the byte. In 16 bits it depends
-on the last 16 bytes only, so where it falls below a bound, a chunk ends wherever the same bytes stand, whatever was inserted before them.
+A gear hash rolls over the bytes of a text: each step doubles it and adds a number drawn for the byte; only the last 16 bytes count. A chunk ends where
+the hash is least among the ``REACH`` places on either side. That depends on the bytes near the place only, so it ends wherever the same bytes
+stand, whatever was inserted before them; and two ends are more than ``REACH`` bytes apart, so that no chunk is so short that it repeats by chance.
 Chunks are compared by digest over all documents. A maximal run of chunks that each occur in two or more documents is a repeated passage if it
 has enough words; single chunks that agree by chance do not make one. What a passage loses at its two ends is less than a chunk each.
 
@@ -27,28 +28,36 @@ from pyspark.sql import functions as F
 from skytable.llm.common import fresh_name, map_batches, texts_of
 from skytable.session import cut_lineage
 
-# Bytes of a chunk: about so many on average, and at most.
-MEAN, MOST = 16, 256
+# Places on either side that an end of a chunk is compared with (a power of two; chunks have about twice as many bytes), and bytes of a chunk at most.
+REACH, MOST = 16, 256
 # Words that a run of repeated chunks must have.
 LEAST_WORDS = 25
 _FILTER_BITS = 1 << 24
-_GEAR = np.random.default_rng(1618).integers(0, 1 << 16, 256, dtype=np.uint16)
+_GEAR = np.random.default_rng(1618).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
-    """The rolling hash after each byte, in 16 bits; by doubling the window, which gives what one step per byte gives."""
+    """The rolling hash of the last 16 bytes after each byte; by doubling the window, which gives what one step per byte gives."""
     h = _GEAR[data]
     for shift in (1, 2, 4, 8):
         if len(h) > shift:
-            h = h + np.concatenate([np.zeros(shift, np.uint16), h[:-shift] << np.uint16(shift)])
+            h = h + np.concatenate([np.zeros(shift, np.uint32), h[:-shift] << np.uint32(shift)])
     return h
 
 
-def ends_of(data: np.ndarray, mean: int = MEAN, most: int = MOST) -> np.ndarray:
+def ends_of(data: np.ndarray, reach: int = REACH, most: int = MOST) -> np.ndarray:
     """Where the chunks of a text end, the end of the text included."""
     if not len(data):
         return np.empty(0, np.int64)
-    ends = np.flatnonzero(gear(data) < (1 << 16) // mean) + 1
+    # Least hash of ``reach`` places from each one on, by doubling; what lies outside the text is greater than any hash.
+    outside = np.full(reach, np.iinfo(np.uint64).max, np.uint64)
+    h = np.concatenate([outside, gear(data).astype(np.uint64), outside])
+    least, size = h, 1
+    while size < reach:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    own = h[reach:-reach]
+    ends = np.flatnonzero((own < least[: len(own)]) & (own <= least[reach + 1 : reach + 1 + len(own)])) + 1
     if not len(ends) or ends[-1] != len(data):
         ends = np.append(ends, len(data))
     sizes = np.diff(ends, prepend=0)
