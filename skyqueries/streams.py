@@ -34,7 +34,7 @@ def _progress(df):
     "select worker, cast(epoch(date_trunc('minute', ts)) as bigint) as window_start, count(*) as events, round(sum(bytes_read), 4) as bytes_read, cast(count(*) filter (where is_error) as bigint) as errors from progress group by 1, 2",
 )
 def windows(spark, folder):
-    w = jobs.run_to_table(jobs.progress_windows(_progress(_stream(spark, folder, "events"))), key=["window_start", "worker"])
+    w = jobs.run_to_table(jobs.progress_windows(_progress(_stream(spark, folder, "events")), "3650 days"), key=["window_start", "worker"])
     return w.select("worker", F.col("window_start").cast("bigint").alias("window_start"), "events", F.round("bytes_read", 4).alias("bytes_read"), "errors")
 
 

@@ -148,8 +148,8 @@ def object_size(a: Column, b: Column, pixel_area: Column):
 
 
 def rough_distance(diameter_arcsec: Column) -> Column:
-    """Distance in light years for a typical 50,000 light-year object."""
-    return F.lit(50000.0) / (diameter_arcsec / ARCSEC) * 60.0
+    """Distance in light years for a typical 50,000 light-year object; null for size 0."""
+    return F.try_divide(F.lit(50000.0), diameter_arcsec / ARCSEC) * 60.0
 
 
 def crop_box(x: Column, y: Column, a: Column, b: Column, width: Column, height: Column, padding: float) -> dict[str, Column]:

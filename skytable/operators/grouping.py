@@ -3,8 +3,8 @@
 The sequential rule: in arrival order a detection joins the earliest group whose first position lies within the
 tolerance, else it starts a group. Run in parallel this way: the plane is cut into cells so small that two positions in
 one cell always match. A cell then founds at most one group, and only its earliest open position can be the founder.
-A founder is certain once it is earlier than the earliest open position of every cell around it. Each round settles
-these, removes what they cover, and repeats. All positions of one object collapse to one candidate before any shuffle,
+Each round settles, block by block, every candidate whose earlier neighbours are settled too, removes what the new founders cover, and repeats; a
+block is some minutes of arc wide, so rounds count the blocks that a chain of neighbours crosses, not its links. All positions of one object collapse to one candidate before any shuffle,
 so a very popular object costs no more than a rare one, and pairs of detections are never formed.
 """
 
@@ -13,8 +13,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from skytable.functions import coords
 from skytable.operators.ranking import arrival_rank, renumber
@@ -22,6 +24,9 @@ from skytable.session import cut_lineage
 
 REACH = 2
 BLOCK_CELLS = 16
+# Cells along a side of the blocks that one round settles, and candidates of a cell that it sees.
+SETTLE_CELLS = 512
+CANDIDATES = 4
 WHOLE_CIRCLE = 360.0
 CELL = ["level", "cu", "cv"]
 BLOCK = ["level", "gu", "gv"]
@@ -62,18 +67,69 @@ def _cell_in_reach(f: Column) -> Column:
     return (gap <= REACH) & (F.abs(f["cv"] - F.col("cv")) <= REACH)
 
 
-def first_come_groups(items: DataFrame, grids: list[Column], shown: list[str], match: Callable[[Column], Column]) -> DataFrame:
+def _settle(block: pa.Table, tolerance: float) -> pa.Table:
+    """Founders among the candidates of one block, by the sequential rule.
+
+    A candidate is settled if nothing earlier within reach is open: rows of the border belong to other blocks and stay open, and
+    so does a cell after the last of its candidates that was sent.
+    """
+    rows = sorted(block.to_pylist(), key=lambda r: r["seq"])
+    founders: dict[tuple, dict] = {}
+    open_from: dict[tuple, int] = {}
+    settled = []
+    steps = [(du, dv) for du in range(-REACH, REACH + 1) for dv in range(-REACH, REACH + 1)]
+    for r in rows:
+        u, v, seq = r["cu"], r["cv"], r["seq"]
+        around = [(u + du, v + dv) for du, dv in steps]
+        is_open = not r["own"] or any(open_from.get(c, seq) < seq for c in around)
+        if not is_open and not any(c in founders and _flat_match(r, founders[c], tolerance) for c in around):
+            founders[u, v] = r
+            settled.append(seq)
+        if is_open or (r["last"] and (u, v) not in founders):
+            open_from.setdefault((u, v), seq)
+    return pa.table([pa.array(settled, pa.int64())], ["seq"])
+
+
+def _flat_match(a: dict, b: dict, tolerance: float) -> bool:
+    """The rule of ``coords.flat_match`` for two rows."""
+    dra, ddec = a["ra"] - b["ra"], a["dec"] - b["dec"]
+    scaled = dra * math.cos(math.radians((a["dec"] + b["dec"]) / 2.0))
+    return abs(dra) <= tolerance and abs(ddec) <= tolerance and math.sqrt(scaled * scaled + ddec * ddec) <= tolerance
+
+
+def _founders(open_rows: DataFrame, tolerance: float) -> DataFrame:
+    """Founders that one round settles on the flat plane; a block holds at most ``CANDIDATES`` rows for each of its cells."""
+    order = W.partitionBy("cu", "cv").orderBy("seq")
+    # The rank limit is applied before the shuffle too, so a crowded cell sends a few rows from each task.
+    first = open_rows.select("seq", "ra", "dec", "cu", "cv").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= CANDIDATES)
+    first = first.withColumn("last", F.col("_n") == CANDIDATES).drop("_n")
+    side = lambda c: F.floor(c / SETTLE_CELLS).cast("bigint")
+    sides = lambda c: F.array_distinct(F.array(side(F.col(c)), side(F.col(c) - REACH), side(F.col(c) + REACH)))
+    sent = first.withColumn("_bu", F.explode(sides("cu"))).withColumn("_bv", F.explode(sides("cv")))
+    sent = sent.withColumn("own", (F.col("_bu") == side(F.col("cu"))) & (F.col("_bv") == side(F.col("cv"))))
+    seqs = sent.groupBy("_bu", "_bv").applyInArrow(lambda block: _settle(block, tolerance), "seq bigint")
+    return open_rows.join(seqs, "seq", "left_semi")
+
+
+def first_come_groups(items: DataFrame, grids: list[Column], shown: list[str], match: Callable[[Column], Column], tolerance: float | None = None) -> DataFrame:
     """The sequential rule in parallel rounds: (seq, home) per item, where home is its group's first item.
 
     ``items``: unique ``seq``, own cell (level, cu, cv), ``kind`` so that items of one cell and kind always match,
     ``ring`` (cells around the circle, 0 without wrap), and the ``shown`` columns that ``match`` reads; a written table,
     as every round reads it. A match lies within two cells. ``grids``: the item's cell on each grid in use.
+    ``tolerance`` (degrees) says that ``match`` is the flat match, whose rounds settle whole blocks. Positions must be finite.
     """
     views = F.array(*grids)
     one_grid = len(grids) == 1
     founders = None
     open_rows = items
     while True:
+        if tolerance is not None:
+            sure = cut_lineage(_founders(open_rows, tolerance).select(*CELL, "ring", "kind", "seq", *shown))
+            founders, open_rows = _next_round(founders, sure, open_rows, views, shown, match)
+            if open_rows.isEmpty():
+                break
+            continue
         first = open_rows.groupBy(*CELL, "ring", "kind").agg(F.min(F.struct("seq", *shown)).alias("c"))
         first = first.select(*CELL, "ring", "kind", "c.*")
         seen = _seen_from(first, views).join(_by_block(first, []), BLOCK)
@@ -84,15 +140,16 @@ def first_come_groups(items: DataFrame, grids: list[Column], shown: list[str], m
             calm = seen.groupBy("seq").agg(F.min("earliest").alias("earliest")).filter("seq = earliest").select("seq")
             sure = first.join(calm, "seq", "left_semi")
         sure = cut_lineage(sure)
-        founders = sure if founders is None else founders.unionByName(sure)
-        near = _by_block(sure, shown)
-        hit = F.coalesce(F.exists("near", match), F.lit(False))
         if one_grid:
-            rest = _seen_from(open_rows, views).join(near, BLOCK, "left").filter(~hit).select(*open_rows.columns)
+            founders, open_rows = _next_round(founders, sure, open_rows, views, shown, match)
         else:
+            if sure.isEmpty() and not open_rows.isEmpty():
+                raise RuntimeError("a round of grouping settled nothing")
+            founders = sure if founders is None else founders.unionByName(sure)
+            near = _by_block(sure, shown)
+            hit = F.coalesce(F.exists("near", match), F.lit(False))
             covered = _seen_from(open_rows, views).join(near, BLOCK).filter(hit).select("seq").distinct()
-            rest = open_rows.join(covered, "seq", "left_anti")
-        open_rows = cut_lineage(rest)
+            open_rows = cut_lineage(open_rows.join(covered, "seq", "left_anti"))
         if open_rows.isEmpty():
             break
     # Structs order by their first field, so the least one is the earliest founder.
@@ -101,11 +158,31 @@ def first_come_groups(items: DataFrame, grids: list[Column], shown: list[str], m
     return placed if one_grid else placed.groupBy("seq").agg(F.min("home").alias("home"))
 
 
+def _next_round(founders, sure: DataFrame, open_rows: DataFrame, views: Column, shown: list[str], match) -> tuple[DataFrame, DataFrame]:
+    """All founders so far, and the rows that the new ones leave open."""
+    if sure.isEmpty() and not open_rows.isEmpty():
+        raise RuntimeError("a round of grouping settled nothing")
+    hit = F.coalesce(F.exists("near", match), F.lit(False))
+    rest = _seen_from(open_rows, views).join(_by_block(sure, shown), BLOCK, "left").filter(~hit).select(*open_rows.columns)
+    return sure if founders is None else founders.unionByName(sure), cut_lineage(rest)
+
+
+def _finite(*columns: str) -> Column:
+    """Whether all columns hold a number that is neither NaN nor infinite."""
+    good = F.lit(True)
+    for c in columns:
+        value = F.col(c).cast("double")
+        good = good & F.coalesce((F.abs(value) < F.lit(float("inf"))) & ~F.isnan(value), F.lit(False))
+    return good
+
+
 def group_detections(detections: DataFrame, arcsec: float = 1.0) -> DataFrame:
     """Adds (group_seq, group_ra, group_dec), the arrival number and position of the group's first detection.
 
-    ``detections`` needs a unique integer ``seq`` and (ra, dec). Runs a few rounds of jobs with checkpoints.
+    ``detections`` needs a unique integer ``seq`` and (ra, dec); rows without a finite position come back with a null group. Runs
+    a few rounds of jobs with checkpoints.
     """
+    whole, detections = detections, detections.filter(_finite("ra", "dec"))
     side = arcsec / coords.ARCSEC / math.sqrt(2.0) * (1 - 1e-9)
     positions = (
         detections.groupBy("ra", "dec")
@@ -118,20 +195,25 @@ def group_detections(detections: DataFrame, arcsec: float = 1.0) -> DataFrame:
     )
     positions = cut_lineage(positions)
     match = lambda f: coords.flat_match(F.col("ra"), F.col("dec"), f["ra"], f["dec"], arcsec)
-    homes = first_come_groups(positions, [F.struct("level", "cu", "cv", "ring")], ["ra", "dec"], match)
+    homes = first_come_groups(positions, [F.struct("level", "cu", "cv", "ring")], ["ra", "dec"], match, arcsec / coords.ARCSEC)
     placed = positions.select("seq", "ra", "dec").join(homes, "seq").select(
         "ra", "dec", F.col("home.seq").alias("group_seq"), F.col("home.ra").alias("group_ra"), F.col("home.dec").alias("group_dec")
     )
-    return detections.join(placed, ["ra", "dec"])
+    without = whole.filter(~_finite("ra", "dec"))
+    none = [F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in ("group_seq", "group_ra", "group_dec")]
+    return detections.join(placed, ["ra", "dec"]).select(*whole.columns, "group_seq", "group_ra", "group_dec").unionByName(without.select("*", *none))
 
 
 def group_by_footprint(detections: DataFrame, size_fraction: float = 0.5, size_floor: float = 1.0) -> DataFrame:
     """In arrival order a detection joins the first group whose footprint contains it and whose size is similar.
 
     ``detections``: unique ``seq``, (ra, dec), half sides ``half_ra``, ``half_dec`` of the footprint in degrees (below
-    16) and ``size`` in arcsec, which may be null. RA wraps. Adds ``group_seq``. A footprint's grid is the largest
+    16, larger ones stop the job with an error) and ``size`` in arcsec, which may be null. RA wraps. Adds ``group_seq``, null for rows without a
+    finite position and positive half sides. A footprint's grid is the largest
     power of two that fits its half sides, so one cell and size class holds one group at most.
     """
+    usable = _finite("ra", "dec", "half_ra", "half_dec") & (F.col("half_ra") > 0) & (F.col("half_dec") > 0)
+    whole, detections = detections, detections.filter(usable)
     same = ["ra", "dec", "half_ra", "half_dec", "size"]
     power = lambda c: F.floor(F.log2(F.col(c))).cast("int")
     checked = F.when((F.col("half_ra") < 16) & (F.col("half_dec") < 16), power("half_ra")).otherwise(
@@ -177,7 +259,8 @@ def group_by_footprint(detections: DataFrame, size_fraction: float = 0.5, size_f
     homes = first_come_groups(items, grids, same, match)
     placed = items.join(homes, "seq").select(*same, F.col("home.seq").alias("group_seq"))
     keys = [detections[c].eqNullSafe(placed[c]) for c in same]
-    return detections.join(placed, keys).select(*[detections[c] for c in detections.columns], "group_seq")
+    grouped = detections.join(placed, keys).select(*[detections[c] for c in detections.columns], "group_seq")
+    return grouped.unionByName(whole.filter(~usable).withColumn("group_seq", F.lit(None).cast("bigint")))
 
 
 def with_group_ids(grouped: DataFrame) -> DataFrame:

@@ -215,7 +215,8 @@ def count_sources(pixels: DataFrame, stats: DataFrame, tile: int = TILE) -> Data
     """Bright 4-connected spots (above mean + 3 sd) per image. ``stats``: (image_id, mean, var)."""
     level = stats.select("image_id", (F.col("mean") + 3.0 * F.sqrt("var")).alias("_level"))
     marked = pixels.join(level, "image_id").filter(F.col("v") > F.col("_level")).drop("_level")
-    return label_pixels(marked, False, tile).groupBy("image_id").agg(F.countDistinct("comp").cast("double").alias("n_sources"))
+    counted = label_pixels(marked, False, tile).groupBy("image_id").agg(F.countDistinct("comp").cast("double").alias("n_sources"))
+    return stats.select("image_id").join(counted, "image_id", "left").withColumn("n_sources", F.coalesce("n_sources", F.lit(0.0)))
 
 
 def largest_component_box(pixels: DataFrame, threshold: float = WHITE_LEVEL, pad: int = 1, tile: int = TILE) -> DataFrame:
@@ -277,7 +278,7 @@ def downsample(pixels: DataFrame, budget_bytes: int, pixel_bytes: int = 8) -> Da
 
 
 def background(pixels: DataFrame, mesh: int = 64) -> DataFrame:
-    """H3: (image_id, my, mx, level, rms) per mesh square: median, and spread from the median deviation.
+    """H3: (image_id, my, mx, level, rms) per mesh square: median, and standard deviation as the spread.
 
     A square holds at most ``mesh``² pixels, so the exact percentile is bounded.
     """
@@ -292,7 +293,8 @@ def subtract_background(pixels: DataFrame, mesh: int = 64) -> tuple[DataFrame, D
     levels = background(pixels, mesh)
     keys = ["image_id", "my", "mx"]
     squares = pixels.withColumn("my", F.floor(F.col("y") / mesh).cast("int")).withColumn("mx", F.floor(F.col("x") / mesh).cast("int"))
-    clean = squares.join(levels, keys).select(*[(F.col("v") - F.col("level")).alias("v") if c == "v" else F.col(c) for c in pixels.columns])
+    # A square without any known pixel has no level; its pixels stay what they are.
+    clean = squares.join(levels, keys, "left").select(*[(F.col("v") - F.coalesce("level", F.lit(0.0))).alias("v") if c == "v" else F.col(c) for c in pixels.columns])
     return clean, exact_quantiles(levels, ["image_id"], "rms", {"global_rms": 0.5})
 
 

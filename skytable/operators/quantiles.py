@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from skytable.operators.scalars import with_row
+from skytable.operators.scalars import null_safe_join, with_row
 
 STEPS_PER_OCTAVE = 1024
 LOWEST_OCTAVE = 1100
@@ -36,7 +36,7 @@ def running_before(df: DataFrame, keys: list[str], order: list[Column], chunk: C
     offsets = sums.select(*keys, "_chunk", *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in totals])
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     local = [F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_l_{n}") for n, c in totals.items()]
-    joined = tagged.select("*", *local).join(offsets, [*keys, "_chunk"])
+    joined = null_safe_join(tagged.select("*", *local), offsets, [*keys, "_chunk"])
     out = [(F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(n) for n in totals]
     return joined.select(*df.columns, *out)
 
@@ -48,7 +48,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str
     placed = running_before(counts, keys, [F.col("_v")], magnitude_chunk(F.col("_v")), {"_before": "_c"})
     sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if keys:
-        placed = placed.join(sizes, keys)
+        placed = null_safe_join(placed, sizes, keys)
     else:
         placed = with_row(placed, sizes)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from skytable.operators.scalars import null_safe_join
 from skytable.session import cut_lineage
 
 CHUNK_ROWS = 1 << 20
@@ -24,13 +25,13 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column], last: boo
 
 
 def rank_in_chunks(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, name: str) -> DataFrame:
-    """1-based rank per key in ``order``; ``chunk`` must never decrease along ``order`` and keys must not be null."""
+    """1-based rank per key in ``order``; ``chunk`` must never decrease along ``order``; null is a key like any other."""
     tagged = df.withColumn("_chunk", chunk)
     sizes = tagged.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     local = F.row_number().over(W.partitionBy(*keys, "_chunk").orderBy(*order))
-    ranked = tagged.withColumn("_local", local).join(offsets, [*keys, "_chunk"])
+    ranked = null_safe_join(tagged.withColumn("_local", local), offsets, [*keys, "_chunk"])
     return ranked.withColumn(name, (F.col("_before") + F.col("_local")).cast("bigint")).drop("_chunk", "_local", "_before")
 
 
@@ -77,7 +78,7 @@ def next_versions(new: DataFrame, existing: DataFrame, keys: list[str], seq: str
     """Version of each new row = highest existing version of its key + its place among the new rows; gaps stay."""
     top = existing.groupBy(*keys).agg(F.max("version").alias("_top"))
     ranked = arrival_rank(new, keys, seq, "_place")
-    joined = ranked.join(top, keys, "left")
+    joined = null_safe_join(ranked, top, keys, "left")
     return joined.withColumn("version", F.coalesce("_top", F.lit(0)) + F.col("_place")).drop("_top", "_place")
 
 

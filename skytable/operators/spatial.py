@@ -238,9 +238,16 @@ def search_rings(centres: DataFrame, arcsec: float, leaf: int = LEAF_POSITIONS)
     return rings
 
 
+def _rank_key(rank: Column) -> Column:
+    """A rank as a number; a missing rank comes first, as it does in the order of structs."""
+    return F.coalesce(rank.cast("double"), F.lit(float("-inf")))
+
+
 def _best_cover(places: DataFrame, offered: DataFrame, arcsec: float) -> DataFrame:
     """Best covering offer of each position within the radius."""
     pairs = cone_pairs(places, offered, arcsec)
+    if "known_rank" in places.columns:
+        pairs = pairs.filter(F.col("known_rank").isNull() | (_rank_key(F.col("filter_rank")) < F.col("known_rank")))
     x, y, front = coords.sky_to_pixel(
         F.col("scale_deg"), F.col("crpix_x"), F.col("crpix_y"), F.col("ra"), F.col("dec"), F.col("crval_ra"), F.col("crval_dec")
     )
@@ -261,11 +268,11 @@ def resolve_sources(
 
     ``observations``: (obs_id, c_ra, c_dec, filter_rank), already filtered to mission, level, target and filter.
     ``products``: (obs_id, product_rank, product_filename, scale_deg, crpix_x, crpix_y, crval_ra, crval_dec, width,
-    height). Order: filter rank, separation, observation id, product rank.
+    height). Order: filter rank (a missing one first), separation, observation id, product rank.
 
     Copies of one pointing with one image geometry cover the same sky, so only the best of them enters the join. Where
-    pointings are dense the search goes filter by filter and outwards in rings: what a ring finds beats everything
-    farther out, so a position leaves as soon as it is found and the wide rings only see what is left.
+    pointings are dense the search goes outwards in rings: what a ring finds beats everything farther out of the same filter rank
+    or a later one, so wider rings only see positions that a better rank could still win.
     """
     geometry = ["scale_deg", "crpix_x", "crpix_y", "crval_ra", "crval_dec", "width", "height"]
     pointing = ["c_ra", "c_dec", "filter_rank"]
@@ -280,13 +287,17 @@ def resolve_sources(
     if len(rings) == 1:
         best = _best_cover(places, offered, rings[0])
     else:
-        offered, left = cut_lineage(offered), cut_lineage(places)
-        found = []
-        # Filter preferences are a short fixed list.
-        for rank in sorted(r[0] for r in offered.select("filter_rank").distinct().collect()):
-            for ring in rings:
-                hit = cut_lineage(_best_cover(left, offered.filter(F.col("filter_rank") == rank), ring))
-                found.append(hit)
-                left = cut_lineage(left.join(hit.select("ra", "dec"), ["ra", "dec"], "left_anti"))
-        best = reduce(DataFrame.unionByName, found)
+        offered = cut_lineage(offered)
+        least = offered.agg(F.min(_rank_key(F.col("filter_rank")))).first()[0]
+        best = cut_lineage(_best_cover(places, offered, rings[0]))
+        for ring in rings[1:]:
+            # What a smaller ring found can only be beaten by a better filter rank.
+            known = places.join(best.select("ra", "dec", _rank_key(F.col("filter_rank")).alias("known_rank")), ["ra", "dec"], "left")
+            open_places = cut_lineage(known.filter(F.col("known_rank").isNull() | (F.col("known_rank") > F.lit(least))))
+            if open_places.isEmpty():
+                break
+            wider = _best_cover(open_places, offered, ring)
+            row = F.struct("filter_rank", "sep_arcsec", *[c for c in best.columns if c not in ("ra", "dec", "filter_rank", "sep_arcsec")])
+            both = best.unionByName(wider).groupBy("ra", "dec").agg(F.min(row).alias("b"))
+            best = cut_lineage(both.select("ra", "dec", "b.*").select(*best.columns))
     return spots.join(best, ["ra", "dec"])

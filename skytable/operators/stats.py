@@ -66,14 +66,14 @@ def regression_aggregates(y: Column, pred: Column, keep: Column | None = None) -
     yy = F.when(keep, y)
     return [
         F.count(err).alias("n"),
-        (1.0 - F.sum(err * err) / (F.var_pop(yy) * F.count(yy))).alias("r2"),
+        (1.0 - F.try_divide(F.sum(err * err), F.var_pop(yy) * F.count(yy))).alias("r2"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
         F.avg(F.abs(err)).alias("mae"),
     ]
 
 
 def regression_metrics(df: DataFrame, y: str, pred: str, by: list[str]) -> DataFrame:
-    """R2, RMSE and MAE per split."""
+    """R2, RMSE and MAE per split. R2 is null where the target is constant."""
     return df.groupBy(*by).agg(*regression_aggregates(F.col(y), F.col(pred)))
 
 

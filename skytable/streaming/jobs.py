@@ -34,8 +34,11 @@ def table_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
-def progress_windows(events: DataFrame, delay: str = "10 minutes", width: str = "1 minute") -> DataFrame:
-    """Per worker and time window the events, bytes and errors. ``events``: (ts, worker, bytes_read, is_error)."""
+def progress_windows(events: DataFrame, delay: str, width: str = "1 minute") -> DataFrame:
+    """Per worker and time window the events, bytes and errors. ``events``: (ts, worker, bytes_read, is_error).
+
+    Events later than ``delay`` are left out by a stream, so the caller has to state it.
+    """
     return (
         events.withWatermark("ts", delay)
         .groupBy(F.window("ts", width), "worker")

@@ -84,3 +84,36 @@ def test_footprints(spark):
     s = spark.createDataFrame(d).withColumn("size", F.nanvl("size", F.lit(None).cast("double")))
     got = grouping.group_by_footprint(s).select("seq", "group_seq").toPandas().sort_values("seq")
     assert list(got.group_seq) == want
+
+
+def test_positions_without_value(spark):
+    """Rows without a finite position end with a null group; the others are grouped as if they were not there."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 1.0, 1.0), (2, None, 1.0), (3, nan, 1.0), (4, 1.0, inf), (5, 1.0, 1.0), (6, None, None)]
+    got = grouping.group_detections(spark.createDataFrame(rows, "seq bigint, ra double, dec double"))
+    assert {r.seq: r.group_seq for r in got.collect()} == {1: 1, 5: 1, 2: None, 3: None, 4: None, 6: None}
+    none = grouping.group_detections(spark.createDataFrame([(2, None, 1.0)], "seq bigint, ra double, dec double"))
+    assert none.first().group_seq is None
+    prints = [(1, 1.0, 1.0, 0.1, 0.1, 5.0), (2, None, 1.0, 0.1, 0.1, 5.0), (3, 1.0, 1.0, 0.0, 0.1, 5.0), (4, 1.0, nan, 0.1, 0.1, 5.0), (5, 1.01, 1.0, 0.1, 0.1, 5.0)]
+    got = grouping.group_by_footprint(spark.createDataFrame(prints, "seq bigint, ra double, dec double, half_ra double, half_dec double, size double"))
+    assert {r.seq: r.group_seq for r in got.collect()} == {1: 1, 5: 1, 2: None, 3: None, 4: None}
+
+
+def test_long_chain_settles_in_few_rounds(spark, monkeypatch):
+    """Neighbours in arrival order, 2,000 links over half a degree."""
+    step = 0.9 / 3600
+    d = pd.DataFrame({"seq": np.arange(2000), "ra": 40 + np.arange(2000) * step, "dec": 0.0})
+    rounds = []
+    plain = grouping._founders
+    monkeypatch.setattr(grouping, "_founders", lambda *a: rounds.append(1) or plain(*a))
+    got = grouping.group_detections(spark.createDataFrame(d)).select("seq", "group_seq").toPandas().sort_values("seq")
+    assert list(got.group_seq) == replay(d[["seq", "ra", "dec"]].values.tolist())
+    assert len(rounds) <= 10
+
+
+def test_blocks_smaller_than_the_field(spark, monkeypatch):
+    """Founders across the borders of many blocks, with cells that hold more than what one round sees."""
+    monkeypatch.setattr(grouping, "SETTLE_CELLS", 4)
+    d = crowded(300, 4e-4, 5)
+    got = grouping.group_detections(spark.createDataFrame(d)).select("seq", "group_seq").toPandas().sort_values("seq")
+    assert list(got.group_seq) == replay(d[["seq", "ra", "dec"]].values.tolist())
