@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -39,6 +40,11 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     """Set the run-time settings on a session somebody else made."""
     for name, value in RUNTIME_SETTINGS.items():
         spark.conf.set(name, value)
+    # Python workers find the library where the driver found it, whatever folder they start in.
+    root, environment = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     return spark
 
 
