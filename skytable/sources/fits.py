@@ -19,7 +19,8 @@ PIXEL_TYPES = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"
 
 
 def read_bytes(spark, root: str) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    # The name filter keeps other files from being read at all.
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[fF][iI][tT][sS]")
     return reader.load(root).filter(F.lower("path").rlike(r"\.fits$")).select("path", "content")
 
 

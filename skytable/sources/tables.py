@@ -18,39 +18,65 @@ LEGACY_URI, LEGACY_NAME, LEGACY_LEVEL, LEGACY_WIDTH = 6, 14, 18, 19
 SOURCE_BASE_FIELDS = "ra dec scope provider path ext ext_name product_filename obs_id target_name filter".split()
 
 
-def read_catalog(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A1: catalog CSV with a header whose names may carry blanks; the schema is explicit, so no inference pass."""
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
-    return df.toDF(*[c.strip() for c in df.columns])
+def header_of(spark: SparkSession, path: str, skip_ending: str = "", **options) -> list[str]:
+    """Column names of a CSV, or of the first file of several that is not empty: reads one line."""
+    reader = spark.read
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    lines = reader.text(path)
+    if skip_ending:
+        lines = lines.filter(~F.col("_metadata.file_name").endswith(skip_ending))
+    first = lines.first()
+    return [] if first is None else [c.strip().strip('"').strip() for c in first[0].split(",")]
+
+
+def _by_name(spark: SparkSession, path: str, header: list[str], wanted: list[str], options: dict[str, str]) -> DataFrame:
+    """All columns of the header as text, from which the wanted ones are taken by name; other columns are ignored."""
+    missing = [c for c in wanted if c not in header]
+    if header and missing:
+        raise ValueError(f"columns absent from the header of {path}: {', '.join(missing)}")
+    # A name that occurs twice counts where it comes first.
+    places = {c: i for i, c in reversed(list(enumerate(header or wanted)))}
+    schema = R.text_schema([f"c{i}" for i in range(len(header or wanted))])
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True)
+    reader = reader.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    return reader.csv(path).select(*[F.col(f"c{places[c]}").alias(c) for c in wanted], "_metadata")
 
 
-def header_of(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV: reads one line."""
-    first = spark.read.text(path).first()
-    return [] if first is None else [c.strip() for c in first[0].split(",")]
+def read_catalog(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A1: catalog CSV by the names of its header, which may carry blanks and other columns; types come from the schema, without an inference pass."""
+    wanted = spark.createDataFrame([], schema).schema
+    names_ = [f.name.strip() for f in wanted.fields]
+    df = _by_name(spark, path, header_of(spark, path), names_, {})
+    return df.select(*[F.col(f"`{n}`").try_cast(f.dataType).alias(n) for n, f in zip(names_, wanted.fields, strict=True)])
 
 
-def read_report(spark: SparkSession, path, columns: list[str] | None = None, **options) -> DataFrame:
-    """A2: structure report as text columns, cut and padded to the header by the permissive reader."""
-    wanted = columns or R.REPORT_COLUMNS
-    reader = spark.read.schema(R.text_schema(wanted)).option("header", True).option("enforceSchema", True)
-    reader = reader.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-    for k, v in options.items():
-        reader = reader.option(k, v)
-    return reader.csv(path)
+def read_report(spark: SparkSession, path, columns: list[str] | None = None, skip_ending: str = "", **options) -> DataFrame:
+    """A2: structure report as text columns, taken by the names of the header; rows are cut and padded to it by the permissive reader.
+
+    Files read together share the header of the first one. A wanted name that the header lacks is an error.
+    """
+    lookup = {k: v for k, v in options.items() if k in ("recursiveFileLookup", "pathGlobFilter")}
+    header = header_of(spark, path, skip_ending, **lookup)
+    df = _by_name(spark, path, header, columns or R.REPORT_COLUMNS, options)
+    if skip_ending:
+        df = df.filter(~F.col("_metadata.file_name").endswith(skip_ending))
+    return df.select(*[c for c in df.columns if c != "_metadata"])
 
 
 def combine_reports(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:
     """A3: all per-object CSVs under a tree except the arc tables; empty and header-only files add no rows."""
-    df = read_report(spark, root, columns, recursiveFileLookup="true", pathGlobFilter="*.csv")
-    return df.filter(~F.col("_metadata.file_name").endswith("_arcs.csv"))
+    return read_report(spark, root, columns, skip_ending="_arcs.csv", recursiveFileLookup="true", pathGlobFilter="*.csv")
 
 
 def read_variations(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:
     """A4: per-object reports ``<object>/2-OUT/galaxy.csv``; good fits only, malformed lines skipped."""
-    df = read_report(spark, root, columns, mode="DROPMALFORMED", recursiveFileLookup="true", pathGlobFilter="galaxy.csv")
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": "galaxy.csv"}
+    df = _by_name(spark, root, header_of(spark, root, **options), columns, {"mode": "DROPMALFORMED", **options})
     owner = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/2-OUT/galaxy\.csv$", 1)
-    tagged = df.select("*", owner.alias("object_id")).filter("object_id <> ''")
+    tagged = df.withColumn("object_id", owner).drop("_metadata").filter("object_id <> ''")
     return tagged.filter(F.trim("fit_state") == "OK")
 
 

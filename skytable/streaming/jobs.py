@@ -48,7 +48,8 @@ def progress_windows(events: DataFrame, delay: str, width: str = "1 minute") ->
 
 
 def freshness(age_seconds: Column) -> Column:
-    return F.when(age_seconds < FRESH, "fresh").when(age_seconds < WORKING, "working").otherwise("stalled")
+    """State by the age of the last event; without a usable time a worker is waiting."""
+    return F.when(age_seconds.isNull(), "waiting").when(age_seconds < FRESH, "fresh").when(age_seconds < WORKING, "working").otherwise("stalled")
 
 
 def worker_freshness(events: DataFrame, now: Column) -> DataFrame:

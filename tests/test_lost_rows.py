@@ -61,3 +61,26 @@ def test_constant_target_has_no_r2(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 1.0), ("b", 1.0, 1.0), ("b", 2.0, 2.0)], "split string, y double, p double")
     got = {r.split: r for r in stats.regression_metrics(df, "y", "p", ["split"]).collect()}
     assert got["a"].r2 is None and got["a"].mae == 0.5 and got["b"].r2 == 1.0
+
+
+def test_reports_are_read_by_header(spark, tmp_path):
+    """Extra leading columns, another order and blanks in names do not shift values; a missing name is an error."""
+    import pytest
+
+    from skytable.sources import tables
+
+    (tmp_path / "r.csv").write_text("index, b ,P_CW,a\n7,x,0.5,y\n8,p,0.25\n")
+    got = tables.read_report(spark, str(tmp_path / "r.csv"), ["a", "b"]).collect()
+    assert [tuple(r) for r in got] == [("y", "x"), (None, "p")]
+    cat = tables.read_catalog(spark, str(tmp_path / "r.csv"), "P_CW double, ` b` string, index bigint")
+    assert [tuple(r) for r in cat.collect()] == [(0.5, "x", 7), (0.25, "p", 8)]
+    with pytest.raises(ValueError):
+        tables.read_report(spark, str(tmp_path / "r.csv"), ["a", "absent"])
+
+
+def test_worker_without_time_waits(spark):
+    from skytable.streaming import jobs
+
+    events = spark.createDataFrame([("w1", None), ("w2", "2024-01-01 00:00:00")], "worker string, t string").select("worker", F.col("t").cast("timestamp").alias("ts"))
+    got = {r.worker: r.status for r in jobs.worker_freshness(events, F.lit("2024-01-01 00:00:30")).collect()}
+    assert got == {"w1": "waiting", "w2": "fresh"}
