@@ -27,6 +27,8 @@ BLOCK_CELLS = 16
 # Cells along a side of the blocks that one round settles, and candidates of a cell that it sees.
 SETTLE_CELLS = 512
 CANDIDATES = 4
+# Rows that are settled in one call, on average: the blocks of a thin field share calls.
+CALL_ROWS = 50_000
 WHOLE_CIRCLE = 360.0
 CELL = ["level", "cu", "cv"]
 BLOCK = ["level", "gu", "gv"]
@@ -67,33 +69,41 @@ def _cell_in_reach(f: Column) -> Column:
     return (gap <= REACH) & (F.abs(f["cv"] - F.col("cv")) <= REACH)
 
 
-def _settle(block: pa.Table, tolerance: float) -> pa.Table:
-    """Founders among the candidates of one block, by the sequential rule.
+def _settle(blocks: pa.Table, tolerance: float) -> pa.Table:
+    """Founders among the candidates of some blocks."""
+    columns = [blocks[c].to_pylist() for c in ("_bu", "_bv", "seq", "ra", "dec", "cu", "cv", "own", "last")]
+    rows: dict[tuple[int, int], list[tuple]] = {}
+    for bu, bv, *row in zip(*columns, strict=True):
+        rows.setdefault((bu, bv), []).append(tuple(row))
+    settled = [seq for block in rows.values() for seq in _settle_block(block, tolerance)]
+    return pa.table([pa.array(settled, pa.int64())], ["seq"])
+
+
+def _settle_block(rows: list[tuple], tolerance: float) -> list[int]:
+    """Founders among the candidates (seq, ra, dec, cu, cv, own, last) of one block, by the sequential rule.
 
     A candidate is settled if nothing earlier within reach is open: rows of the border belong to other blocks and stay open, and
     so does a cell after the last of its candidates that was sent.
     """
-    rows = sorted(block.to_pylist(), key=lambda r: r["seq"])
-    founders: dict[tuple, dict] = {}
-    open_from: dict[tuple, int] = {}
+    founders: dict[tuple[int, int], tuple[float, float]] = {}
+    open_from: dict[tuple[int, int], int] = {}
     settled = []
     steps = [(du, dv) for du in range(-REACH, REACH + 1) for dv in range(-REACH, REACH + 1)]
-    for r in rows:
-        u, v, seq = r["cu"], r["cv"], r["seq"]
-        around = [(u + du, v + dv) for du, dv in steps]
-        is_open = not r["own"] or any(open_from.get(c, seq) < seq for c in around)
-        if not is_open and not any(c in founders and _flat_match(r, founders[c], tolerance) for c in around):
-            founders[u, v] = r
+    for seq, ra, dec, u, v, own, last in sorted(rows):
+        around = [(u + du, v + dv) for du, dv in steps] if founders or open_from else []
+        is_open = not own or any(open_from.get(c, seq) < seq for c in around)
+        if not is_open and not any(c in founders and _flat_match(ra, dec, *founders[c], tolerance) for c in around):
+            founders[u, v] = (ra, dec)
             settled.append(seq)
-        if is_open or (r["last"] and (u, v) not in founders):
+        if is_open or (last and (u, v) not in founders):
             open_from.setdefault((u, v), seq)
-    return pa.table([pa.array(settled, pa.int64())], ["seq"])
+    return settled
 
 
-def _flat_match(a: dict, b: dict, tolerance: float) -> bool:
-    """The rule of ``coords.flat_match`` for two rows."""
-    dra, ddec = a["ra"] - b["ra"], a["dec"] - b["dec"]
-    scaled = dra * math.cos(math.radians((a["dec"] + b["dec"]) / 2.0))
+def _flat_match(ra1: float, dec1: float, ra2: float, dec2: float, tolerance: float) -> bool:
+    """The rule of ``coords.flat_match`` for two positions."""
+    dra, ddec = ra1 - ra2, dec1 - dec2
+    scaled = dra * math.cos(math.radians((dec1 + dec2) / 2.0))
     return abs(dra) <= tolerance and abs(ddec) <= tolerance and math.sqrt(scaled * scaled + ddec * ddec) <= tolerance
 
 
@@ -107,7 +117,9 @@ def _founders(open_rows: DataFrame, tolerance: float) -> DataFrame:
     sides = lambda c: F.array_distinct(F.array(side(F.col(c)), side(F.col(c) - REACH), side(F.col(c) + REACH)))
     sent = first.withColumn("_bu", F.explode(sides("cu"))).withColumn("_bv", F.explode(sides("cv")))
     sent = sent.withColumn("own", (F.col("_bu") == side(F.col("cu"))) & (F.col("_bv") == side(F.col("cv"))))
-    seqs = sent.groupBy("_bu", "_bv").applyInArrow(lambda block: _settle(block, tolerance), "seq bigint")
+    calls = 1 + open_rows.count() // CALL_ROWS
+    sent = sent.withColumn("_call", F.pmod(F.xxhash64("_bu", "_bv"), F.lit(calls)))
+    seqs = sent.groupBy("_call").applyInArrow(lambda blocks: _settle(blocks, tolerance), "seq bigint")
     return open_rows.join(seqs, "seq", "left_semi")
 
 
