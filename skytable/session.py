@@ -83,12 +83,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget_written(spark: SparkSession) -> int:
-    """Delete the tables :func:`cut_lineage` wrote in this process; returns how many. Results built on them become invalid."""
+def written_tables() -> list[str]:
+    """The tables that :func:`cut_lineage` wrote in this process and that are still there, oldest first."""
+    return list(_written)
+
+
+def forget_written(spark: SparkSession, tables: list[str] | None = None) -> int:
+    """Delete tables that :func:`cut_lineage` wrote in this process, all or the given ones; returns how many. Results built on them become invalid."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     done = 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in written_tables() if tables is None else [t for t in tables if t in _written]:
+        _written.remove(name)
+        path = jvm.org.apache.hadoop.fs.Path(name)
         done += int(path.getFileSystem(conf).delete(path, True))
     return done
