@@ -13,7 +13,7 @@ keeps the second from sending chunks that are not repeated, and a join makes it
 map-side combine, and Spark may split its join.
 
 Defined cases: a null or empty text has no chunks; texts are chunked whole, and without a natural end within ``MOST`` bytes a chunk ends there; repeated rows are
-different documents, unless they share their id: a passage counts as kept in every row of the least id that holds it; an empty table gives an empty table; only the id and text columns are
+different documents, unless they share their id: a passage counts as kept in every row of the least id that holds it, and in rows without an id; an empty table gives an empty table; only the id and text columns are
 read, so other columns cannot clash.
 """
 
@@ -151,7 +151,7 @@ def _instances(docs: DataFrame, bits: bytes, id_col: str, text_col: str) -> Data
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each repeated passage of each document: ``doc_id``, ``start`` and ``end`` (code points, end exclusive), ``n_words``,
-    ``first_doc_id`` (least id that holds a chunk of it), ``n_places`` (chunks in the corpus that equal its most frequent one) and ``kept`` (whether this document is the first holder of a part of it).
+    ``first_doc_id`` (least id that holds a chunk of it), ``n_places`` (chunks in the corpus that equal its most frequent one) and ``kept`` (whether this document is the first holder of at least half of it).
 
     Documents without repeated passages have no row. Starts jobs while the plan is built.
     """
@@ -176,9 +176,10 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: s
                     run, lo = chunks[lo:hi], hi
                     words = run[-1]["words_upto"] - run[0]["words_before"]
                     if words >= least_words:
+                        mine = sum(c["words_upto"] - c["words_before"] for c in run if c["first_doc_id"] == own)
                         firsts = [c["first_doc_id"] for c in run if c["first_doc_id"] is not None]
                         at.append(i)
-                        out.append((run[0]["start"], run[-1]["end"], words, min(firsts, default=None), max(c["n_places"] for c in run), own is None or own in firsts))
+                        out.append((run[0]["start"], run[-1]["end"], words, min(firsts, default=None), max(c["n_places"] for c in run), own is None or 2 * mine >= words))
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.int32(), pa.int32(), pa.int64(), batch.column("doc_id").type, pa.int64(), pa.bool_()), strict=True)]
             return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int32())), *columns], ["doc_id", "start", "end", "n_words", "first_doc_id", "n_places", "kept"])
 
