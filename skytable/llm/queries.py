@@ -123,3 +123,25 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels", "doc_id", "toxic").where(~held_out)
     scored = score(docs, train(*sample(docs, labels)))
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+SQL["op10_jaccard_join"] = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from documents
+), grams as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from words
+), sizes as (
+  select doc_id, count(*) as n from grams group by 1
+), shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from grams a join grams b using (g) where a.doc_id <> b.doc_id group by 1, 2
+), links as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where c >= 0.8 * (x.n + y.n - c) - 1e-9
+), reached(doc_id, member) as (
+  select doc_id, doc_id from documents union select r.doc_id, l.b from reached r join links l on l.a = r.member
+), counted as (
+  select a as doc_id, count(*) as n from links group by 1
+)
+select d.doc_id, min(r.member) as class_id, coalesce(max(k.n), 0)::bigint as n_links
+from documents d join reached r on r.doc_id = d.doc_id left join counted k on k.doc_id = d.doc_id group by d.doc_id
+"""
