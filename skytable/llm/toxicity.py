@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 from skytable.llm.common import map_batches, texts_of
 
 # Labelled texts of each class used at most, and characters that such a text may have.
-MOST_LABELLED, MOST_CHARACTERS = 3000, 20_000
+MOST_LABELLED, MOST_CHARACTERS = 1500, 8000
 # Kernel: subsequences of each length with the span they may have, the factor of a gap, hash bins of subsequences.
 SPANS = {3: 5, 4: 6, 5: 7}
 GAP = 0.5
 BINS = 1 << 20
-LANDMARKS, TYPICAL, FREQUENT = 360, 200, 100
+LANDMARKS, TYPICAL, FREQUENT = 280, 160, 80
 # Clean words, hardest clean words and typical words that training uses at most, and the total cost of errors of each class.
-CLEAN, HARD, MOST_TYPICAL, COST = 6000, 2000, 600, 400.0
+CLEAN, HARD, MOST_TYPICAL, COST = 5000, 1500, 600, 400.0
 LONGEST, STEP = 24, 12
 _REMEMBERED = 300_000
 _EDGE = ".,;:!?\"'()[]{}<>#$%&*+-/=@^_`|~…«»¿¡„“”’‘"
@@ -125,25 +125,36 @@ def _bins_of(words: list[str]):
             yield np.repeat(at, bins.shape[1]), bins.ravel().astype(np.int64), weight / norm
 
 
+class _Landmarks:
+    """Landmark words with their scaled subsequences, one row of weights for each bin that occurs."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = words
+        found = list(_bins_of(words))
+        used = np.unique(np.concatenate([bins for _, bins, _ in found]))
+        self.place = np.full(BINS, -1, np.int32)
+        self.place[used] = np.arange(len(used))
+        self.table = np.zeros((len(used), len(words)), np.float32)
+        for i, bins, weight in found:
+            np.add.at(self.table, (self.place[bins], i), np.float32(weight))
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """Kernel of words with the landmarks."""
+        out = np.zeros((len(words), len(self.words)), np.float32)
+        for at in by_length(words, 1024):
+            part = [words[i] for i in at]
+            norm = _norm(len(part[0]))
+            for bins, weight in subsequences(part):
+                rows = self.place[bins.astype(np.int64)]
+                for j in range(rows.shape[1]):
+                    i = np.flatnonzero(rows[:, j] >= 0)
+                    out[at[i]] += np.float32(weight / norm) * self.table[rows[i, j]]
+        return out
+
+
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Kernel of words with landmarks."""
-    found = list(_bins_of(landmarks))
-    used = np.unique(np.concatenate([bins for _, bins, _ in found]))
-    table = np.zeros((len(used), len(landmarks)), np.float32)
-    for i, bins, weight in found:
-        np.add.at(table, (np.searchsorted(used, bins), i), np.float32(weight))
-    place = np.full(BINS, -1, np.int64)
-    place[used] = np.arange(len(used))
-    out = np.zeros((len(words), len(landmarks)), np.float32)
-    for at in by_length(words):
-        part = [words[i] for i in at]
-        norm = _norm(len(part[0]))
-        for bins, weight in subsequences(part):
-            rows = place[bins.astype(np.int64)]
-            for j in range(rows.shape[1]):
-                i = np.flatnonzero(rows[:, j] >= 0)
-                out[at[i]] += np.float32(weight / norm) * table[rows[i, j]]
-    return out
+    return _Landmarks(landmarks).kernel(words)
 
 
 class Model(NamedTuple):
@@ -168,13 +179,17 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps on the examples inside the margin."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x1.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     penalty = np.diag(np.append(np.full(x.shape[1], ridge), 1e-6))
     for _ in range(steps):
-        inside = y * (x1 @ w) < 1
-        a, c = x1[inside], cost[inside]
-        new = np.linalg.solve(penalty + (a * c[:, None]).T @ a, a.T @ (c * y[inside]))
+        inside = np.flatnonzero(y * (x @ w[:-1] + w[-1]) < 1)
+        left, right = penalty.copy(), np.zeros(len(w))
+        for lo in range(0, len(inside), 1000):
+            at = inside[lo : lo + 1000]
+            a = np.hstack([x[at], np.ones((len(at), 1))])
+            left += (a * cost[at, None]).T @ a
+            right += a.T @ (cost[at] * y[at])
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-8:
             break
         w = new
@@ -210,14 +225,15 @@ class _Machine:
 
     def __init__(self, landmarks: list[str]) -> None:
         self.landmarks = landmarks
-        values, vectors = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
+        self.table = _Landmarks(landmarks)
+        values, vectors = np.linalg.eigh(self.table.kernel(landmarks).astype(np.float64))
         self.root = vectors[:, values > 1e-4] / np.sqrt(values[values > 1e-4])
         self.known: dict[str, np.ndarray] = {}
 
     def vectors(self, words: list[str]) -> np.ndarray:
         new = [w for w in words if w not in self.known]
         if new:
-            self.known.update(zip(new, kernel(new, self.landmarks) @ self.root, strict=True))
+            self.known.update(zip(new, (self.table.kernel(new) @ self.root).astype(np.float32), strict=True))
         return np.stack([self.known[w] for w in words])
 
     def model(self, positive: list[str], counts: np.ndarray, clean: list[str], hard: Counter[str]) -> Model:
@@ -232,48 +248,58 @@ class _Machine:
         return Model(table.astype(np.float32), intercept, np.zeros(5))
 
 
-def _typical(words: list[set[str]], toxic: np.ndarray) -> tuple[list[str], Counter, Counter]:
-    """Words that are typical of toxic texts, most typical first, and the numbers of toxic and clean texts that hold a word."""
-    in_pos, in_neg = Counter(), Counter()
-    for w, t in zip(words, toxic, strict=True):
-        (in_pos if t else in_neg).update(w)
-    ratio = (len(words) - toxic.sum() + 1) / (toxic.sum() + 1)
-    odds = {w: np.log((p + 0.1) / (in_neg[w] + 0.1) * ratio) for w, p in in_pos.items() if p > 1 and len(w) >= 3}
-    return sorted((w for w in odds if odds[w] > 2), key=lambda w: (-odds[w] * in_pos[w], w)), in_pos, in_neg
+class _Texts(NamedTuple):
+    """Labelled texts as numbers of words: each text's words in order of their numbers, without repeats, and the words themselves in order."""
 
+    vocabulary: list[str]
+    sets: list[np.ndarray]
+    toxic: np.ndarray
 
-def _fit_words(machine: _Machine, words: list[set[str]], toxic: np.ndarray, clean: list[str], rounds: int = 2) -> Model:
-    typical, in_pos, in_neg = _typical(words, toxic)
-    clean = [w for w in clean if in_neg[w]] or clean
-    first = typical[:MOST_TYPICAL] or sorted(in_pos, key=lambda w: (in_neg[w] - in_pos[w], w))[:50]
-    base = Counter({w: in_pos[w] for w in first})
-    positive, hard = base, Counter()
+    def holders(self, texts: np.ndarray) -> np.ndarray:
+        """How many of the given texts hold each word."""
+        found = [self.sets[i] for i in texts]
+        return np.bincount(np.concatenate(found) if found else np.empty(0, np.int64), minlength=len(self.vocabulary))
+
+
+def _typical(texts: _Texts, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words that are typical of toxic texts, most typical first, and the numbers of toxic and clean texts that hold each word."""
+    toxic = texts.toxic[seen]
+    in_pos, in_neg = texts.holders(seen[toxic]), texts.holders(seen[~toxic])
+    odds = np.log((in_pos + 0.1) / (in_neg + 0.1) * ((~toxic).sum() + 1) / (toxic.sum() + 1))
+    long = np.array([len(w) >= 3 for w in texts.vocabulary], bool)
+    order = np.argsort(-odds * in_pos, kind="stable")
+    return order[((in_pos > 1) & long & (odds > 2))[order]], in_pos, in_neg
+
+
+def _fit_words(machine: _Machine, texts: _Texts, seen: np.ndarray, clean: np.ndarray, rounds: int = 2) -> Model:
+    """The machine of the seen texts."""
+    named = texts.vocabulary
+    typical, in_pos, in_neg = _typical(texts, seen)
+    negatives = [named[i] for i in clean if in_neg[i]] or [named[i] for i in clean]
+    base = typical[:MOST_TYPICAL] if len(typical) else np.argsort(in_neg - in_pos, kind="stable")[:50]
+    counts = np.zeros(len(named))
+    counts[base] = in_pos[base]
+    hard: Counter[str] = Counter()
     for k in range(rounds + 1):
-        names = sorted(positive)
-        model = machine.model(names, np.array([positive[w] for w in names], float), clean, hard)
+        positive = np.flatnonzero(counts)
+        model = machine.model([named[i] for i in positive], counts[positive], negatives, hard)
         if k == rounds:
-            return model
-        vocabulary = sorted(w for w in in_pos if not in_neg[w])
-        score = dict(zip(vocabulary, word_scores(model, vocabulary), strict=True)) if vocabulary else {}
-        others = sorted(in_neg)
-        other_scores = word_scores(model, others)
-        hard |= Counter({others[i]: in_neg[others[i]] for i in np.argsort(-other_scores, kind="stable")[:HARD]})
-        least = max(0.0, np.quantile(other_scores, 0.999))
-        chosen: Counter[str] = Counter()
-        for w, t in zip(words, toxic, strict=True):
-            if t:
-                best = sorted((v for v in w if v in score), key=lambda v: (-score[v], v))[:4]
-                chosen.update(v for v in best if score[v] > least)
-        positive = base | chosen
+            break
+        score = word_scores(model, named)
+        others = np.flatnonzero(in_neg)
+        if len(others):
+            worst = others[np.argsort(-score[others], kind="stable")[:HARD]]
+            hard |= Counter({named[i]: int(in_neg[i]) for i in worst})
+        least = max(0.0, np.quantile(score[others], 0.999)) if len(others) else 0.0
+        counts = np.zeros(len(named))
+        for i in seen[texts.toxic[seen]]:
+            own = texts.sets[i][in_neg[texts.sets[i]] == 0]
+            best = own[np.argsort(-score[own], kind="stable")[:4]]
+            counts[best[score[best] > least]] += 1
+        counts[base] = np.maximum(counts[base], in_pos[base])
     return model
 
 
-def _features(model: Model, words: list[list[str]]) -> np.ndarray:
-    vocabulary = sorted(set().union(*words)) if words else []
-    score = dict(zip(vocabulary, word_scores(model, vocabulary), strict=True)) if vocabulary else {}
-    return np.stack([text_features(np.array([score[v] for v in w])) for w in words])
-
-
 def train(texts: list[str], toxic: list[bool], folds: int = 3) -> Model:
     """Fit the machine on all texts, and the regression on scores of texts by machines that have not seen them."""
     y = np.array(toxic, dtype=bool)
@@ -285,18 +311,25 @@ def train(texts: list[str], toxic: list[bool], folds: int = 3) -> Model:
     for value in (True, False):
         at = rng.permutation(np.flatnonzero(y == value))
         fold[at] = np.arange(len(at)) % folds
-    words = [words_of(t) for t in texts]
-    sets = [set(w) for w in words]
-    typical, _, in_neg = _typical(sets, y)
-    clean = sorted(in_neg, key=lambda w: (zlib.crc32(w.encode("utf-8", "surrogatepass")), w))[:CLEAN]
-    frequent = sorted(in_neg, key=lambda w: (-in_neg[w], w))[:FREQUENT]
-    machine = _Machine(list(dict.fromkeys(typical[:TYPICAL] + frequent + clean))[:LANDMARKS])
+    number: dict[str, int] = {}
+    tokens = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
+    vocabulary = sorted(number)
+    place = np.zeros(len(number), np.int32)
+    place[[number[w] for w in vocabulary]] = np.arange(len(vocabulary))
+    tokens = [place[t] for t in tokens]
+    known = _Texts(vocabulary, [np.unique(t) for t in tokens], y)
+    everything = np.arange(len(y))
+    typical, _, in_neg = _typical(known, everything)
+    mixed = np.argsort([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in vocabulary], kind="stable")
+    clean = mixed[in_neg[mixed] > 0][:CLEAN]
+    frequent = np.argsort(-in_neg, kind="stable")[:FREQUENT]
+    machine = _Machine([vocabulary[i] for i in dict.fromkeys([*typical[:TYPICAL], *frequent, *clean])][:LANDMARKS])
     features = np.zeros((len(y), 4))
     for k in range(folds):
-        seen, rest = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        model = _fit_words(machine, [sets[i] for i in seen], y[seen], clean)
-        features[rest] = _features(model, [words[i] for i in rest])
-    final = _fit_words(machine, sets, y, clean)
+        score = word_scores(_fit_words(machine, known, np.flatnonzero(fold != k), clean), vocabulary)
+        for i in np.flatnonzero(fold == k):
+            features[i] = text_features(score[tokens[i]])
+    final = _fit_words(machine, known, everything, clean)
     return final._replace(text=_logistic(features, y.astype(float)))
 
 
