@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 from skytable.llm.common import map_batches, texts_of
 
 # Labelled texts of each class used at most, and characters that such a text may have.
-MOST_LABELLED, MOST_CHARACTERS = 1500, 8000
+MOST_LABELLED, MOST_CHARACTERS = 3000, 20000
 # Kernel: subsequences of each length with the span they may have, the factor of a gap, hash bins of subsequences.
 SPANS = {3: 5, 4: 6, 5: 7}
 GAP = 0.5
 BINS = 1 << 20
-LANDMARKS, TYPICAL, FREQUENT = 280, 160, 80
+LANDMARKS, TYPICAL, FREQUENT = 360, 200, 100
 # Clean words, hardest clean words and typical words that training uses at most, and the total cost of errors of each class.
-CLEAN, HARD, MOST_TYPICAL, COST = 5000, 1500, 600, 400.0
+CLEAN, HARD, MOST_TYPICAL, COST = 6000, 2000, 600, 400.0
 LONGEST, STEP = 24, 12
 _REMEMBERED = 300_000
 _EDGE = ".,;:!?\"'()[]{}<>#$%&*+-/=@^_`|~…«»¿¡„“”’‘"
@@ -92,23 +92,25 @@ def by_length(words: list[str], most: int = 4096):
             yield at[lo : lo + most]
 
 
+def _hashed(codes: np.ndarray, places: tuple[int, ...], made: dict[tuple[int, ...], np.ndarray]) -> np.ndarray:
+    """Hashes of the subsequences at some places; ``made`` keeps those of their beginnings. Not a closure that calls itself: such a cycle
+    would hold the arrays until the garbage collector runs."""
+    many = codes.shape[1] - places[-1]
+    if places not in made:
+        before = _hashed(codes, places[:-1], made)[:, :many] if len(places) > 1 else np.uint32(0x85EBCA6B)
+        h = (before ^ codes[:, places[-1] : places[-1] + many]) * np.uint32(0x9E3779B1)
+        made[places] = h ^ (h >> np.uint32(15))
+    return made[places][:, :many]
+
+
 def subsequences(words: list[str]):
     """(bins, weight) of each pattern for words of one length; bins is a table of words by places."""
     codes = _codes(words)
     n = codes.shape[1]
     made: dict[tuple[int, ...], np.ndarray] = {}
-
-    def hashed(places: tuple[int, ...]) -> np.ndarray:
-        many = n - places[-1]
-        if places not in made:
-            before = hashed(places[:-1])[:, :many] if len(places) > 1 else np.uint32(0x85EBCA6B)
-            h = (before ^ codes[:, places[-1] : places[-1] + many]) * np.uint32(0x9E3779B1)
-            made[places] = h ^ (h >> np.uint32(15))
-        return made[places][:, :many]
-
     for places, weight in _PATTERNS:
         if n > places[-1]:
-            yield (hashed(places) + np.uint32(len(places) * 0x1F123BB5)) % np.uint32(BINS), weight
+            yield (_hashed(codes, places, made) + np.uint32(len(places) * 0x1F123BB5)) % np.uint32(BINS), weight
 
 
 def _norm(length: int) -> float:
@@ -126,29 +128,35 @@ def _bins_of(words: list[str]):
 
 
 class _Landmarks:
-    """Landmark words with their scaled subsequences, one row of weights for each bin that occurs."""
+    """Landmark words with their scaled subsequences, as the landmarks and weights of each bin that occurs; few landmarks share a bin."""
 
     def __init__(self, words: list[str]) -> None:
         self.words = words
         found = list(_bins_of(words))
-        used = np.unique(np.concatenate([bins for _, bins, _ in found]))
-        self.place = np.full(BINS, -1, np.int32)
-        self.place[used] = np.arange(len(used))
-        self.table = np.zeros((len(used), len(words)), np.float32)
-        for i, bins, weight in found:
-            np.add.at(self.table, (self.place[bins], i), np.float32(weight))
+        bins = np.concatenate([b for _, b, _ in found])
+        owner = np.concatenate([i for i, _, _ in found])
+        weights = np.concatenate([np.full(len(b), w, np.float32) for _, b, w in found])
+        order = np.argsort(bins, kind="stable")
+        self.used, self.first, self.many = np.unique(bins[order], return_index=True, return_counts=True)
+        self.owner, self.weights = owner[order], weights[order]
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """Kernel of words with the landmarks."""
-        out = np.zeros((len(words), len(self.words)), np.float32)
-        for at in by_length(words, 1024):
+        wide = len(self.words)
+        out = np.zeros((len(words), wide), np.float32)
+        for at in by_length(words, 256):
             part = [words[i] for i in at]
-            norm = _norm(len(part[0]))
+            total = np.zeros(len(part) * wide)
             for bins, weight in subsequences(part):
-                rows = self.place[bins.astype(np.int64)]
-                for j in range(rows.shape[1]):
-                    i = np.flatnonzero(rows[:, j] >= 0)
-                    out[at[i]] += np.float32(weight / norm) * self.table[rows[i, j]]
+                flat = bins.ravel().astype(np.int64)
+                place = np.minimum(np.searchsorted(self.used, flat), len(self.used) - 1)
+                hit = np.flatnonzero(self.used[place] == flat)
+                place, row = place[hit], hit // bins.shape[1]
+                many = self.many[place]
+                # One entry for each landmark of each bin that is hit.
+                entry = np.arange(many.sum()) + np.repeat(self.first[place] - np.cumsum(many) + many, many)
+                np.add.at(total, np.repeat(row, many) * wide + self.owner[entry], weight * self.weights[entry])
+            out[at] = total.reshape(len(part), wide) / _norm(len(part[0]))
         return out
 
 
