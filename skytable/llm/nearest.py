@@ -18,6 +18,7 @@ read, so other columns cannot clash.
 
 from __future__ import annotations
 
+from heapq import nsmallest
 from itertools import product
 from math import log2
 
@@ -33,6 +34,8 @@ from skytable.session import cut_lineage
 TABLES, WIDTH = 6, 1.4
 # Entries of a chunk, on average.
 CHUNK = 4096
+# How far rounding may move a cosine of the matrix product; entries so close to the last one asked for are all scored exactly.
+MARGIN = 1e-9
 
 
 def projections_for(rows: int) -> int:
@@ -141,14 +144,14 @@ def _best(queries: pa.Table, entries: pa.Table, neighbours: int) -> pa.Table:
             e_at, x, unit = spaces[size]
             for lo in range(0, len(q), 512):
                 near = _units(q[lo : lo + 512]) @ unit.T
-                # Two more than asked for: the query's own entry, and one that rounding may have moved.
-                many = min(neighbours + 3, near.shape[1])
-                chosen = np.argpartition(-near, many - 1, axis=1)[:, :many]
-                for k, cols in enumerate(chosen):
-                    row = lo + k
-                    scores = _cosines(np.repeat(q[row][None], many, 0), x[cols])
+                # One more than asked for, as one may be the query's own entry; and whatever equals the last of them but for rounding.
+                many = min(neighbours + 1, near.shape[1])
+                least = np.partition(near, near.shape[1] - many, axis=1)[:, -many] - MARGIN
+                for k, row_near in enumerate(near):
+                    row, cols = lo + k, np.flatnonzero(row_near >= least[k])
+                    scores = _cosines(np.repeat(q[row][None], len(cols), 0), x[cols])
                     own = int(q_ids[q_at[row]])
-                    named = sorted((-s, v) for s, c in zip(scores, cols, strict=True) for v in ids[e_at[c]] if v != own)[:neighbours]
+                    named = nsmallest(neighbours, ((-s, v) for s, c in zip(scores, cols, strict=True) for v in ids[e_at[c]] if v != own))
                     out_q += [own] * len(named)
                     out_v += [v for _, v in named]
                     out_s += [-s for s, _ in named]
