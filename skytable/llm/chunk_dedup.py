@@ -13,7 +13,8 @@ keeps the second from sending chunks that are not repeated, and a join makes it
 map-side combine, and Spark may split its join.
 
 Defined cases: a null or empty text has no chunks; texts are chunked whole, and without a natural end within ``MOST`` bytes a chunk ends there; repeated rows are
-different documents, unless they share their id: a passage counts as kept in every row of the least id that holds it, and in rows without an id; an empty table gives an empty table; only the id and text columns are
+different documents, unless they share their id: a passage counts as kept in every row of the least id that holds it, and in rows without an id; a run
+that is partly first held here and partly elsewhere is one row for each such part, so that no chunk is cut from its first holder; an empty table gives an empty table; only the id and text columns are
 read, so other columns cannot clash.
 """
 
@@ -149,10 +150,31 @@ def _instances(docs: DataFrame, bits: bytes, id_col: str, text_col: str) -> Data
     return map_batches(taken, f"row bigint, doc_id {kind}, digest bigint, place int, start int, end int, words_before int, words_upto int", process)
 
 
+def _parts(run: list[dict], own: object, least_words: int) -> list[tuple[list[dict], bool]]:
+    """A run of repeated chunks in pieces that are kept or not. Chunks first held by this document are always kept. Of the others those
+    are not that follow each other over enough words to be a passage, or that are the whole run."""
+    pieces: list[tuple[list[dict], bool]] = []
+    for c in run:
+        mine = own is None or c["first_doc_id"] == own
+        if pieces and pieces[-1][1] == mine:
+            pieces[-1][0].append(c)
+        else:
+            pieces.append(([c], mine))
+    out: list[tuple[list[dict], bool]] = []
+    for chunks, mine in pieces:
+        kept = mine or (len(pieces) > 1 and chunks[-1]["words_upto"] - chunks[0]["words_before"] < least_words)
+        if out and out[-1][1] == kept:
+            out[-1][0].extend(chunks)
+        else:
+            out.append((chunks, kept))
+    return out
+
+
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each repeated passage of each document: ``doc_id``, ``start`` and ``end`` (code points, end exclusive), ``n_words``,
-    ``first_doc_id`` (least id that holds a chunk of it), ``n_places`` (chunks in the corpus that equal its most frequent one) and ``kept`` (whether this document is the first holder of at least half of it).
+    ``first_doc_id`` (least id that holds a chunk of it), ``n_places`` (chunks in the corpus that equal its most frequent one) and ``kept`` (whether it stays in this document: false if all of it is first held elsewhere).
 
+    Where the first holder of a run's chunks changes between this document and others, another row begins; a kept part with too few words for a passage has no row.
     Documents without repeated passages have no row. Starts jobs while the plan is built.
     """
     repeated = cut_lineage(_counted(docs, text_col))
@@ -174,12 +196,14 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: s
                     while hi < len(chunks) and chunks[hi]["place"] == chunks[hi - 1]["place"] + 1:
                         hi += 1
                     run, lo = chunks[lo:hi], hi
-                    words = run[-1]["words_upto"] - run[0]["words_before"]
-                    if words >= least_words:
-                        mine = sum(c["words_upto"] - c["words_before"] for c in run if c["first_doc_id"] == own)
-                        firsts = [c["first_doc_id"] for c in run if c["first_doc_id"] is not None]
-                        at.append(i)
-                        out.append((run[0]["start"], run[-1]["end"], words, min(firsts, default=None), max(c["n_places"] for c in run), own is None or 2 * mine >= words))
+                    if run[-1]["words_upto"] - run[0]["words_before"] < least_words:
+                        continue
+                    for part, kept in _parts(run, own, least_words):
+                        words = part[-1]["words_upto"] - part[0]["words_before"]
+                        if words >= least_words:
+                            firsts = [c["first_doc_id"] for c in part if c["first_doc_id"] is not None]
+                            at.append(i)
+                            out.append((part[0]["start"], part[-1]["end"], words, min(firsts, default=None), max(c["n_places"] for c in part), kept))
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.int32(), pa.int32(), pa.int64(), batch.column("doc_id").type, pa.int64(), pa.bool_()), strict=True)]
             return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int32())), *columns], ["doc_id", "start", "end", "n_words", "first_doc_id", "n_places", "kept"])
 
