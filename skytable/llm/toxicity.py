@@ -342,13 +342,18 @@ def train(texts: list[str], toxic: list[bool], folds: int = 3) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, longest: int = MOST_CHARACTERS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[bool]]:
-    """At most ``most`` labelled texts of each class, those of least hash of the id, without texts of more than ``longest`` characters."""
+    """At most ``most`` labelled texts of each class, those of least hash of the id among those of at most ``longest`` characters; of several
+    texts with one id the one of least hash."""
     known = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull()).groupBy(labels[id_col].alias("__id")).agg((F.max(label_col) > 0).alias("__toxic"))
-    picked = [known.where(side).orderBy(F.xxhash64("__id"), "__id").limit(most) for side in (F.col("__toxic"), ~F.col("__toxic"))]
+    texts = docs.select(docs[id_col].alias("__doc"), docs[text_col].alias("__text")).where(F.char_length("__text") <= longest).withColumn("__hash", F.xxhash64("__text"))
+    # One row for each id, without its text, before the limit.
+    once = texts.groupBy("__doc").agg(F.min("__hash").alias("__least"))
+    usable = known.join(once, known["__id"] == once["__doc"]).select("__id", "__toxic", "__least")
+    picked = [usable.where(side).orderBy(F.xxhash64("__id"), "__id").limit(most) for side in (F.col("__toxic"), ~F.col("__toxic"))]
     # Two times ``most`` ids at most.
     ids = F.broadcast(picked[0].union(picked[1]))
-    texts = docs.select(docs[id_col].alias("__doc"), docs[text_col].alias("__text")).where(F.char_length("__text") <= longest)
-    got = texts.join(ids, texts["__doc"] == ids["__id"]).select("__id", "__text", "__toxic").collect()
+    found = texts.join(ids, (texts["__doc"] == ids["__id"]) & (texts["__hash"] == ids["__least"]))
+    got = found.select("__id", "__text", "__toxic").dropDuplicates(["__id"]).collect()
     got.sort(key=lambda r: (r[0], r[1]))
     return [r[1] for r in got], [bool(r[2]) for r in got]
 

@@ -46,3 +46,14 @@ def test_landmarks_are_sparse() -> None:
     finally:
         tracemalloc.stop()
     assert made.kernel(words[:3]).shape == (3, 400) and held < 10e6
+
+
+def test_sample_is_full_and_bounded(spark) -> None:
+    """Long texts take no place of the sample, and rows that share an id count once."""
+    rows = [(i, "x" * (300 if i % 4 else 30)) for i in range(200)] + [(8, f"another text {k % 50}") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(200)], "doc_id bigint, toxic int")
+    texts, toxic = toxicity.sample(docs, labels, most=20, longest=100)
+    assert sum(toxic) == 20 and len(texts) == 40
+    texts, toxic = toxicity.sample(docs, labels, most=100, longest=100)
+    assert sum(toxic) == 25 and len(texts) == 50 and max(map(len, texts)) <= 100
