@@ -125,6 +125,21 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+@register
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, roots, proof and verification of every document; one more character is claimed for a seventh of them."""
+    from pyspark.sql import functions as F
+
+    from skytable.llm.merkle import manifest, verified
+
+    def tampered(docs: DataFrame):
+        more = (docs["n_chars"].cast("decimal(20,0)") + 1).cast("string")
+        return F.crc32(docs["doc_id"].cast("string")) % 7 == 0, [docs["doc_id"], docs["source"], docs["lang"], more, docs["text"]]
+
+    docs = table(spark, folder, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    return verified(manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", tampered))
+
+
 SQL["op10_jaccard_join"] = r"""
 with recursive words as (
   select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from documents
@@ -145,3 +160,49 @@ with recursive words as (
 select d.doc_id, min(r.member) as class_id, coalesce(max(k.n), 0)::bigint as n_links
 from documents d join reached r on r.doc_id = d.doc_id left join counted k on k.doc_id = d.doc_id group by d.doc_id
 """
+
+# The table of CRC-32 is made from its polynomial; trees are lists of digests, level by level.
+SQL["op12_merkle_manifest"] = r"""
+with recursive bits(n, v, k) as (
+  select n, n, 0 from (select unnest(range(256))::bigint as n) union all
+  select n, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, k + 1 from bits where k < 8
+), crc as (
+  select list(v order by n) as t from bits where k = 8
+), given as (
+  select *, row_number() over () as r from documents
+), fields as (
+  select r, doc_id, lang, n_chars, unnest([0, 1]) as changed, text, source from given
+), leaves as (
+  select r, doc_id, lang, changed, sha256(list_aggregate([case when f is null then '-' else strlen(f)::varchar || ':' || f end
+    for f in [doc_id::varchar, source, lang, (n_chars + changed)::varchar, text]], 'string_agg', '')) as h from fields
+), own as (
+  select a.r, a.doc_id, a.lang, a.h as leaf, b.h as claimed from leaves a join leaves b using (r) where a.changed = 0 and b.changed = 1
+), placed as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i from own
+), trees(lang, level, nodes) as (
+  select lang, 0, list(leaf order by i) from placed group by lang union all
+  select lang, level + 1, [sha256(nodes[2 * k + 1] || coalesce(nodes[2 * k + 2], '')) for k in range((len(nodes) + 1) // 2)] from trees where len(nodes) > 1
+), subroots as (
+  select lang, nodes[1] as subroot, row_number() over (order by lang nulls first) - 1 as i from trees where len(nodes) = 1
+), tops(level, nodes) as (
+  select 0, list(subroot order by i) from subroots union all
+  select level + 1, [sha256(nodes[2 * k + 1] || coalesce(nodes[2 * k + 2], '')) for k in range((len(nodes) + 1) // 2)] from tops where len(nodes) > 1
+), path as (
+  select r, t.level, (p.i >> t.level) % 2 as odd, t.nodes[xor(p.i >> t.level, 1) + 1] as sibling
+  from placed p join trees t on p.lang is not distinct from t.lang where len(t.nodes) > 1 union all
+  select r, 1000 + t.level, (s.i >> t.level) % 2, t.nodes[xor(s.i >> t.level, 1) + 1]
+  from placed p join subroots s on p.lang is not distinct from s.lang join tops t on len(t.nodes) > 1
+), steps as (
+  select r, list({'odd': odd, 'sibling': sibling} order by level) as steps, string_agg(sibling, '' order by level) as siblings from path group by r
+), hit as (
+  select p.*, s.steps, coalesce(s.siblings, '') as siblings, coalesce(xor(4294967295, list_reduce(list_prepend(4294967295::bigint, [ord(c)::bigint for c in string_split(doc_id::varchar, '')]),
+    lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1]))) % 7 = 0, false) as tampered from placed p left join steps s using (r) cross join crc
+), folded(r, k, h) as (
+  select r, 0, case when tampered then coalesce(claimed, leaf) else leaf end from hit union all
+  select f.r, f.k + 1, sha256(case when h.steps[f.k + 1].sibling is null then f.h when h.steps[f.k + 1].odd = 1 then h.steps[f.k + 1].sibling || f.h else f.h || h.steps[f.k + 1].sibling end)
+  from folded f join hit h using (r) where f.k < coalesce(len(h.steps), 0)
+)
+select h.doc_id, h.leaf, s.subroot, (select nodes[1] from tops where len(nodes) = 1) as root, sha256(h.siblings) as proof_sha256, f.h as folded_root,
+  f.h = (select nodes[1] from tops where len(nodes) = 1) as verified
+from hit h join subroots s on h.lang is not distinct from s.lang join folded f on f.r = h.r and f.k = coalesce(len(h.steps), 0)
+"""
