@@ -140,6 +140,18 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return verified(manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", tampered))
 
 
+@register
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every distinct prefix of the conversations, each rebuilt on the first turns of its twenty's first conversation."""
+    from pyspark.sql import functions as F
+
+    from skytable.llm.prefix_trie import prefix_nodes
+
+    rows = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    conv = F.col("conv_id")
+    return prefix_nodes(rows, conv - conv % 20, F.crc32(conv.cast("string")) % 4)
+
+
 SQL["op10_jaccard_join"] = r"""
 with recursive words as (
   select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from documents
@@ -206,3 +218,36 @@ select h.doc_id, h.leaf, s.subroot, (select nodes[1] from tops where len(nodes)
   f.h = (select nodes[1] from tops where len(nodes) = 1) as verified
 from hit h join subroots s on h.lang is not distinct from s.lang join folded f on f.r = h.r and f.k = coalesce(len(h.steps), 0)
 """
+
+# Prefixes are lists; a node's subtree is found by its members, which are the conversations that begin with it.
+SQL["op13_prefix_trie"] = r"""
+with recursive bits(n, v, k) as (
+  select n, n, 0 from (select unnest(range(256))::bigint as n) union all
+  select n, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, k + 1 from bits where k < 8
+), crc as (
+  select list(v order by n) as t from bits where k = 8
+), turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i,
+    {'role': coalesce(role, ''), 'text': coalesce(text, '')} as t from conversations where conv_id is not null
+), given as (
+  select conv_id as c, list(t order by i) as l from turns group by 1
+), heads as (
+  select c, l, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, [ord(x)::bigint for x in string_split(c::varchar, '')]),
+    lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1]))) % 4 as h from given cross join crc
+), rebuilt as (
+  select a.c, list_concat(coalesce(b.l[:a.h], []), a.l[a.h + 1:]) as l from heads a left join given b on b.c = a.c - a.c % 20
+), members as (
+  select c, l, l[:d] as p, d from (select c, l, unnest(range(len(l) + 1)) as d from rebuilt)
+), nodes as (
+  select p, d, min(c) as conv_id, count(*) as n_convs, string_agg(case when len(l) = d then c::varchar end, ',' order by c) as ends,
+    count(distinct l[:d + 1]) - max((len(l) = d)::int) as n_children from members group by p, d
+), valued as (
+  select *, case when d = 0 then 0 else (n_convs - 1) * len(regexp_extract_all(p[-1].text, '[^\x20\x09-\x0D]+')) end as own from nodes
+), subtrees as (
+  select a.p, count(*) filter (where b.n_children = 0) as n_leaves, sum(b.own)::bigint as saved
+  from valued a join valued b on b.d >= a.d and b.p[:a.d] = a.p group by a.p
+)
+select n.conv_id, n.d::bigint as depth, u.conv_id as parent_conv_id, n.n_convs, n.n_children::bigint as n_children, s.n_leaves, s.saved as saved_tokens,
+  sha256(coalesce(n.ends, '')) as ends_sha256
+from nodes n join subtrees s on s.p = n.p left join nodes u on n.d > 0 and u.d = n.d - 1 and u.p = n.p[:n.d - 1]
+"""
