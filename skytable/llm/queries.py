@@ -152,6 +152,19 @@ def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_nodes(rows, conv - conv % 20, F.crc32(conv.cast("string")) % 4)
 
 
+@register
+def op11_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the 100-byte strings that come earlier."""
+    from pyspark.sql import functions as F
+
+    from skytable.llm.suffix_dedup import remove_repeats
+
+    cleaned = remove_repeats(table(spark, folder, "documents", "doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    spans = F.size("spans").cast("bigint")
+    return cleaned.select("doc_id", "n_bytes", removed.alias("n_removed"), spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 SQL["op10_jaccard_join"] = r"""
 with recursive words as (
   select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from documents
