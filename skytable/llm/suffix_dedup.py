@@ -216,23 +216,27 @@ def _joined(spans: np.ndarray) -> np.ndarray:
     return merged
 
 
-def _bucket(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """A bucket's rows in their order, its bytes, and where each text begins."""
+def _bucket(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's documents in their order (rows equal in id and text once), their bytes, where each text begins, and the rows of each document."""
     rows = pa.table({"null": table["doc_id"].is_valid()} | {c: table[c] for c in ("doc_id", "tie", "text")})
     rows = rows.take(pa.compute.sort_indices(rows, sort_keys=[("null", "ascending"), ("doc_id", "ascending"), ("tie", "ascending")])).combine_chunks()
+    null, ids, tie = np.asarray(rows["null"]), np.asarray(rows["doc_id"].fill_null(0)), np.asarray(rows["tie"])
+    fresh = np.append(True, (null[1:] != null[:-1]) | (ids[1:] != ids[:-1]) | (tie[1:] != tie[:-1]))[: len(ids)]
+    copies = np.bincount(np.cumsum(fresh) - 1) if len(ids) else np.zeros(0, np.int64)
+    rows = rows.filter(pa.array(fresh)).combine_chunks()
     text = rows["text"].combine_chunks() if isinstance(rows["text"], pa.ChunkedArray) else rows["text"]
     text = pa.concat_arrays(text.chunks) if isinstance(text, pa.ChunkedArray) else text
     text = text.cast(pa.large_binary())
     _, ends, data = text.buffers()
     offsets = np.frombuffer(ends, np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
-    return rows, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
+    return rows, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets, copies
 
 
 def _counted(slices: int):
     """Every hash of a bucket, with the number of different pieces that have it; the top bit: a piece comes twice, or may hold a window twice."""
 
     def run(table: pa.Table) -> pa.Table:
-        _, data, offsets = _bucket(table)
+        _, data, offsets, _ = _bucket(table)
         p = Pieces(data, offsets)
         order = np.lexsort((p.whole, p.least))
         least, whole = p.least[order], p.whole[order]
@@ -291,7 +295,7 @@ def _answered(block_pieces: int, split_pieces: int):
 
 def _sent(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """The pieces of a bucket that may hold a repeated string, equal ones once, with the ranges of the others."""
-    rows, data, offsets = _bucket(docs)
+    rows, data, offsets, _ = _bucket(docs)
     p = Pieces(data, offsets)
     known = np.frombuffer(b"".join(answers["answer"].to_pylist()), _ANSWER)
     known = known[np.argsort(known["hash"])]
@@ -385,7 +389,7 @@ def _compared(table: pa.Table) -> pa.Table:
 
     for piece, rows in zip(pieces, held, strict=True):
         for k in rows:
-            if key[k] != key[rows[0]]:
+            if k != rows[0]:
                 tell(k, [(0, len(piece) - LENGTH + 1)])
             if others[k]:
                 found.append((int(bucket[k]), np.frombuffer(others[k], _SPAN)))
@@ -400,11 +404,7 @@ def _compared(table: pa.Table) -> pa.Table:
         piece, offset = piece[by], offset[by]
         cut = np.flatnonzero(np.append(True, (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1))) if len(piece) else []
         for x, y in zip(cut, np.append(cut[1:], len(piece)), strict=True) if len(piece) else ():
-            rows = held[members[piece[x]]]
-            # Rows equal in id and text are one document: each has its first piece.
-            for k in rows:
-                if key[k] == key[rows[0]]:
-                    tell(k, [(int(offset[x]), int(offset[y - 1]) + 1)])
+            tell(held[members[piece[x]]][0], [(int(offset[x]), int(offset[y - 1]) + 1)])
     by_bucket: dict[int, list[np.ndarray]] = {}
     for b, spans in found:
         by_bucket.setdefault(b, []).append(spans)
@@ -413,7 +413,7 @@ def _compared(table: pa.Table) -> pa.Table:
 
 def _cleaned(docs: pa.Table, told: pa.Table) -> pa.Table:
     """The texts of a bucket without the bytes of repeated windows, and the removed runs."""
-    rows, data, offsets = _bucket(docs)
+    rows, data, offsets, copies = _bucket(docs)
     spans = np.frombuffer(b"".join(told["spans"].to_pylist()), _SPAN).copy()
     spans["b"] += LENGTH - 1
     spans = _joined(spans)
@@ -429,7 +429,8 @@ def _cleaned(docs: pa.Table, told: pa.Table) -> pa.Table:
         else:
             kept.append(text.tobytes())
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return pa.table({"doc_id": rows["doc_id"], "n_bytes": pa.array(np.diff(offsets), pa.int64()), "spans": pa.array(runs, kind), "kept": pa.array(kept, pa.binary())})
+    out = pa.table({"doc_id": rows["doc_id"], "n_bytes": pa.array(np.diff(offsets), pa.int64()), "spans": pa.array(runs, kind), "kept": pa.array(kept, pa.binary())})
+    return out if (copies == 1).all() else out.take(pa.array(np.repeat(np.arange(len(copies)), copies)))
 
 
 def remove_repeats(
