@@ -181,7 +181,9 @@ def nearest(
     """
     entries = cut_lineage(_entries(vectors, id_col, vector_col, neighbours + 1))
     asked = queries.select(queries[id_col].cast("bigint").alias("query_id"), queries[vector_col].cast("array<double>").alias("vector"))
-    asked = asked.where("query_id is not null").dropDuplicates(["query_id"])
+    # Vectors that take no part go first; then the least one stands for an id that comes again.
+    usable = F.expr("forall(vector, v -> v is not null and not isnan(v) and abs(v) < double('infinity')) and exists(vector, v -> v <> 0)")
+    asked = asked.where(F.col("query_id").isNotNull() & usable).groupBy("query_id").agg(F.min("vector").alias("vector"))
     projections = projections or projections_for(entries.count())
     probes = probes or probes_for(projections)
 
