@@ -293,21 +293,27 @@ def near_copies(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``doc_id``, ``class_id`` (least id of its connected class) and ``n_links`` (documents at or above the threshold, copies included) of every row.
+    """``doc_id``, ``class_id`` (least id of its connected class that is not null), ``n_links`` (documents at or above the threshold, copies included) and
+    ``class_digest`` of every row. The digest names one class even where ids come again; it is null for texts without words, which link to nothing.
 
     Starts jobs while the plan is built. Sketches, buckets, components and links are tables on shared storage.
     """
     sketched, known = _classes(docs, threshold, width, bands, rows, tolerance, id_col, text_col)
     result = sketched.select("doc_id", "digest").join(known, "digest", "left")
-    return result.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    links = F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")
+    return result.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), links, F.coalesce("root", "digest").alias("class_digest"))
+
+
+def _first() -> Column:
+    return F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("mark"))).alias("first")
 
 
 def _classes(docs: DataFrame, threshold: float, width: int, bands: int, rows: int, tolerance: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The sketches, and ``digest``, ``root``, ``class_id`` and ``n_links`` of every shingle set with a copy or a link."""
     sketched = cut_lineage(sketches(docs, width, bands, rows, id_col, text_col))
-    # The row that stands for a class: least id, then least text hash.
+    # The row that stands for a class: least id, null after all others, then least text hash.
     classes = sketched.where("digest is not null").groupBy("digest").agg(
-        F.count("*").alias("copies"), F.min(F.struct("doc_id", "mark")).alias("first"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands")
+        F.count("*").alias("copies"), _first(), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )
     classes = cut_lineage(classes)
     groups = cut_lineage(_groups(classes))
@@ -332,14 +338,14 @@ def _classes(docs: DataFrame, threshold: float, width: int, bands: int, rows: in
 def representatives(
     docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The documents with one of each class left: that of least id, and of equal ids that of least text hash.
+    """The documents with one of each class left: that of least id (null after all others), and of equal ids that of least text hash.
 
     Only rows that a bitmap of fixed size lets through (those that go, and few others) take part in a join; the others stay where
     they are read.
     """
     sketched, known = _classes(docs, threshold, width, bands, rows, tolerance, id_col, text_col)
     members = cut_lineage(sketched.select("doc_id", "mark", "digest").join(known.where("n_links > 0").select("digest", "root"), "digest").select("doc_id", "mark", "root"))
-    first = members.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    first = members.groupBy("root").agg(_first())
     # What one row of each key is to do: go, or stay once.
     keys = members.groupBy("root", "doc_id", "mark").count().join(first, "root")
     keys = keys.withColumn("goes", ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("mark").eqNullSafe(F.col("first.mark"))))

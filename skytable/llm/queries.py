@@ -67,7 +67,7 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Class and number of links of every document."""
     from skytable.llm.jaccard_join import near_copies
 
-    return near_copies(table(spark, folder, "documents", "doc_id", "text"))
+    return near_copies(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "class_id", "n_links")
 
 
 @register
