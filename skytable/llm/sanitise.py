@@ -1,14 +1,15 @@
 """Personal data: spans of stated patterns, and terms that reveal the entities found.
 
 Entities are the values that the patterns find. How strongly a word reveals an entity is estimated from the corpus: with
-``p(e)`` the share of word windows that hold the entity, and ``p(e|t)`` the share of the word's occurrences in the whole corpus that lie in a window
-around it, the disclosure is the pointwise mutual information over the information of the entity,
-``ln(p(e|t) / p(e)) / -ln p(e)``: 1 if the word occurs near the entity only, 0 if it is independent. It counts only with enough different
-windows of support; one occurrence reveals nothing about the next. In the windows around its entity a word above the lower threshold is generalised
-(to what kind of word it is), above the upper one it is removed.
+``p(e)`` the share of different texts that hold the entity, and ``p(e|t)`` its share among the texts that hold the word, the
+disclosure is the pointwise mutual information over the information of the entity,
+``ln(p(e|t) / p(e)) / -ln p(e)``: 1 if the word occurs in texts of the entity only, 0 if it is independent. It counts only if the texts that hold both
+have enough different windows (words on both sides of the entity); one occurrence, and copies of it, reveal nothing about the next. A word above the lower threshold is
+generalised (to what kind of word it is), above the upper one it is removed: wherever it stands, also far from the entity and in texts
+that do not spell the entity out.
 
-Words of windows are few (documents with personal data only). Occurrences are counted in one more pass over all texts, for the words with support,
-which a bitmap of fixed size lets through; it is exact after the aggregation. The passes share no state, so a lost task is simply run again.
+Words are paired with the entities that have enough windows only. Texts that hold a word are counted in one more pass over all texts, for the words with support,
+which a bitmap lets through; it is exact after the aggregation. The passes share no state, so a lost task is simply run again.
 
 Defined cases: a null text counts as empty and stays null when sanitised; texts are read whole and in time proportional to their length; repeated rows are
 judged each (equal windows support a word once); an empty table gives an empty table; columns to be kept are named by the caller and may have any name but
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -96,34 +96,46 @@ def _entity(kind: int, value: str) -> bytes:
     return xxhash.xxh3_128_digest(f"{kind}:{value}".encode())
 
 
-def windows(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[bytes, str, int, int, int]]:
-    """(entity, word, start, end, window hash) of the words around every span; words inside a span are left out."""
-    found = []
+def words_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Start and end of the words outside all spans, in order; spans are in order of their start."""
+    found, at, reach = [], 0, 0
+    for m in _TERM.finditer(text):
+        start, end = m.span()
+        # Every span that begins before the word ends; the furthest end of them tells whether one covers part of it.
+        while at < len(spans) and spans[at][0] < end:
+            reach = max(reach, spans[at][2])
+            at += 1
+        if reach <= start:
+            found.append((start, end))
+    return found
+
+
+def windows(text: str, spans: list[tuple[int, int, int]], words: list[tuple[int, int]]) -> list[tuple[bytes, int]]:
+    """(entity, hash of the words around it) of every span, in one pass over spans and words."""
+    terms, found, at = [text[a:b].lower() for a, b in words], [], 0
     for start, kind, end in spans:
-        # Enough text on each side for the words asked for, unless they are very long; then all of it.
-        side = 40 * REACH
-        left = [m.span() for m in _TERM.finditer(text, max(0, start - side), start)]
-        if len(left) < REACH:
-            left = [m.span() for m in _TERM.finditer(text, 0, start)]
-        right = []
-        for m in _TERM.finditer(text, end):
-            right.append(m.span())
-            if len(right) == REACH:
-                break
-        near = [p for p in left[-REACH:] + right if not any(s < p[1] and p[0] < e for s, _, e in spans)]
-        words = [text[a:b].lower() for a, b in near]
-        window = xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) - (1 << 63)
-        found += [(_entity(kind, text[start:end]), w, a, b, window) for w, (a, b) in zip(words, near, strict=True)]
+        while at < len(words) and words[at][0] < start:
+            at += 1
+        # Words are outside spans, so the next one begins behind this span.
+        window = " ".join(terms[max(0, at - REACH) : at + REACH])
+        found.append((_entity(kind, text[start:end]), xxhash.xxh3_64_intdigest(window.encode("utf-8", "surrogatepass")) - (1 << 63)))
     return found
 
 
+def _mark(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-_NEAR = pa.struct([("entity", pa.binary()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("window", pa.int64())])
+_NEAR = pa.struct([("entity", pa.binary()), ("window", pa.int64())])
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """Base spans and windows of every text, with a row number and the columns to be kept; a table on shared storage."""
-    taken = docs.select(F.monotonically_increasing_id().alias("__row"), docs[id_col].alias("doc_id"), docs[text_col].alias("__text"), *[docs[c].alias(f"__keep_{i}") for i, c in enumerate(keep)])
+    """Base spans of every text, a digest of it, the columns to be kept, and for texts with spans the entities with their windows and the distinct words.
+
+    A table on shared storage.
+    """
+    taken = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("__text"), *[docs[c].alias(f"__keep_{i}") for i, c in enumerate(keep)])
     passed = [c for c in taken.columns if c != "__text"]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in taken.schema.fields if f.name in passed)
 
@@ -131,54 +143,86 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> Dat
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = texts_of(batch, "__text")
             spans = [base_spans(t) for t in texts]
-            near = [windows(t, s) if s else [] for t, s in zip(texts, spans, strict=True)]
-            words = [t.count(" ") + 1 for t in texts]
+            words = [words_of(t, s) if s else [] for t, s in zip(texts, spans, strict=True)]
+            near = [windows(t, s, w) if s else [] for t, s, w in zip(texts, spans, words, strict=True)]
+            terms = [sorted({t[a:b].lower() for a, b in w}) for t, w in zip(texts, words, strict=True)]
             rows = [[{"start": a, "kind": k, "end": b} for a, k, b in s] for s in spans]
-            close = [[dict(zip(("entity", "term", "start", "end", "window"), n, strict=True)) for n in w] for w in near]
-            columns = [*[batch.column(c) for c in passed], pa.array(words, pa.int64()), pa.array(rows, pa.list_(_SPAN)), pa.array(close, pa.list_(_NEAR))]
-            return pa.RecordBatch.from_arrays(columns, [*passed, "__words", "__base", "__near"])
+            close = [[{"entity": e, "window": w} for e, w in n] for n in near]
+            made = [pa.array([_mark(t) for t in texts], pa.binary()), pa.array(rows, pa.list_(_SPAN)), pa.array(close, pa.list_(_NEAR)), pa.array(terms, pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays([*[batch.column(c) for c in passed], *made], [*passed, "__mark", "__base", "__near", "__terms"])
 
         return step
 
-    span, near = "array<struct<start:int,kind:int,end:int>>", "array<struct<entity:binary,term:string,start:int,end:int,window:bigint>>"
-    return cut_lineage(map_batches(taken, f"{kinds}, __words bigint, __base {span}, __near {near}", process))
+    return cut_lineage(map_batches(taken, f"{kinds}, __mark binary, __base {_SPANS}, __near array<struct<entity:binary,window:bigint>>, __terms array<string>", process))
+
+
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _occurrences(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
-    """``term`` and its number of occurrences in all texts, for the given terms and a few others."""
+def _texts_with(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
+    """``term`` and the number of different texts that hold it, for the given terms and a few others."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(terms))
 
     def process():
         known = Known(shared.value)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found: Counter[str] = Counter()
-            for text in texts_of(batch, "__text"):
-                found.update(filter(known.__getitem__, _TERM.findall(text.lower())))
-            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["term", "n"])
+            found = [(t, _mark(text)) for text in texts_of(batch, "__text") for t in set(filter(known.__getitem__, _TERM.findall(text.lower())))]
+            return pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([m for _, m in found], pa.binary())], ["term", "mark"])
 
         return step
 
-    counted = map_batches(docs.select(docs[text_col].alias("__text")), "term string, n bigint", process)
-    return counted.groupBy("term").agg(F.sum("n").alias("occurrences"))
+    held = map_batches(docs.select(docs[text_col].alias("__text")), "term string, mark binary", process)
+    return held.groupBy("term", "mark").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("held_by"))
 
 
 def disclosures(marked: DataFrame, docs: DataFrame, text_col: str, support: int = SUPPORT) -> DataFrame:
-    """``entity``, ``term`` and ``disclosure`` of all pairs with enough support."""
-    near = marked.select("__row", F.explode("__near").alias("x")).select("__row", "x.*")
-    # Two steps: a window counts once however often it is copied.
-    pairs = near.groupBy("entity", "term", "window").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("n").alias("together"))
-    pairs = cut_lineage(pairs.where(F.col("support") >= support))
-    entities = near.groupBy("entity", "__row", "window").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("windows"))
-    counts = _occurrences(docs, pairs.select("term").distinct(), text_col)
-    # Windows in the corpus.
-    total = (marked.agg(F.sum("__words")).first()[0] or 1) / (2 * REACH)
+    """``entity``, ``term`` and ``disclosure`` of all pairs with enough support.
+
+    Only entities with enough different windows can have such pairs, so only their texts' words are paired.
+    """
+    near = marked.where(F.size("__near") > 0).select("__mark", F.explode("__near").alias("x")).select(F.col("__mark").alias("mark"), "x.*").distinct()
+    seen = near.groupBy("entity", "window").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("windows")).where(F.col("windows") >= support)
+    near = cut_lineage(near.join(seen.select("entity"), "entity"))
+    words = marked.where(F.size("__near") > 0).select(F.col("__mark").alias("mark"), "__terms").join(near.select("mark").distinct(), "mark", "left_semi")
+    words = words.groupBy("mark").agg(F.first("__terms").alias("terms")).select("mark", F.explode("terms").alias("term"))
+    both = near.join(words, "mark")
+    # Near copies of a text share their windows, and so support a word once.
+    backed = both.groupBy("entity", "term", "window").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("support")).where(F.col("support") >= support)
+    together = both.groupBy("entity", "term", "mark").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("together"))
+    pairs = cut_lineage(backed.join(together, ["entity", "term"]))
+    entities = near.groupBy("entity", "mark").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("named_by"))
+    counts = _texts_with(docs, pairs.select("term").distinct(), text_col)
+    total = marked.groupBy("__mark").agg(F.lit(1).alias("one")).count() or 1
     known = pairs.join(entities, "entity").join(counts, "term")
-    given = F.least(F.col("together") / F.col("occurrences"), F.lit(1.0))
-    share = F.least(F.col("windows") / F.lit(total), F.lit(0.5))
+    given = F.least(F.col("together") / F.col("held_by"), F.lit(1.0))
+    share = F.least(F.col("named_by") / F.lit(total), F.lit(0.5))
     return known.select("entity", "term", (F.lit(1.0) - F.log(given) / F.log(share)).alias("disclosure"))
 
 
+def _term_spans(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
+    """``__mark`` and ``__terms`` (spans) of every different text that holds a found term outside its base spans."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(found.select("term")))
+
+    def process():
+        known = Known(shared.value)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = []
+            for text in texts_of(batch, "__text"):
+                if any(map(known.__getitem__, set(_TERM.findall(text.lower())))):
+                    mark = _mark(text)
+                    rows += [(mark, text[a:b].lower(), a, b) for a, b in words_of(text, base_spans(text)) if known[text[a:b].lower()]]
+            kinds = (pa.binary(), pa.string(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["__mark", "term", "start", "end"])
+
+        return step
+
+    held = map_batches(docs.select(docs[text_col].alias("__text")), "__mark binary, term string, start int, end int", process)
+    once = held.join(found, "term").groupBy("__mark", "start", "end").agg(F.max("kind").cast("int").alias("kind"))
+    return once.groupBy("__mark").agg(F.collect_list(F.struct("start", "kind", "end")).alias("__found"))
+
+
 def _found(
     docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
 ) -> DataFrame:
@@ -186,21 +230,20 @@ def _found(
     keep = keep or []
     marked = _marked(docs, id_col, text_col, keep)
     found = disclosures(marked, docs, text_col, support).where(F.col("disclosure") >= generalise)
-    found = cut_lineage(found.withColumn("kind", F.when(F.col("disclosure") >= remove, TERM + 1).otherwise(TERM)))
-    near = marked.select("__row", F.explode("__near").alias("x")).select("__row", "x.*")
-    terms = near.join(found, ["entity", "term"]).groupBy("__row", "start", "end").agg(F.max("kind").alias("kind"))
-    terms = terms.groupBy("__row").agg(F.collect_list(F.struct("start", F.col("kind").cast("int").alias("kind"), "end")).alias("__terms"))
-    some = F.size("__near") > 0
-    with_terms = marked.where(some).join(terms, "__row", "left").withColumn("spans", F.array_sort(F.concat("__base", F.coalesce("__terms", F.array().cast("array<struct<start:int,kind:int,end:int>>")))))
-    without = marked.where(~some).withColumn("spans", F.col("__base"))
-    names = ["doc_id", *[f"__keep_{i}" for i in range(len(keep))], F.col("__base").alias("base"), "spans"]
-    return with_terms.select(*names).unionByName(without.select(*names))
+    found = cut_lineage(found.groupBy("term").agg(F.max(F.when(F.col("disclosure") >= remove, TERM + 1).otherwise(TERM)).alias("kind")))
+    names = ["doc_id", *[f"__keep_{i}" for i in range(len(keep))]]
+    # Without such terms the base spans are all.
+    if found.isEmpty():
+        return marked.select(*names, F.col("__base").alias("base"), F.col("__base").alias("spans"))
+    terms = cut_lineage(_term_spans(docs, found, text_col))
+    both = marked.join(terms, "__mark", "left").withColumn("spans", F.array_sort(F.concat("__base", F.coalesce("__found", F.array().cast(_SPANS)))))
+    return both.select(*names, F.col("__base").alias("base"), "spans")
 
 
 def find(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``base`` and ``spans`` (arrays of start, kind, end; kind 4 is a term, 5 a term to be removed) of every text.
 
-    Starts jobs while the plan is built. Words of documents without personal data take no part in any join.
+    Starts jobs while the plan is built. Where no term exceeds a threshold, texts are not read again.
     """
     return _found(docs, generalise, remove, support, id_col, text_col)
 

@@ -215,7 +215,8 @@ def test_repeated_passages(spark) -> None:
     assert np.diff(chunk_dedup.ends_of(np.zeros(5000, np.uint8)), prepend=0).max() <= chunk_dedup.MOST
 
 
-def classes_by_hand(rows: list[tuple], threshold: float = 0.8) -> dict:
+def groups_by_hand(rows: list[tuple], threshold: float = 0.8) -> tuple[list[list[int]], Counter]:
+    """The rows of each connected class, and the links of each row."""
     sets = []
     for i, text in rows:
         w = jaccard_join.words_of(text or "")
@@ -236,8 +237,18 @@ def classes_by_hand(rows: list[tuple], threshold: float = 0.8) -> dict:
                 parent[root(a)] = root(b)
     groups = defaultdict(list)
     for a in range(len(sets)):
-        groups[root(a)].append(sets[a][0])
-    return Counter((sets[a][0], min((i for i in groups[root(a)] if i is not None), default=None), links[a]) for a in range(len(sets)))
+        groups[root(a)].append(a)
+    return list(groups.values()), links
+
+
+def classes_by_hand(rows: list[tuple], threshold: float = 0.8) -> Counter:
+    groups, links = groups_by_hand(rows, threshold)
+    least = lambda g: min((rows[a][0] for a in g if rows[a][0] is not None), default=None)
+    return Counter((rows[a][0], least(g), links[a]) for g in groups for a in g)
+
+
+def n_classes(rows: list[tuple]) -> int:
+    return len(groups_by_hand(rows)[0])
 
 
 def near_rows() -> list[tuple]:
@@ -265,9 +276,7 @@ def test_near_copies(spark, monkeypatch) -> None:
     assert got() == want
     assert jaccard_join.near_copies(docs.limit(0)).count() == 0
     left = jaccard_join.representatives(docs)
-    classes = {(c, i if n == 0 else None) for i, c, n in want if n}
-    singles = sum(v for (i, c, n), v in want.items() if n == 0)
-    assert left.columns == docs.columns and left.count() == singles + len(classes)
+    assert left.columns == docs.columns and left.count() == n_classes(rows)
 
 
 def test_pruning_bound() -> None:
@@ -355,3 +364,86 @@ def _features(word: str) -> dict[str, float]:
         for at in range(len(marked) - places[-1]):
             out["".join(marked[at + p] for p in places)] += weight
     return out
+
+
+def disclosures_by_hand(rows: list[tuple], support: int = sanitise.SUPPORT) -> dict[tuple, float]:
+    """Disclosure of all (entity, term) pairs with support, from sets of texts."""
+    from math import log
+
+    texts = {t or "" for _, t in rows}
+    named, windows, held, both = defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
+    for text in texts:
+        spans = spans_by_hand(text)
+        for w in re.findall(r"[^\W\d_]{3,}", text.lower()):
+            held[w].add(text)
+        words = [m for m in re.finditer(r"[^\W\d_]{3,}", text) if not any(s < m.end() and m.start() < e for s, _, e in spans)]
+        for start, kind, end in spans:
+            value = text[start:end].lower() if kind == 0 else text[start:end] if kind == 1 else re.sub("[^0-9]", "", text[start:end])
+            left, right = [m[0].lower() for m in words if m.end() <= start], [m[0].lower() for m in words if m.start() >= end]
+            around = (*left[-sanitise.REACH :], *right[: sanitise.REACH])
+            named[kind, value].add(text)
+            for w in {m[0].lower() for m in words}:
+                windows[(kind, value), w].add(around)
+                both[(kind, value), w].add(text)
+    out = {}
+    for (e, w), seen in windows.items():
+        if len(seen) >= support:
+            given, share = min(1, len(both[e, w]) / len(held[w])), min(0.5, len(named[e]) / len(texts))
+            out[e, w] = 1 - log(given) / log(share)
+    return out
+
+
+def test_disclosure_by_hand(spark) -> None:
+    rng = random.Random(16)
+    noise = lambda n: " ".join("".join(rng.choice("bcdfgh") for _ in range(3)) for _ in range(n))
+    rows = [(i, f"{noise(30)} {rng.choice(['a1@x.com', 'A1@x.com, b2@y.org', '10.0.0.7', '+1 555 010 9999'])} {noise(30)} {rng.choice(['Kappa', 'sigma', 'tau mu nu'])}") for i in range(60)]
+    rows += [(100 + i, noise(20) + rng.choice(["", " kappa"])) for i in range(200)] + [(None, None), (300, "")] + rows[:9]
+    docs = frame(spark, rows)
+    marked = sanitise._marked(docs, "doc_id", "text", [])
+    entity = {sanitise._entity(k, v): (k, v) for k, v in [(0, "a1@x.com"), (0, "b2@y.org"), (1, "10.0.0.7"), (3, "15550109999")]}
+    got = {(entity[bytes(r["entity"])], r["term"]): r["disclosure"] for r in sanitise.disclosures(marked, docs, "text").collect()}
+    assert got == pytest.approx(disclosures_by_hand(rows)) and len(got) > 100
+
+
+def test_terms_far_from_their_entity(spark) -> None:
+    rng = random.Random(26)
+    noise = lambda n: " ".join("".join(rng.choice("bcdfgh") for _ in range(6)) for _ in range(n))
+    rows = [(i, f"Zanzibar {noise(200)} mail boss@acme.com {noise(20)}") for i in range(6)]
+    rows += [(20, f"{noise(30)} zanzibar {noise(30)}")] + [(50 + i, f"{noise(15)} mail {noise(15)}") for i in range(200)]
+    # Copies with the same surroundings of the entity teach nothing.
+    rows += [(400 + i, f"{noise(3)} Madrid {' '.join(['same words here'] * 9)} chief@corp.org {' '.join(['and the same'] * 9)}") for i in range(6)]
+    clean = {r["doc_id"]: r["text"] for r in sanitise.sanitise(frame(spark, rows)).collect()}
+    text = dict(rows)
+    assert all("Zanzibar" not in clean[i] and "mail [EMAIL]" in clean[i] for i in range(6))
+    assert "zanzibar" not in clean[20] and all(clean[50 + i] == text[50 + i] for i in range(200))
+    assert all("Madrid" in clean[400 + i] and "chief@" not in clean[400 + i] for i in range(6))
+
+
+def test_many_spans_in_linear_time() -> None:
+    import time
+
+    for sentence in ("Write to a.person@some-place.com today. ", "a1@b1.c1 "):
+        text = sentence * (2_000_000 // len(sentence))
+        start = time.process_time()
+        spans = sanitise.base_spans(text)
+        words = sanitise.words_of(text, spans)
+        assert len(sanitise.windows(text, spans, words)) == len(spans) == text.count("@")
+        assert time.process_time() - start < 4
+    text = "one a@b.c two three d@e.f four"
+    spans = sanitise.base_spans(text)
+    assert [text[a:b] for a, b in sanitise.words_of(text, spans)] == ["one", "two", "three", "four"]
+
+
+def test_repeated_and_null_ids(spark) -> None:
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, words), (3, words), (None, words), (3, "other " + " ".join(f"v{i}" for i in range(40))), (9, "x")]
+    for order in (rows, rows[::-1]):
+        docs = frame(spark, order)
+        got = jaccard_join.near_copies(docs).collect()
+        classes = defaultdict(Counter)
+        for r in got:
+            classes[r["class_digest"]][r["doc_id"], r["class_id"], r["n_links"]] += 1
+        found = {frozenset(c.items()) for c in classes.values()}
+        assert found == {frozenset({((7, 3, 2), 1), ((3, 3, 2), 1), ((None, 3, 2), 1)}), frozenset({((3, 3, 0), 1)}), frozenset({((9, 9, 0), 1)})}
+        kept = Counter(tuple(r)[:2] for r in jaccard_join.representatives(docs).select("doc_id", "text").collect())
+        assert kept == Counter([(3, words), rows[3], rows[4]])

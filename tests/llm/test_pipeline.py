@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from skytable.llm import byte_bpe
 
-from test_texts import SCHEMA, base_by_hand, classes_by_hand, near_rows, spans_by_hand
+from test_llm_texts import SCHEMA, base_by_hand, classes_by_hand, n_classes, near_rows, spans_by_hand
 
 
 def test_stages(spark, tmp_path) -> None:
@@ -32,8 +32,7 @@ def test_stages(spark, tmp_path) -> None:
     failed = Counter(r[:2] for r in rows if base_by_hand(r[1])[-1])
     assert not failed & Counter(r[:2] for r in rules)
     assert {r[0] for r in rules} >= set(range(1000, 1200)) and not {r[0] for r in rules} & set(range(2000, 2005))
-    classes = classes_by_hand([r[:2] for r in rules])
-    assert len(near) == len({c for _, c, n in classes if n}) + sum(v for (_, _, n), v in classes.items() if not n)
+    assert len(near) == n_classes([r[:2] for r in rules])
     assert not any(n for _, _, n in classes_by_hand([r[:2] for r in near]))
     assert len(private) == len(near) and not any(spans_by_hand(r[1]) for r in private) and all(r[4] == len(r[1]) for r in private)
     assert not Counter(mixed) - Counter(private) and 0.4 < len(mixed) / len(private) < 1
