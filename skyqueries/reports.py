@@ -227,37 +227,96 @@ def typed_report(spark, folder):
     return typed.select("name", "P_CW", "badBulgeFitFlag", "bulgeAxisRatio", "likOfCtr", "covarFit")
 
 
-@R.add("A3_combine_reports", ["raw_report"], "select count(*) as n, count(distinct name) as names from raw_report")
+def renamed(spark, folder: str, name) -> None:
+    """Give every data file of a written folder, sub-folders included, the name that ``name`` makes of its path below the folder and its number."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, listing = [], fs.listFiles(top, True)
+    while listing.hasNext():
+        found.append(listing.next().getPath())
+    for k, path in enumerate(sorted((p for p in found if p.getName().startswith("part-")), key=lambda p: p.toString())):
+        below = path.getParent().toString().removeprefix(fs.makeQualified(top).toString()).strip("/")
+        to = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name(below, k)}")
+        fs.mkdirs(to.getParent())
+        if not fs.rename(path, to):
+            raise OSError(f"cannot rename {path}")
+
+
+TAKEN = ["index", "name", "P_CW", "fit_state", "cropRad"]
+
+
+@R.add("A3_combine_reports", ["raw_report"], 'select "index", name, P_CW, trim(fit_state) as fit_state, cropRad from raw_report')
 def combine(spark, folder):
     root = fresh(spark, "tree")
     raw = view(spark, folder, "raw_report")
-    tables.write_csv(raw, f"{root}/one")
-    # Arc tables share the tree and are to be left out.
-    raw.selectExpr("name as value").write.mode("overwrite").text(f"{root}/arcs_text")
-    both = tables.combine_reports(spark, root, COLUMNS)
-    return both.agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
+    number = F.col("index").cast("bigint")
+    # Three orders of the columns, one of them with a column that the others lack.
+    for k, order in enumerate((COLUMNS, COLUMNS[::-1], sorted(COLUMNS))):
+        part = raw.filter(number % 3 == k).select(*order)
+        tables.write_csv(part.withColumn("more", F.lit("a, b")) if k == 2 else part, f"{root}/order{k}")
+    # Arc tables share the tree and are to be left out; so do files with a header alone.
+    tables.write_csv(raw.select("name", F.lit("1").alias("arc_length")), f"{root}/arcs")
+    renamed(spark, f"{root}/arcs", lambda below, k: f"galaxy{k}_arcs.csv")
+    tables.write_csv(raw.filter("false").select(*COLUMNS), f"{root}/none")
+    return tables.combine_reports(spark, root, TAKEN)
+
+
+def variation_tree(spark, folder: str) -> str:
+    """One ``galaxy.csv`` for each value of P_CW: two orders of columns, and lines with too many fields, with too few, and blank ones."""
+    root = fresh(spark, "variations")
+    raw = view(spark, folder, "raw_report").withColumn("number", F.col("index").cast("bigint"))
+    orders = [COLUMNS, [*COLUMNS[::-1]]]
+    flip = F.col("P_CW").isin("0.1", "0.4")
+    line = lambda cols: F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in cols])
+    whole = [line([F.col(c) for c in order]) for order in orders]
+    long = [F.concat(w, F.lit(",more")) for w in whole]
+    short = [line([F.col(c) for c in order[:-3]]) for order in orders]
+    texts = [F.when(F.col("number") % 10 == 0, x).when(F.col("number") % 10 == 1, y).when(F.col("number") % 10 == 2, F.concat(w, F.lit("\n"))).otherwise(w) for w, x, y in zip(whole, long, short, strict=True)]
+    rows = raw.select(F.col("P_CW").alias("object"), F.lit(1).alias("place"), F.when(flip, texts[1]).otherwise(texts[0]).alias("value"))
+    tops = raw.select("P_CW").distinct().select(F.col("P_CW").alias("object"), F.lit(0), F.when(flip, F.lit(", ".join(orders[1]))).otherwise(F.lit(",".join(orders[0]))))
+    lines = rows.union(tops).repartition("object").sortWithinPartitions("object", "place")
+    lines.select("object", "value").write.partitionBy("object").text(root)
+    renamed(spark, root, lambda below, k: f"{below.removeprefix('object=')}/2-OUT/galaxy.csv")
+    return root
 
 
-@R.add("A4_variation_reports", ["raw_report"], "select P_CW as object_id, count(*) as n from raw_report where trim(fit_state) = 'OK' group by 1")
+@R.add(
+    "A4_variation_reports",
+    ["raw_report"],
+    "select P_CW as object_id, \"index\" as row_index, case when cast(\"index\" as bigint) % 10 = 1 and P_CW not in ('0.1', '0.4') then null else cropRad end as cropRad, "
+    "case when cast(\"index\" as bigint) % 10 = 1 and P_CW not in ('0.1', '0.4') then null else bar_used end as bar_used "
+    "from raw_report where trim(fit_state) = 'OK' and cast(\"index\" as bigint) % 10 <> 0 and not (cast(\"index\" as bigint) % 10 = 1 and P_CW in ('0.1', '0.4'))",
+)
 def variations(spark, folder):
-    # One folder per object; the writer names files itself, so the reader is pointed at any CSV here.
-    root = fresh(spark, "variations")
-    raw = view(spark, folder, "raw_report")
-    raw.withColumn("object", F.col("P_CW")).write.partitionBy("object").option("header", True).csv(root)
-    df = tables.read_report(spark, root, COLUMNS, mode="DROPMALFORMED", recursiveFileLookup="true", pathGlobFilter="*.csv")
-    tagged = df.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"object=([^/]+)/[^/]*$", 1).alias("object_id"))
-    return tagged.filter(F.trim("fit_state") == "OK").groupBy("object_id").agg(F.count("*").alias("n"))
+    # Short lines of the flipped order lack the index itself.
+    found = tables.read_variations(spark, variation_tree(spark, folder), [*TAKEN, "bar_used"])
+    return found.filter("index is not null").select("object_id", F.col("index").alias("row_index"), "cropRad", "bar_used")
+
+
+@R.add(
+    "A4_rejected_lines",
+    ["raw_report"],
+    "select P_CW as object_id, 'too many fields' as reason, count(*) as n from raw_report where cast(\"index\" as bigint) % 10 = 0 group by 1",
+)
+def rejected(spark, folder):
+    found = tables.rejected_lines(spark, variation_tree(spark, folder), TAKEN, "", tables.VARIED)
+    return found.groupBy(F.regexp_extract("file_path", r"([^/]+)/2-OUT/galaxy\.csv$", 1).alias("object_id"), "reason").agg(F.count("*").alias("n"))
 
 
 @R.add(
     "A10_portal_uris",
     ["manifest_files"],
-    "select 'mast:' || file_name as uri from manifest_files where id >= 4 and file_name like '%\\_i2d.fits' escape '\\'",
+    "select 'mast:' || file_name as uri from manifest_files where file_name like '%\\_i2d.fits' escape '\\'",
 )
 def portal(spark, folder):
+    path = fresh(spark, "portal")
     m = view(spark, folder, "manifest_files")
-    lines = m.select((F.col("id") + 1).alias("line_no"), F.concat(F.lit('"a, b",'), F.lit("mast:"), "file_name", F.lit(",3")).alias("value"))
-    return tables.portal_uris(lines, "line_no", 4, 1)
+    top = spark.createDataFrame([(-5, "# portal export"), (-4, ""), (-3, "# a, b"), (-2, "#"), (-1, 'note, "x, y", dataURI , size')], "id long, value string")
+    rows = m.select("id", F.concat(F.lit('"a, ""b""",c,'), F.lit("mast:"), "file_name", F.lit(",3")).alias("value"))
+    # One file: lines are put in order in one task here, because the export is one file; the reader splits it.
+    rows.union(top).coalesce(1).sortWithinPartitions("id").select("value").write.text(path)
+    return tables.portal_uris(spark, path)
 
 
 @R.add(

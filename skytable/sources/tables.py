@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +29,7 @@ def header_of(spark: SparkSession, path: str, skip_ending: str = "", **options)
     if skip_ending:
         lines = lines.filter(~F.col("_metadata.file_name").endswith(skip_ending))
     first = lines.first()
-    return [] if first is None else [c.strip().strip('"').strip() for c in first[0].split(",")]
+    return [] if first is None else [c.strip() for c in next(csv.reader([first[0]], skipinitialspace=True), [])]
 
 
 def _by_name(spark: SparkSession, path: str, header: list[str], wanted: list[str], options: dict[str, str]) -> DataFrame:
@@ -66,24 +68,63 @@ def read_report(spark: SparkSession, path, columns: list[str] | None = None, ski
     return df.select(*[c for c in df.columns if c != "_metadata"])
 
 
+def report_lines(spark: SparkSession, root: str, columns: list[str], skip_ending: str = "", **lookup) -> DataFrame:
+    """Lines of many CSVs as text columns, each file by its own header, with ``file_path`` and ``reason`` (null for a good line).
+
+    A file's header is its first line that is not blank; files may have their columns in any order and others besides. Short lines are
+    padded with nulls, blank ones left out. A line with more fields than the header, and every line of a file that lacks one of
+    the columns, keeps its text in ``line`` and has a reason. Quoted fields may hold commas and doubled quotes, not line ends.
+    """
+    reader = spark.read
+    for k, v in lookup.items():
+        reader = reader.option(k, v)
+    lines = reader.text(root).select(F.col("value").alias("line"), "_metadata.file_path", "_metadata.file_block_start")
+    lines = lines.filter(F.trim("line") != "")
+    if skip_ending:
+        lines = lines.filter(~F.col("file_path").endswith(skip_ending))
+    # Only a file's first block holds its header, and lines come in order.
+    tops = lines.filter("file_block_start = 0").withColumn("at", F.monotonically_increasing_id())
+    tops = tops.groupBy("file_path").agg(F.min_by("line", "at").alias("top"))
+    names_ = F.transform(split_csv(F.col("top")), lambda c: F.trim(c))
+    placed = tops.select("file_path", "top", F.size(names_).alias("wide"), *[F.array_position(names_, c).alias(f"at_{i}") for i, c in enumerate(columns)])
+    absent = F.filter(F.array(*[F.when(F.col(f"at_{i}") == 0, F.lit(c)) for i, c in enumerate(columns)]), lambda c: c.isNotNull())
+    placed = placed.withColumn("absent", absent)
+    rows = lines.join(placed, "file_path").filter((F.col("file_block_start") > 0) | (F.col("line") != F.col("top"))).withColumn("fields", split_csv(F.col("line")))
+    reason = F.when(F.size("absent") > 0, F.concat(F.lit("no column "), F.array_join("absent", ", "))).when(F.size("fields") > F.col("wide"), "too many fields")
+    value = lambda i: F.when(F.col(f"at_{i}") > 0, F.trim(F.get("fields", F.col(f"at_{i}") - 1)))
+    rows = rows.withColumn("reason", reason)
+    return rows.select(*[F.when(F.col("reason").isNull(), value(i)).alias(c) for i, c in enumerate(columns)], "file_path", "line", "reason")
+
+
+COMBINED = {"recursiveFileLookup": "true", "pathGlobFilter": "*.csv"}
+VARIED = {"recursiveFileLookup": "true", "pathGlobFilter": "galaxy.csv"}
+
+
 def combine_reports(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:
-    """A3: all per-object CSVs under a tree except the arc tables; empty and header-only files add no rows."""
-    return read_report(spark, root, columns, skip_ending="_arcs.csv", recursiveFileLookup="true", pathGlobFilter="*.csv")
+    """A3: all per-object CSVs under a tree except the arc tables, by the header of each; empty and header-only files add no rows.
+
+    What is left out is in :func:`rejected_lines`.
+    """
+    return report_lines(spark, root, columns, "_arcs.csv", **COMBINED).filter("reason is null").select(*columns)
+
+
+def rejected_lines(spark: SparkSession, root: str, columns: list[str], skip_ending: str = "_arcs.csv", lookup: dict[str, str] | None = None) -> DataFrame:
+    """A3, A4: the lines that the readers leave out: ``file_path``, ``line`` and ``reason``."""
+    rows = report_lines(spark, root, columns, skip_ending, **(lookup or COMBINED))
+    return rows.filter("reason is not null").select("file_path", "line", "reason")
 
 
 def read_variations(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:
-    """A4: per-object reports ``<object>/2-OUT/galaxy.csv``; good fits only, malformed lines skipped."""
-    options = {"recursiveFileLookup": "true", "pathGlobFilter": "galaxy.csv"}
-    df = _by_name(spark, root, header_of(spark, root, **options), columns, {"mode": "DROPMALFORMED", **options})
-    owner = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/2-OUT/galaxy\.csv$", 1)
-    tagged = df.withColumn("object_id", owner).drop("_metadata").filter("object_id <> ''")
-    return tagged.filter(F.trim("fit_state") == "OK")
+    """A4: per-object reports ``<object>/2-OUT/galaxy.csv`` by the header of each; good fits only, lines with too many fields left out."""
+    owner = F.regexp_extract("file_path", r"([^/]+)/2-OUT/galaxy\.csv$", 1)
+    rows = report_lines(spark, root, columns, **VARIED).filter("reason is null").withColumn("object_id", owner)
+    return rows.select(*columns, "object_id").filter((F.col("object_id") != "") & (F.trim("fit_state") == "OK"))
 
 
 def list_images(spark: SparkSession, root: str, pattern: str = r"(?i)\.fits$") -> DataFrame:
-    """A5: image files under a tree. Only listing columns are read, never the content."""
+    """A5: image files under a tree, in the order of their paths. Only listing columns are read, never the content."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return df.select("path", "length", "modificationTime").filter(F.col("path").rlike(pattern))
+    return df.select("path", "length", "modificationTime").filter(F.col("path").rlike(pattern)).orderBy("path")
 
 
 IMAGE_PATTERN = r"(?i)\.(fits\.gz|fits|fit|png)$"
@@ -140,14 +181,23 @@ def split_csv(line: Column) -> Column:
     )
 
 
-def portal_uris(lines: DataFrame, line_no: str, skip: int, uri_at: int) -> DataFrame:
-    """A10: URIs of mosaic images from a portal export with ``skip`` lines before the rows.
+PORTAL_SKIP, PORTAL_COLUMN = 4, "dataURI"
+
+
+def portal_uris(spark: SparkSession, path: str, skip: int = PORTAL_SKIP, column: str = PORTAL_COLUMN, mosaics_only: bool = True) -> DataFrame:
+    """A10: URIs of a portal's CSV export, by name from the first line after ``skip`` lines that is not blank; of mosaics only, or all that are not empty.
 
-    ``lines``: (``line_no`` counting from 1, value).
+    Reads the first lines to learn the header. Lines of the first block that equal one of them are no rows.
     """
-    rows = lines.filter(F.col(line_no) > skip)
-    uri = F.trim(F.get(split_csv(F.col("value")), F.lit(uri_at)))
-    return rows.select(uri.alias("uri")).filter(F.col("uri").endswith("_i2d.fits"))
+    top = [r[0] for r in spark.read.text(path).take(skip + 20)]
+    at = next((i for i, line in enumerate(top) if i >= skip and line.strip()), None)
+    header = [] if at is None else [c.strip() for c in next(csv.reader([top[at]], skipinitialspace=True))]
+    if column not in header:
+        raise ValueError(f"no column {column} after the first {skip} lines of {path}")
+    rows = spark.read.text(path).select("value", "_metadata.file_block_start")
+    rows = rows.filter((F.col("file_block_start") > 0) | ~F.col("value").isin(top[: at + 1]))
+    uri = F.trim(F.get(split_csv(F.col("value")), F.lit(header.index(column)))).alias("uri")
+    return rows.select(uri).filter(F.col("uri").endswith("_i2d.fits") if mosaics_only else F.col("uri") != "")
 
 
 def source_manifest(rows: DataFrame, extras: list[str]) -> DataFrame:
