@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from skyqueries.inputs import Registry, pixels, table
-from skytable.operators import images
-from skytable.sources import fits
+from skyqueries.inputs import Registry, pixels, sql_with, table
+from skytable.operators import images, tiles
+from skytable.session import shared_dir
+from skytable.sources import fits, fits_tiles
 
 R = Registry()
 
@@ -241,11 +244,12 @@ R.sql["H4_detect_objects"] = recursive(R.sql["H4_detect_objects"])
 @R.add("H5_H6_apertures_and_filters")
 def filtered(spark, folder):
     p, rms, d = _detected(spark, folder)
-    a = images.aperture_sums(d, p)
+    psf = d.select("image_id").distinct().select("image_id", F.lit(2.0).alias("psf_fwhm"))
+    a = tiles.aperture_measures(d, tiles.tile_rows(p), psf)
     flat = images.flat_top_pixels(d, p)
     bright_floor = images.exact_quantiles(p.filter("v > 0"), ["image_id"], "v", {"bright_floor": 0.99})
     full = d.join(a, ["image_id", "object"], "left").join(flat, ["image_id", "object"], "left").join(rms.withColumnRenamed("global_rms", "rms"), "image_id")
-    full = full.join(bright_floor, "image_id", "left").withColumn("psf_fwhm", F.lit(2.0))
+    full = full.join(bright_floor, "image_id", "left").join(psf, "image_id", "left")
     return full.select("image_id", "object", images.first_failed_filter().alias("label"))
 
 
@@ -269,19 +273,39 @@ def filter_labels(spark, folder):
     return stats.label_counts(rows.select(images.first_failed_filter().alias("label")), "label")
 
 
+# Two spots on each image, of which a tenth are black; half of the images have a known point spread.
+SPOTS = (
+    "l as (select image_id, y, x, case when image_id % 10 = 0 then 0 else abs(v) + 0.01::double end as v from pixels), "
+    "o as (select image_id, object, 3.5::double + (image_id % 2) * 0.5::double + object as x, 3 + (image_id % 3) * 0.5::double as y, 0.7::double + (image_id % 5) * 0.2::double as a, "
+    "(0.7::double + (image_id % 5) * 0.2::double) / (1 + image_id % 3) as b, (image_id % 7) * 0.1::double as theta, case when image_id % 2 = 0 then 1.1::double end as fwhm "
+    "from (select distinct image_id from pixels), (select unnest([0, 1]) as object)), "
+    "r as (select *, case when fwhm is null then 3.0::double else greatest(1.5, 1.5 * fwhm) end as r_in, case when fwhm is null then 8.0::double else greatest(4.0, 4 * fwhm) end as r_out, "
+    "greatest(5.0, least(6 * a, 200)) as r_f, greatest(5.0, least(8 * a, 200)) as r_h from o), "
+    "n as (select r.*, l.v, pow(l.x - r.x, 2) + pow(l.y - r.y, 2) as d2, sqrt(pow(((l.x - r.x) * cos(theta) + (l.y - r.y) * sin(theta)) / a, 2) + pow(((l.y - r.y) * cos(theta) - (l.x - r.x) * sin(theta)) / b, 2)) as ell "
+    "from r join l using (image_id)), "
+    "t as (select *, sum(v) over (partition by image_id, object order by d2) as run, sum(v) filter (where d2 <= r_f * r_f) over (partition by image_id, object) as f_all, "
+    "sum(v) filter (where d2 <= r_h * r_h) over (partition by image_id, object) as h_all from n), "
+    "g as (select image_id, object, sum(v) filter (where d2 <= r_in * r_in) / greatest(sum(v) filter (where d2 <= r_out * r_out), 1e-10) as concentration, "
+    "sqrt(min(d2) filter (where f_all > 0 and run >= 0.25 * f_all and d2 <= r_f * r_f)) as r25, sqrt(min(d2) filter (where h_all > 0 and run >= 0.5 * h_all and d2 <= r_h * r_h)) as r50, "
+    "sqrt(min(d2) filter (where f_all > 0 and run >= 0.75 * f_all and d2 <= r_f * r_f)) as r75, "
+    "coalesce(sum(ell * v) filter (where ell <= 6 and d2 <= pow(greatest(r_out, r_f, r_h), 2)) / nullif(sum(v) filter (where ell <= 6 and d2 <= pow(greatest(r_out, r_f, r_h), 2)), 0), 0) as kron from t group by 1, 2) "
+)
+
+
 @R.add(
-    "H5_aperture_concentration",
+    "H5_aperture_measures",
     P,
-    f"s as (select image_id, sum(v) filter (where {RAD} <= 3) as i, sum(v) filter (where {RAD} <= 8) as o from pixels group by 1) select image_id, case when o > 0.05 then round(i / greatest(o, 1e-10), 4) end as concentration from s",
+    SPOTS + "select image_id, object, round(concentration, 6) as concentration, round(r25, 6) as r25, round(r50, 6) as r50, round(r75, 6) as r75, round(kron, 6) as kron_radius, kron < 1 as compact from g",
 )
 def aperture(spark, folder):
-    p = pixels(spark, folder)
-    spots = p.groupBy("image_id").agg(F.lit(1).alias("object"), F.sum("v").alias("total"))
-    spots = spots.select("image_id", "object", *[F.lit(x).alias(n) for n, x in (("x", 4.0), ("y", 4.0), ("a", 2.0), ("b", 2.0), ("theta", 0.0))])
-    a = images.aperture_sums(spots, p)
-    outer = images.pixels_near(spots, p, F.lit(8.0)).groupBy("image_id").agg(F.sum("v").alias("o"))
-    # A ratio to a sum near zero is all rounding error, so it shows as null.
-    return a.join(outer, "image_id").select("image_id", F.when(F.col("o") > 0.05, F.round("concentration", 4)).alias("concentration"))
+    p = pixels(spark, folder).withColumn("v", F.when(F.col("image_id") % 10 == 0, 0.0).otherwise(F.abs("v") + 0.01))
+    i = F.col("image_id")
+    spots = p.select("image_id").distinct().withColumn("object", F.explode(F.array(F.lit(0), F.lit(1))))
+    a = F.lit(0.7) + (i % 5) * 0.2
+    spots = spots.select("image_id", "object", (F.lit(3.5) + (i % 2) * 0.5 + F.col("object")).alias("x"), (F.lit(3.0) + (i % 3) * 0.5).alias("y"), a.alias("a"), (a / (1 + i % 3)).alias("b"), ((i % 7) * 0.1).alias("theta"))
+    psf = spots.select("image_id").distinct().filter(i % 2 == 0).withColumn("psf_fwhm", F.lit(1.1))
+    # Tiles of three pixels: an aperture lies in up to nine of them.
+    return rounded(tiles.aperture_measures(spots, tiles.tile_rows(p, 3), psf, 3).drop("compact"), keys=("image_id", "object")).withColumn("compact", F.col("kron_radius") < 1)
 
 
 def _boxes(spark, folder):
@@ -344,9 +368,52 @@ def flat_tops(spark, folder):
     return images.flat_top_pixels(d, p).select("image_id", "n_flat")
 
 
+def unrounded(name: str) -> str:
+    """The SQL of a query without the rounding of its results."""
+    text = R.sql[name]
+    while (at := text.find("round(")) >= 0:
+        depth, end = 1, at + len("round(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        text = f"{text[:at]}({text[at + len('round(') : end - 1].rpartition(',')[0]}){text[end:]}"
+    return text
+
+
 @R.add("H22_morphology")
 def morphology(spark, folder):
-    return images.morphology(pixels(spark, folder))
+    return rounded(tiles.morphology(tiles.tile_rows(pixels(spark, folder))))
+
+
+@R.add("H22_morphology_of_mosaics")
+def mosaic_morphology(spark, folder):
+    """Each eight images in a row and two rows are one image; tiles are smaller than it."""
+    k = F.floor(F.col("image_id") / 16)
+    place = F.col("image_id") - k * 16
+    p = pixels(spark, folder).select(
+        k.alias("image_id"), F.lit(16).alias("h"), F.lit(64).alias("w"), (F.col("y") + F.floor(place / 8) * 8).cast("int").alias("y"), (F.col("x") + (place % 8) * 8).cast("int").alias("x"), "v"
+    )
+    return rounded(tiles.morphology(tiles.tile_rows(p, 48), 48))
+
+
+SOURCES_3 = recursive(
+    sql_with(P, ST + components("v > mean + 3 * sqrt(var)", False) + "select st.image_id, cast(count(distinct comp) as double) as n_sources from st left join lb on lb.image_id = st.image_id group by 1")
+)
+SIMPLE = "min_dim center_fraction outer_fraction interior_zero_frac quadrant_ratio max_quadrant_frac concentration total_rise peak_offset_frac snr kurtosis_val".split()
+R.sql["H22_morphology"] = sql_with(
+    P,
+    "f as (select image_id, sum(abs(v)) as flux, var_pop(v) as var from pixels group by 1) select f.image_id, "
+    "round(var_1 / var, 6) as e1, round(var_4 / var, 6) as e4, round(var_16 / var, 6) as e16, round(case when var_1 / var > 1e-12 then var_16 / var_1 else 0 end, 6) as coarse_to_fine, "
+    "round(greatest(row_var, col_var) / greatest(least(row_var, col_var), 1e-12), 6) as directional_ratio, round(saturated_fraction, 6) as saturated_fraction, "
+    "round(n_sources, 6) as n_sources, round(diff / (2 * flux), 6) as asymmetry, round(half_light_radius, 6) as half_light_radius, round(gini, 6) as gini, round(m20, 6) as m20, "
+    + ", ".join(f"round({c}, 6) as {c}" for c in SIMPLE)
+    + " from f "
+    + " ".join(
+        f"join ({unrounded(q)}) using (image_id)"
+        for q in "H16_H18_H19_H21_simple_features H14_directional_ratio H15_saturated_fraction H19_asymmetry H20_half_light_radius H20_gini H20_bright_moment H13_blur_energy".split()
+    )
+    + f" join ({SOURCES_3}) using (image_id)",
+)
 
 
 # ---- FITS bytes written from the vectors and read back ----
@@ -388,3 +455,23 @@ def merged(spark, folder):
 def load(spark, folder):
     images_ = fits.load_pixels(fits_files(spark, folder))
     return images_.select("path", "h", "w", F.round(F.aggregate("pixels", F.lit(0.0), lambda s, p: s + p), 6).alias("total"))
+
+
+@R.add(
+    "A8_image_tiles",
+    None,
+    "select 'v' || cast(vec_id as varchar) || '.fits' as path, 4::bigint as tiles, 64::bigint as pixels, round(list_sum(list_transform(embedding, lambda e: round(e::double * 1e6) / 1e6)), 6) as total, "
+    "null::varchar as reason from embeddings union all select 'cut' || cast(vec_id as varchar) || '.fits', 0, 0, null, 'data end early' from embeddings where vec_id % 50 = 0",
+)
+def image_tiles(spark, folder):
+    root = f"{shared_dir(spark).rstrip('/')}/skytable-images-{uuid.uuid4().hex}"
+    files = fits_files(spark, folder)
+    cut = files.filter(F.regexp_extract("path", r"(\d+)", 1).cast("bigint") % 50 == 0)
+    cut = cut.select(F.regexp_replace("path", "v(\\d+)", "cut$1").alias("path"), F.substring("content", 1, fits.BLOCK + 100).alias("content"))
+    fits_tiles.write_files(files.select("path", "content").unionByName(cut), root).count()
+    read = fits_tiles.read_tiles(spark, root, 4)
+    total = F.round(F.sum(F.aggregate("values", F.lit(0.0), lambda s, v: s + v)), 6)
+    grouped = read.groupBy(F.regexp_extract("path", "([^/]+)$", 1).alias("path")).agg(
+        F.count("values").alias("tiles"), F.coalesce(F.sum(F.size("values")).cast("bigint"), F.lit(0)).alias("pixels"), total.alias("total"), F.max("reason").alias("reason")
+    )
+    return grouped.withColumn("pixels", F.when(F.col("tiles") > 0, F.col("pixels")).otherwise(F.lit(0)).cast("bigint"))

@@ -28,6 +28,9 @@ FINE_SIGMA, MIDDLE_SIGMA, COARSE_SIGMA_RANGE = 1.0, 3.0, (4.0, 12.0)
 TRUNCATE = 4.0
 WHITE_LEVEL = 245
 MIN_CONTRAST = 0.15
+# Thresholds of the detection filters.
+MIN_PIXELS, MIN_FLUX, MIN_SEMI_MAJOR, MAX_PEAK_SHARE, MAX_ELONGATION, MIN_SNR = 20, 0.0, 4.0, 0.5, 5.0, 7.0
+CONCENTRATION_ENDS, MAX_STAR_RATIO, PSF_FACTOR, PSF_HALF_LIGHT, FLAT_PIXELS, MIN_KRON = (0.03, 0.75), 0.45, 1.5, 0.54, 4, 1.0
 FEATURES = (
     "e1 e4 e16 coarse_to_fine directional_ratio saturated_fraction center_fraction outer_fraction interior_zero_frac "
     "quadrant_ratio max_quadrant_frac n_sources concentration asymmetry total_rise half_light_radius peak_offset_frac "
@@ -339,39 +342,6 @@ def pixels_near(detections: DataFrame, pixels: DataFrame, radius: Column, cell:
     return asked.join(given, ["image_id", "_cy", "_cx"]).withColumn("dist", distance).filter(F.col("dist") <= F.col("_r")).drop("_cy", "_cx", "_r")
 
 
-def aperture_sums(detections: DataFrame, pixels: DataFrame, r_inner: float = 3.0, r_outer: float = 8.0) -> DataFrame:
-    """H5: (image_id, object, concentration, r25, r50, r75, kron_radius). A pixel counts by its centre.
-
-    Apertures end at 200 pixels, so a detection's running sum is bounded.
-    """
-    from pyspark.sql.window import Window as W
-
-    r_flux = F.greatest(F.lit(5.0), F.least(6.0 * F.col("a"), F.lit(200.0)))
-    r_psf = F.greatest(F.lit(5.0), F.least(8.0 * F.col("a"), F.lit(200.0)))
-    reach = F.greatest(r_psf, F.lit(r_outer))
-    near = pixels_near(detections.select("image_id", "object", "x", "y", "a", "b", "theta"), pixels, reach)
-    near = near.withColumn("_rf", r_flux).withColumn("_rp", r_psf)
-    key = ["image_id", "object"]
-    by_distance = W.partitionBy(*key).orderBy("dist", "py", "px").rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*key)
-    in_f, in_p = F.col("dist") <= F.col("_rf"), F.col("dist") <= F.col("_rp")
-    run = near.withColumn("_cum", F.sum("v").over(by_distance)).withColumn("_tf", F.sum(F.when(in_f, F.col("v"))).over(whole))
-    run = run.withColumn("_tp", F.sum(F.when(in_p, F.col("v"))).over(whole))
-    dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
-    along = dx * F.cos("theta") + dy * F.sin("theta")
-    across = -dx * F.sin("theta") + dy * F.cos("theta")
-    ell = F.sqrt(F.pow(along / F.greatest(F.col("a"), F.lit(0.01)), 2.0) + F.pow(across / F.greatest(F.col("b"), F.lit(0.01)), 2.0))
-    in_k = ell <= 6.0
-    first = lambda share, total, inside: F.min(F.when(inside & (F.col("_cum") >= share * F.col(total)), F.col("dist")))
-    inner = F.sum(F.when(F.col("dist") <= r_inner, F.col("v")))
-    outer = F.sum(F.when(F.col("dist") <= r_outer, F.col("v")))
-    return run.groupBy(*key).agg(
-        (inner / F.greatest(outer, F.lit(1e-10))).alias("concentration"),
-        first(0.25, "_tf", in_f).alias("r25"), first(0.5, "_tp", in_p).alias("r50"), first(0.75, "_tf", in_f).alias("r75"),
-        (F.sum(F.when(in_k, ell * F.col("v"))) / F.sum(F.when(in_k, F.col("v")))).alias("kron_radius"),
-    )
-
-
 def flat_top_pixels(detections: DataFrame, pixels: DataFrame) -> DataFrame:
     """(image_id, object, n_flat): pixels of the 5x5 box around a detection within 0.1% of its peak."""
     spot = detections.select("image_id", "object", F.col("x").cast("int").alias("_x"), F.col("y").cast("int").alias("_y"), "peak")
@@ -391,17 +361,17 @@ def first_failed_filter() -> Column:
     """
     c = F.col
     fails = [
-        ("npix", c("npix") < 20),
-        ("flux", c("flux") <= 0.0),
-        ("resolved", c("a") <= 4.0),
-        ("artifact", c("peak") / F.greatest(c("flux"), F.lit(1e-10)) >= 0.5),
-        ("elongation", c("a") / F.greatest(c("b"), F.lit(0.01)) >= 5.0),
-        ("snr", c("flux") / F.greatest(F.sqrt(c("npix").cast("double")) * c("rms"), F.lit(1e-10)) < 7.0),
-        ("concentration", (c("concentration") <= 0.03) | (c("concentration") >= 0.75)),
-        ("star", c("r25") / F.greatest(c("r75"), F.lit(0.1)) >= 0.45),
-        ("psf", c("r50") <= 1.5 * 0.54 * c("psf_fwhm")),
-        ("saturation", (c("peak") >= c("bright_floor")) & (c("n_flat") >= 4)),
-        ("kron", c("kron_radius") < 1.0),
+        ("npix", c("npix") < MIN_PIXELS),
+        ("flux", c("flux") <= MIN_FLUX),
+        ("resolved", c("a") <= MIN_SEMI_MAJOR),
+        ("artifact", c("peak") / F.greatest(c("flux"), F.lit(1e-10)) >= MAX_PEAK_SHARE),
+        ("elongation", c("a") / F.greatest(c("b"), F.lit(0.01)) >= MAX_ELONGATION),
+        ("snr", c("flux") / F.greatest(F.sqrt(c("npix").cast("double")) * c("rms"), F.lit(1e-10)) < MIN_SNR),
+        ("concentration", (c("concentration") <= CONCENTRATION_ENDS[0]) | (c("concentration") >= CONCENTRATION_ENDS[1])),
+        ("star", c("r25") / F.greatest(c("r75"), F.lit(0.1)) >= MAX_STAR_RATIO),
+        ("psf", c("r50") <= PSF_FACTOR * PSF_HALF_LIGHT * c("psf_fwhm")),
+        ("saturation", (c("peak") >= c("bright_floor")) & (c("n_flat") >= FLAT_PIXELS)),
+        ("kron", c("kron_radius") < MIN_KRON),
     ]
     return reduce(lambda out, f: F.when(F.coalesce(f[1], F.lit(False)), f[0]).otherwise(out), reversed(fails), F.lit("pass"))
 
@@ -610,37 +580,6 @@ def simple_features(sums: DataFrame) -> DataFrame:
     )
 
 
-def morphology(pixels: DataFrame, tile: int = TILE) -> DataFrame:
-    """The 22 features per image. NaN pixels count as 0; a flat image has all features 0 but its size."""
-    clean = pixels.withColumn("v", F.coalesce(F.nanvl("v", F.lit(0.0)), F.lit(0.0)))
-    sums = cut_lineage(image_sums(clean))
-    lively = sums.filter(F.col("var") >= FLAT_VARIANCE)
-    live = clean.join(lively.select("image_id"), "image_id", "left_semi")
-    parts = [
-        simple_features(lively),
-        saturation(live, lively),
-        half_light_radius(live, lively),
-        gini(live, lively),
-        bright_moment(live, lively),
-        count_sources(live, lively, tile),
-        line_variances(live).select(
-            "image_id",
-            (F.greatest("row_var", "col_var") / F.greatest(F.least("row_var", "col_var"), F.lit(TINY))).alias("directional_ratio"),
-        ),
-        asymmetry(live).join(lively.select("image_id", "flux"), "image_id").select(
-            "image_id", F.when(F.col("flux") > TINY, F.col("diff") / (2.0 * F.col("flux"))).otherwise(F.lit(0.0)).alias("asymmetry")
-        ),
-        blur_energy(live, lively, tile).join(lively.select("image_id", "var"), "image_id").select(
-            "image_id", (F.col("var_1") / F.col("var")).alias("e1"), (F.col("var_4") / F.col("var")).alias("e4"),
-            (F.col("var_16") / F.col("var")).alias("e16"),
-            F.when(F.col("var_1") / F.col("var") > TINY, F.col("var_16") / F.col("var_1")).otherwise(F.lit(0.0)).alias("coarse_to_fine"),
-        ),
-    ]
-    size = sums.select("image_id", F.least("h", "w").cast("double").alias("_side"))
-    full = reduce(lambda a, b: a.join(b, "image_id", "left"), parts, size)
-    return full.select("image_id", *[F.coalesce(f, "_side" if f == "min_dim" else F.lit(0.0)).alias(f) for f in FEATURES])
-
-
 PIXEL_SCHEMA = T.StructType(
     [T.StructField("image_id", T.LongType())]
     + [T.StructField(c, T.IntegerType()) for c in ("h", "w", "y", "x")]

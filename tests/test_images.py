@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from skytable.operators import images
+from skytable.operators import images, tiles
 
 
 def pixel_frame(image_id, a):
@@ -63,7 +63,7 @@ def test_morphology_of_large_and_small_images(spark):
     big, small, flat = r.normal(5, 1, (130, 70)), r.normal(0, 1, (9, 14)), np.full((6, 6), 2.0)
     big[60:64, 30:34] += 40
     small[0, 0] = np.nan
-    got = images.morphology(to_table(spark, big, small, flat), tile=64).toPandas().set_index("image_id")
+    got = tiles.morphology(tiles.tile_rows(to_table(spark, big, small, flat), 64), 64).toPandas().set_index("image_id")
     for i, a in enumerate((big, np.nan_to_num(small))):
         f = got.loc[i]
         h, w = a.shape
