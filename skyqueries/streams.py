@@ -49,6 +49,27 @@ def fresh_workers(spark, folder):
     return jobs.run_to_table(s, key=["worker"]).select("worker", "status")
 
 
+@R.add(
+    "S3_silent_workers",
+    ["progress"],
+    "m as (select cast(worker as varchar) as worker, max(ts) as t from progress group by 1), n as (select max(t) - interval 10 minute as now from m), "
+    "g as (select worker, t, floor(epoch(t) * 1000) / 1000 as s, epoch(now) as e from m, n) "
+    "select worker, case when e < s + 60 then 'fresh' when e < s + 120 then 'working' else 'stalled' end as status from g",
+)
+def silent_workers(spark, folder):
+    # Landings in the order of time, one a batch; the last one moves the watermark past the workers that have fallen silent.
+    apply_settings(spark)
+    e = _progress(spark.read.parquet(f"{folder}/events.parquet"))
+    path = fresh(spark, "progress")
+    edges = e.agg(F.expr("percentile_approx(ts, array(0.25, 0.5, 0.75), 1000)")).first()[0]
+    for low, high in zip([None, *edges], [*edges, None], strict=True):
+        part = e if low is None else e.filter(F.col("ts") > F.lit(low))
+        (part if high is None else part.filter(F.col("ts") <= F.lit(high))).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    told = jobs.run_to_table(jobs.worker_states(stream, "10 minutes"), each=lambda batch: batch)
+    return told.groupBy("worker").agg(F.max_by("status", "since").alias("status"))
+
+
 @R.add("S6_distinct_products", ["progress"], "select count(distinct user_id) as n from progress")
 def distinct_products(spark, folder):
     e = _stream(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("jw"), F.col("user_id").cast("string")).alias("productFilename"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skytable.operators.grouping import attach_batch
 from skytable.session import shared_dir
@@ -59,6 +61,46 @@ def worker_freshness(events: DataFrame, now: Column) -> DataFrame:
     return last.withColumn("status", freshness(age))
 
 
+def worker_states(events: DataFrame, delay: str) -> DataFrame:
+    """S3 as a stream: (worker, since, status) whenever a worker's state changes, also to ``working`` and ``stalled`` without any event of its own.
+
+    Time is the watermark, which the events of all workers move: the latest event less ``delay``. A worker's state holds its last event; a
+    timer at the age of the next state fires once the watermark has passed it. Events without a time are left out. ``events``: (ts, worker).
+    """
+    limits = [(FRESH, "working"), (WORKING, "stalled")]
+    schema = "worker string, since timestamp, status string"
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        last, told = state.get if state.exists else (None, -1)
+        rows = []
+
+        def tell(until: int) -> None:
+            """States that have come by a time are told at once, the next one by a timer."""
+            nonlocal told
+            while told < len(limits) and last + limits[told][0] * 1000 <= until:
+                rows.append((key[0], last + limits[told][0] * 1000, limits[told][1]))
+                told += 1
+
+        if not state.hasTimedOut:
+            latest = max(int(b["ts"].max().value // 1_000_000) for b in batches)
+            if last is None or latest > last:
+                if last is not None:
+                    tell(min(now, latest - 1))
+                last, told = latest, 0
+                rows.append((key[0], last, "fresh"))
+        tell(now)
+        state.update((last, told))
+        if told < len(limits):
+            state.setTimeoutTimestamp(last + limits[told][0] * 1000)
+        if rows:
+            made = pd.DataFrame(rows, columns=["worker", "since", "status"])
+            yield made.assign(since=pd.to_datetime(made["since"], unit="ms"))
+
+    known = events.filter("ts is not null").withWatermark("ts", delay).select("ts", F.col("worker").cast("string").alias("worker"))
+    return known.groupBy("worker").applyInPandasWithState(follow, schema, "last long, told int", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def distinct_products(products: DataFrame, event_time: str, delay: str) -> DataFrame:
     """The first arrival of each file name; the state forgets names older than the delay."""
     return products.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["productFilename"])
@@ -108,25 +150,39 @@ def run_to_table(stream: DataFrame, key: list[str] | None = None, each: Callable
     return rows.groupBy(*key).agg(F.max_by(row, "batch").alias("_r")).select(*key, "_r.*")
 
 
-def group_stream(detections: DataFrame, arcsec: float = 1.0) -> DataFrame:
+# Height in degrees of the bands of declination in which founders are stored.
+BAND_DEGREES = 3.0
+
+
+def group_stream(detections: DataFrame, store: str | None = None, arcsec: float = 1.0) -> DataFrame:
     """Detections join groups as they arrive; each batch sees the groups of all earlier ones.
 
-    ``seq`` must grow from batch to batch. The store is a table of one folder per batch.
+    ``seq`` must grow from batch to batch. ``store`` is a folder of the caller, with the stream's checkpoint, the rows of each batch, and the founders of groups by
+    band of declination; started again on it, the stream goes on where it stopped, and a batch that is run again replaces its own folders and
+    does not see them. A batch reads the founders of the bands that it touches only. Without ``store`` a new one is made.
     """
     spark = detections.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/skytable-groups-{uuid.uuid4().hex}"
-    store = f"{base}/rows"
+    base = store or f"{shared_dir(spark).rstrip('/')}/skytable-groups-{uuid.uuid4().hex}"
+    rows, founders = f"{base}/rows", f"{base}/founders"
     empty = spark.createDataFrame([], "group_seq long, group_ra double, group_dec double")
+    layout = "group_seq long, group_ra double, group_dec double, batch long, band long"
+    band = lambda dec: F.floor(F.col(dec) / BAND_DEGREES)
 
     def attach(batch: DataFrame, number: int) -> None:
-        if number == 0:
-            known = empty
-        else:
-            # A group's first detection carries the group's own number: one row per group without a shuffle.
-            earlier = spark.read.parquet(store).filter((F.col("batch") < number) & (F.col("seq") == F.col("group_seq")))
+        known = empty
+        if number > 0:
+            # At most 180 / BAND_DEGREES numbers.
+            touched = {r[0] for r in batch.select(band("dec")).distinct().collect() if r[0] is not None}
+            near = sorted(touched | {b - 1 for b in touched} | {b + 1 for b in touched})
+            earlier = spark.read.schema(layout).parquet(founders).filter((F.col("batch") < number) & F.col("band").isin(near))
             known = earlier.select("group_seq", "group_ra", "group_dec")
-        attach_batch(known, batch, arcsec).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        attached = attach_batch(known, batch, arcsec)
+        attached.write.mode("overwrite").parquet(f"{rows}/batch={number}")
+        # A group's first detection carries the group's own number.
+        new = spark.read.schema(attached.schema).parquet(f"{rows}/batch={number}").filter("seq = group_seq")
+        new = new.select("group_seq", "group_ra", "group_dec", band("group_dec").alias("band"))
+        new.repartition("band").write.mode("overwrite").partitionBy("band").parquet(f"{founders}/batch={number}")
 
     writer = detections.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     writer.foreachBatch(attach).start().awaitTermination()
-    return spark.read.parquet(store).drop("batch")
+    return spark.read.parquet(rows).drop("batch")
