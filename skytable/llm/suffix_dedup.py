@@ -10,7 +10,7 @@ To be spread over a cluster, texts are cut into pieces so that equal strings of
 least gram hash is the same make a piece, and a collection holds all pieces of a number of hashes. A hash that only one piece of the corpus has cannot
 hold a repeated string; such pieces are never sent. Hashes are counted in slices, so no table of all hashes exists anywhere. Equal pieces
 are sent once from each bucket of texts and are one document of their collection. Where too many pieces
-share a hash, they are cut into single windows, which are dealt by a hash of the whole window. The rounds' files are arrays in memory: a collection is
+share a hash, they are cut into short runs of windows, which are dealt by a hash of the bytes that these share. The rounds' files are arrays in memory: a collection is
 at most some thousand pieces of at most 168 bytes, whatever the corpus.
 
 Defined cases: a null text counts as empty; a null id comes before all others; rows of equal ids are ordered by a hash of their texts, and rows
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +38,13 @@ SLICE_HASHES = 200_000
 BLOCK_PIECES = 4000
 COLLECTION_PIECES = 1500
 SPLIT_PIECES = 4000
+# Windows that stay together when a hot hash is split, and the number of pieces from which on each goes alone.
+TOGETHER, _ALONE_FROM = 8, 64 * SPLIT_PIECES
 _STRIDE = 1 << 16
 
 _END = 255
 _SPAN = np.dtype([("doc", "<u4"), ("a", "<u4"), ("b", "<u4")])
-_ANSWER = np.dtype([("hash", "<u8"), ("block", "<i8"), ("parts", "<u4")])
+_ANSWER = np.dtype([("hash", "<u8"), ("block", "<i8"), ("parts", "<u4"), ("step", "<u4")])
 _rng = np.random.default_rng(20_011)
 _BYTES = _rng.integers(0, 1 << 64, 256, np.uint64)
 _ODD = _rng.integers(0, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -138,7 +141,7 @@ def column_wise(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     transform = symbols(newest, 0)
     common = np.zeros(n + 1, np.uint8)
     owner = np.full(n, -1, np.int32)
-    places = np.argsort(transform, kind="stable")
+    places = np.argsort(transform, kind="stable").astype(np.int32)
     newest, entering = newest[places], np.arange(n)
     begin = np.append(0, np.cumsum(np.bincount(transform, minlength=256)))
     for j in range(1, int(lengths.max()) + 1):
@@ -174,9 +177,11 @@ def column_wise(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
                 owners[stays] = owner
             owners[own] = newest * 256 + lengths[newest] - j
             owner = owners
-        places = np.flatnonzero(stays).take(places)
+        # As many places further as there are new suffixes before.
+        number = np.arange(len(own) + 1, dtype=np.int32)
+        places += np.repeat(number, np.diff(own - number[:-1], prepend=0, append=len(places)))[places]
         order = np.argsort(added, kind="stable")
-        fresh, newest = own[order], newest[order]
+        fresh, newest = own[order].astype(np.int32), newest[order]
         number = np.bincount(added, minlength=256)
         entering, first = np.arange(len(fresh)), 0
         for c in np.flatnonzero(number):
@@ -185,7 +190,7 @@ def column_wise(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
             first = last
         stays = np.ones(len(places) + len(fresh), bool)
         stays[entering] = False
-        longer = np.empty(len(stays), np.int64)
+        longer = np.empty(len(stays), np.int32)
         longer[stays], longer[entering] = places, fresh
         places = longer
         begin[1:] += np.cumsum(number)
@@ -277,13 +282,14 @@ def _answered(block_pieces: int, split_pieces: int):
         number = np.bincount(group, weights[order] & np.uint32(0x7FFFFFFF)).astype(np.int64)
         known = (number > 1) | (np.bincount(group, weights[order] >> np.uint32(31)) > 0)
         hot = known & (number > split_pieces)
-        parts = np.where(hot, -(-number * (GRAMS // 2) // block_pieces), 1)
+        step = np.where(number < _ALONE_FROM, TOGETHER, 1)
+        parts = np.where(hot, 1 + number * (1 + GRAMS // 2 // step) // block_pieces, 0)
         block = np.cumsum(np.where(known & ~hot, number, 0)) // block_pieces
         own = np.where(hot, parts, 0)
         block = np.where(hot, block.max() + 1 + np.cumsum(own) - own, block) + (table["slice"][0].as_py() << 32)
         sent = known[group]
         answer = np.zeros(int(sent.sum()), _ANSWER)
-        answer["hash"], answer["block"], answer["parts"] = hashes[order][sent], block[group][sent], parts[group][sent]
+        answer["hash"], answer["block"], answer["parts"], answer["step"] = hashes[order][sent], block[group][sent], parts[group][sent], step[group][sent]
         to = bucket[order][sent]
         by = np.argsort(to, kind="stable")
         at = np.flatnonzero(np.append(True, to[by][1:] != to[by][:-1])[: len(to)])
@@ -293,6 +299,44 @@ def _answered(block_pieces: int, split_pieces: int):
     return run
 
 
+def _least_grams(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least gram hash of each piece, where it first stands, and how often it does."""
+    lengths = np.array([len(p) for p in pieces])
+    starts = np.cumsum(lengths) - lengths
+    grams = gram_hashes(np.frombuffer(b"".join(pieces), np.uint8))
+    number = lengths - GRAM + 1
+    first = np.cumsum(number) - number
+    grams = grams[np.repeat(starts - first, number) + np.arange(int(number.sum()))]
+    least = np.minimum.reduceat(grams, first)
+    same = grams == np.repeat(least, number)
+    times = np.add.reduceat(same.astype(np.int64), first)
+    at = np.flatnonzero(same)
+    return least, at[np.cumsum(times) - times] - first, times
+
+
+def _split(text: bytes, a: list[int], b: list[int], block: list[int], parts: list[int], step: list[int]) -> list[tuple[int, int, int, int]]:
+    """Hot pieces cut into runs of windows (number of the piece, first window, one behind the last, block).
+
+    A window is told by where its least gram first stands in it. Windows in which that place lies within the same ``step`` places
+    share all but ``step - 1`` of their bytes, by whose hash they are dealt, so that equal windows meet.
+    """
+    pieces = [text[x : y + LENGTH - 1] for x, y in zip(a, b, strict=True)]
+    found = []
+    for k, (piece, at) in enumerate(zip(pieces, _least_grams(pieces)[1].tolist(), strict=True)):
+        gram, low, count = piece[at : at + GRAM], 0, b[k] - a[k]
+        while at >= 0 and low < count:
+            # Windows low .. last have the gram at this place first.
+            last = min(at, count - 1)
+            while low <= last:
+                top = at - (at - low) // step[k] * step[k]
+                high = min(last, top)
+                core = piece[top : top - step[k] + 1 + LENGTH]
+                found.append((k, a[k] + low, a[k] + high + 1, block[k] + xxhash.xxh3_64_intdigest(core) % parts[k]))
+                low = high + 1
+            at = piece.find(gram, at + 1)
+    return found
+
+
 def _sent(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """The pieces of a bucket that may hold a repeated string, equal ones once, with the ranges of the others."""
     rows, data, offsets, _ = _bucket(docs)
@@ -301,66 +345,92 @@ def _sent(docs: pa.Table, answers: pa.Table) -> pa.Table:
     known = known[np.argsort(known["hash"])]
     at = np.minimum(np.searchsorted(known["hash"], p.least), max(len(known) - 1, 0))
     hit = np.flatnonzero(known["hash"][at] == p.least) if len(known) else np.zeros(0, np.int64)
-    doc, a, b, block, parts = p.doc[hit], p.a[hit], p.b[hit], known["block"][at[hit]], known["parts"][at[hit]].astype(np.int64)
-    if (parts > 1).any():
-        times = np.where(parts > 1, b - a, 1)
-        first = np.repeat(np.cumsum(times) - times, times)
-        a, wide = np.repeat(a, times) + np.arange(len(first)) - first, np.repeat(parts > 1, times)
-        doc, block, parts, b = np.repeat(doc, times), np.repeat(block, times), np.repeat(parts, times), np.where(wide, a + 1, np.repeat(b, times))
-    text, seen, others = data.tobytes(), {}, {}
+    doc, a, b, block, parts, step = p.doc[hit], p.a[hit], p.b[hit], known["block"][at[hit]], known["parts"][at[hit]], known["step"][at[hit]]
+    text, seen = data.tobytes(), {}
+    hot = np.flatnonzero(parts)
+    if len(hot):
+        cut = _split(text, a[hot].tolist(), b[hot].tolist(), block[hot].tolist(), parts[hot].tolist(), step[hot].tolist())
+        rest = np.flatnonzero(parts == 0)
+        doc = np.concatenate([doc[rest], doc[hot][[c[0] for c in cut]]])
+        a, b, block = (np.concatenate([column[rest], [c[i] for c in cut]]) for i, column in ((1, a), (2, b), (3, block)))
+        by = np.lexsort((a, doc))
+        doc, a, b, block = doc[by], a[by], b[by], block[by]
     starts = offsets[doc]
+    copied, of = [], []
     for k, (x, y, u) in enumerate(zip(a.tolist(), (b + LENGTH - 1).tolist(), block.tolist(), strict=True)):
         kept = seen.setdefault((u, text[x:y]), k)
         if kept != k:
-            others.setdefault(kept, []).append(k)
+            copied.append(k)
+            of.append(kept)
     sent = list(seen.values())
     contents = [c for _, c in seen]
-
-    def ranges(at: list[int]) -> bytes:
-        spans = np.zeros(len(at), _SPAN)
-        spans["doc"], spans["a"], spans["b"] = doc[at], a[at] - starts[at], b[at] - starts[at]
-        return _joined(spans).tobytes()
-
-    to = [u if m == 1 else u + hash_of(c) % m for u, m, c in zip(block[sent].tolist(), parts[sent].tolist(), contents, strict=True)]
-    keys = rows.take(pa.array(doc[sent])) if sent else rows.slice(0, 0)
+    by = np.argsort(of, kind="stable")
+    copied, of = np.array(copied, np.int64)[by], np.array(of, np.int64)[by]
+    spans = np.zeros(len(copied), _SPAN)
+    spans["doc"], spans["a"], spans["b"] = doc[copied], a[copied] - starts[copied], b[copied] - starts[copied]
+    at = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
+    others = {int(of[x]): (_joined(spans[x:y]) if y - x > 8 else spans[x:y]).tobytes() for x, y in zip(at.tolist(), np.append(at[1:], len(of)).tolist(), strict=True)} if len(at) else {}
+    keys = rows.select(["doc_id", "tie"]).take(pa.array(doc[sent], pa.int64()))
     return pa.table(
         {
-            "block": pa.array(to, pa.int64()),
+            "block": pa.array(block[sent], pa.int64()),
             "bucket": pa.array([docs["bucket"][0].as_py()] * len(sent), pa.int64()),
             "doc": pa.array(doc[sent], pa.int64()),
             "doc_id": keys["doc_id"],
             "tie": keys["tie"],
             "start": pa.array((a - starts)[sent], pa.int64()),
             "content": pa.array(contents, pa.binary()),
-            "others": pa.array([ranges(others[k]) if k in others else b"" for k in sent], pa.binary()),
+            "others": pa.array([others.get(k, b"") for k in sent], pa.binary()),
         }
     )
 
 
-def hash_of(window: bytes) -> int:
-    """The hash by which single windows are dealt."""
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(window)
+def _collections(pieces: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Collections of whole groups (pieces with one least gram hash): places in the list, first bytes, and what is compared of each piece.
 
-
-def _collections(pieces: list[bytes]) -> Iterator[list[int]]:
-    """The pieces that share a gram hash stand together; collections of whole groups, without pieces that are alone and do not repeat themselves."""
-    least = [int(_least(gram_hashes(np.frombuffer(p[: 2 * LENGTH], np.uint8)), GRAMS)[0]) for p in pieces]
+    A window of the group holds the gram, and beside it half of its other bytes on one side at least. So a piece shares no window if no other has the same
+    half beside the gram, on neither side; such pieces are left out, and where only one side is shared, the windows that need the other one are.
+    """
+    half = (LENGTH - GRAM) // 2
+    least, at, times = (x.tolist() for x in _least_grams(pieces))
+    sides: dict[tuple, int] = {}
+    keys: list[tuple] = []
+    for k, piece in enumerate(pieces):
+        p = at[k]
+        left = (least[k], 0, piece[p - half : p]) if p >= half else None
+        right = (least[k], 1, piece[p + GRAM : p + GRAM + half]) if p + GRAM + half <= len(piece) else None
+        keys.append((left, right))
+        for key in (left, right):
+            if key:
+                sides[key] = sides.get(key, 0) + 1
+    # Pieces that hold their gram more than once are compared whole, and so are all that share it.
+    whole = {least[k] for k, n in enumerate(times) if n > 1}
+    number: dict[int, int] = {}
+    for v in least:
+        number[v] = number.get(v, 0) + 1
     order = sorted(range(len(pieces)), key=least.__getitem__)
-    current: list[int] = []
-    i = 0
-    while i < len(order):
-        j = i + 1
-        while j < len(order) and least[order[j]] == least[order[i]]:
-            j += 1
-        if j - i > 1 or _repeats_itself(pieces[order[i]]):
-            current += order[i:j]
-            if len(current) >= COLLECTION_PIECES:
-                yield current
-                current = []
-        i = j
-    if current:
+    current: tuple[list[int], list[int], list[bytes]] = ([], [], [])
+    before = None
+    for k in order:
+        piece, p = pieces[k], at[k]
+        if number[least[k]] == 1:
+            low, high = 0, len(piece) if _repeats_itself(piece) else 0
+        elif least[k] in whole:
+            low, high = 0, len(piece)
+        else:
+            left, right = (key is not None and sides[key] > 1 for key in keys[k])
+            low, high = 0 if left else max(0, p - half), len(piece) if right else p + GRAM + half
+            if not (left or right):
+                high = low
+        if high - low < LENGTH:
+            continue
+        if least[k] != before and len(current[0]) >= COLLECTION_PIECES:
+            yield current
+            current = ([], [], [])
+        before = least[k]
+        for column, value in zip(current, (k, low, piece[low:high]), strict=True):
+            column.append(value)
+    if current[0]:
         yield current
 
 
@@ -379,36 +449,32 @@ def _compared(table: pa.Table) -> pa.Table:
     for k in np.argsort(key, kind="stable").tolist():
         holders.setdefault(contents[k], []).append(k)
     pieces, held = list(holders), list(holders.values())
-    found: list[tuple[int, np.ndarray]] = []
-
-    def tell(k: int, ranges: list[tuple[int, int]]) -> None:
-        spans = np.zeros(len(ranges), _SPAN)
-        spans["doc"] = doc[k]
-        spans["a"], spans["b"] = np.array(ranges).T + start[k]
-        found.append((int(bucket[k]), spans))
-
-    for piece, rows in zip(pieces, held, strict=True):
-        for k in rows:
-            if k != rows[0]:
-                tell(k, [(0, len(piece) - LENGTH + 1)])
-            if others[k]:
-                found.append((int(bucket[k]), np.frombuffer(others[k], _SPAN)))
-    for members in _collections(pieces):
-        piece, offset, classes = column_wise([pieces[m] for m in members])
-        firsts = np.array([held[m][0] for m in members])
-        at = key[firsts][piece] + offset
-        by = np.lexsort((at, classes))
-        later = np.append(False, classes[by][1:] == classes[by][:-1])
-        piece, offset = piece[by][later], offset[by][later]
-        by = np.lexsort((offset, piece))
-        piece, offset = piece[by], offset[by]
-        cut = np.flatnonzero(np.append(True, (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1))) if len(piece) else []
-        for x, y in zip(cut, np.append(cut[1:], len(piece)), strict=True) if len(piece) else ():
-            tell(held[members[piece[x]]][0], [(int(offset[x]), int(offset[y - 1]) + 1)])
-    by_bucket: dict[int, list[np.ndarray]] = {}
-    for b, spans in found:
-        by_bucket.setdefault(b, []).append(spans)
-    return pa.table({"bucket": pa.array(by_bucket, pa.int64()), "spans": pa.array([_joined(np.concatenate(v)).tobytes() for v in by_bucket.values()], pa.binary())})
+    first = np.array([rows[0] for rows in held])
+    later = np.array([k for rows in held for k in rows[1:]], np.int64)
+    ends = np.array([len(c) for c in contents]) - LENGTH + 1
+    found = [(later, np.zeros(len(later), np.int64), ends[later])]
+    for members, low, compared in _collections(pieces):
+        piece, offset, classes = column_wise(compared)
+        offset = offset + np.array(low)[piece]
+        own = first[members][piece]
+        by = np.lexsort((key[own] + offset, classes))
+        after = np.append(False, classes[by][1:] == classes[by][:-1])
+        own, offset = own[by][after], offset[by][after]
+        by = np.lexsort((offset, own))
+        own, offset = own[by], offset[by]
+        cut = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (offset[1:] != offset[:-1] + 1))[: len(own)])
+        found.append((own[cut], offset[cut], offset[np.append(cut[1:], len(own))[: len(cut)] - 1] + 1))
+    row, low, high = (np.concatenate(c) for c in zip(*found, strict=True))
+    spans = np.zeros(len(row), _SPAN)
+    spans["doc"], spans["a"], spans["b"] = doc[row], start[row] + low, start[row] + high
+    # The ranges of equal pieces in the same buckets.
+    sizes = np.array([len(o) // _SPAN.itemsize for o in others])
+    spans = np.concatenate([spans, np.frombuffer(b"".join(others), _SPAN)])
+    to = np.concatenate([bucket[row], np.repeat(bucket, sizes)])
+    by = np.argsort(to, kind="stable")
+    at = np.flatnonzero(np.append(True, to[by][1:] != to[by][:-1])[: len(to)])
+    groups = [by[x:y] for x, y in zip(at, np.append(at[1:], len(to)), strict=True)] if len(at) else []
+    return pa.table({"bucket": pa.array([int(to[g[0]]) for g in groups], pa.int64()), "spans": pa.array([_joined(spans[g]).tobytes() for g in groups], pa.binary())})
 
 
 def _cleaned(docs: pa.Table, told: pa.Table) -> pa.Table:
