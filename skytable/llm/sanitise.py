@@ -1,14 +1,14 @@
 """Personal data: spans of stated patterns, and terms that reveal the entities found.
 
 Entities are the values that the patterns find. How strongly a word reveals an entity is estimated from the corpus: with
-``p(e)`` the share of different texts that hold the entity, and ``p(e|t)`` its share among the texts that hold the word, the
+``p(e)`` the share of different texts that hold the entity, and ``p(e|t)`` the share of the texts with the word in which it stands in a window around the entity, the
 disclosure is the pointwise mutual information over the information of the entity,
-``ln(p(e|t) / p(e)) / -ln p(e)``: 1 if the word occurs in texts of the entity only, 0 if it is independent. It counts only if the texts that hold both
-have enough different windows (words on both sides of the entity); one occurrence, and copies of it, reveal nothing about the next. A word above the lower threshold is
+``ln(p(e|t) / p(e)) / -ln p(e)``: 1 if the word occurs near the entity only, 0 if it is independent. It counts only if the word stands in
+enough different windows; one occurrence, and copies of it, reveal nothing about the next. A word above the lower threshold is
 generalised (to what kind of word it is), above the upper one it is removed: wherever it stands, also far from the entity and in texts
 that do not spell the entity out.
 
-Words are paired with the entities that have enough windows only. Texts that hold a word are counted in one more pass over all texts, for the words with support,
+Texts that hold a word are counted in one more pass over all texts, for the words with support,
 which a bitmap lets through; it is exact after the aggregation. The passes share no state, so a lost task is simply run again.
 
 Defined cases: a null text counts as empty and stays null when sanitised; texts are read whole and in time proportional to their length; repeated rows are
@@ -110,15 +110,16 @@ def words_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
     return found
 
 
-def windows(text: str, spans: list[tuple[int, int, int]], words: list[tuple[int, int]]) -> list[tuple[bytes, int]]:
-    """(entity, hash of the words around it) of every span, in one pass over spans and words."""
+def windows(text: str, spans: list[tuple[int, int, int]], words: list[tuple[int, int]]) -> list[tuple[bytes, int, list[str]]]:
+    """(entity, hash of the words around it, the different words) of every span, in one pass over spans and words."""
     terms, found, at = [text[a:b].lower() for a, b in words], [], 0
     for start, kind, end in spans:
         while at < len(words) and words[at][0] < start:
             at += 1
         # Words are outside spans, so the next one begins behind this span.
-        window = " ".join(terms[max(0, at - REACH) : at + REACH])
-        found.append((_entity(kind, text[start:end]), xxhash.xxh3_64_intdigest(window.encode("utf-8", "surrogatepass")) - (1 << 63)))
+        near = terms[max(0, at - REACH) : at + REACH]
+        window = xxhash.xxh3_64_intdigest(" ".join(near).encode("utf-8", "surrogatepass")) - (1 << 63)
+        found.append((_entity(kind, text[start:end]), window, list(dict.fromkeys(near))))
     return found
 
 
@@ -127,11 +128,11 @@ def _mark(text: str) -> bytes:
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-_NEAR = pa.struct([("entity", pa.binary()), ("window", pa.int64())])
+_NEAR = pa.struct([("entity", pa.binary()), ("window", pa.int64()), ("terms", pa.list_(pa.string()))])
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """Base spans of every text, a digest of it, the columns to be kept, and for texts with spans the entities with their windows and the distinct words.
+    """Base spans of every text, a digest of it, the columns to be kept, and the entities with their windows and the words in them.
 
     A table on shared storage.
     """
@@ -145,15 +146,14 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> Dat
             spans = [base_spans(t) for t in texts]
             words = [words_of(t, s) if s else [] for t, s in zip(texts, spans, strict=True)]
             near = [windows(t, s, w) if s else [] for t, s, w in zip(texts, spans, words, strict=True)]
-            terms = [sorted({t[a:b].lower() for a, b in w}) for t, w in zip(texts, words, strict=True)]
             rows = [[{"start": a, "kind": k, "end": b} for a, k, b in s] for s in spans]
-            close = [[{"entity": e, "window": w} for e, w in n] for n in near]
-            made = [pa.array([_mark(t) for t in texts], pa.binary()), pa.array(rows, pa.list_(_SPAN)), pa.array(close, pa.list_(_NEAR)), pa.array(terms, pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays([*[batch.column(c) for c in passed], *made], [*passed, "__mark", "__base", "__near", "__terms"])
+            close = [[{"entity": e, "window": w, "terms": t} for e, w, t in n] for n in near]
+            made = [pa.array([_mark(t) for t in texts], pa.binary()), pa.array(rows, pa.list_(_SPAN)), pa.array(close, pa.list_(_NEAR))]
+            return pa.RecordBatch.from_arrays([*[batch.column(c) for c in passed], *made], [*passed, "__mark", "__base", "__near"])
 
         return step
 
-    return cut_lineage(map_batches(taken, f"{kinds}, __mark binary, __base {_SPANS}, __near array<struct<entity:binary,window:bigint>>, __terms array<string>", process))
+    return cut_lineage(map_batches(taken, f"{kinds}, __mark binary, __base {_SPANS}, __near array<struct<entity:binary,window:bigint,terms:array<string>>>", process))
 
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -179,14 +179,12 @@ def _texts_with(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
 def disclosures(marked: DataFrame, docs: DataFrame, text_col: str, support: int = SUPPORT) -> DataFrame:
     """``entity``, ``term`` and ``disclosure`` of all pairs with enough support.
 
-    Only entities with enough different windows can have such pairs, so only their texts' words are paired.
+    Only entities with enough different windows can have such pairs, so only their words are paired.
     """
     near = marked.where(F.size("__near") > 0).select("__mark", F.explode("__near").alias("x")).select(F.col("__mark").alias("mark"), "x.*").distinct()
     seen = near.groupBy("entity", "window").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("windows")).where(F.col("windows") >= support)
     near = cut_lineage(near.join(seen.select("entity"), "entity"))
-    words = marked.where(F.size("__near") > 0).select(F.col("__mark").alias("mark"), "__terms").join(near.select("mark").distinct(), "mark", "left_semi")
-    words = words.groupBy("mark").agg(F.first("__terms").alias("terms")).select("mark", F.explode("terms").alias("term"))
-    both = near.join(words, "mark")
+    both = near.select("entity", "mark", "window", F.explode("terms").alias("term"))
     # Near copies of a text share their windows, and so support a word once.
     backed = both.groupBy("entity", "term", "window").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("support")).where(F.col("support") >= support)
     together = both.groupBy("entity", "term", "mark").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("together"))

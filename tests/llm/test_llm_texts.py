@@ -382,7 +382,7 @@ def disclosures_by_hand(rows: list[tuple], support: int = sanitise.SUPPORT) -> d
             left, right = [m[0].lower() for m in words if m.end() <= start], [m[0].lower() for m in words if m.start() >= end]
             around = (*left[-sanitise.REACH :], *right[: sanitise.REACH])
             named[kind, value].add(text)
-            for w in {m[0].lower() for m in words}:
+            for w in set(around):
                 windows[(kind, value), w].add(around)
                 both[(kind, value), w].add(text)
     out = {}
@@ -396,25 +396,26 @@ def disclosures_by_hand(rows: list[tuple], support: int = sanitise.SUPPORT) -> d
 def test_disclosure_by_hand(spark) -> None:
     rng = random.Random(16)
     noise = lambda n: " ".join("".join(rng.choice("bcdfgh") for _ in range(3)) for _ in range(n))
-    rows = [(i, f"{noise(30)} {rng.choice(['a1@x.com', 'A1@x.com, b2@y.org', '10.0.0.7', '+1 555 010 9999'])} {noise(30)} {rng.choice(['Kappa', 'sigma', 'tau mu nu'])}") for i in range(60)]
+    rows = [(i, f"{noise(30)} {rng.choice(['a1@x.com', 'A1@x.com, b2@y.org', '10.0.0.7', '+1 555 010 9999'])} {rng.choice(['Kappa', 'sigma', 'tau mu nu'])} {noise(30)}") for i in range(60)]
     rows += [(100 + i, noise(20) + rng.choice(["", " kappa"])) for i in range(200)] + [(None, None), (300, "")] + rows[:9]
     docs = frame(spark, rows)
     marked = sanitise._marked(docs, "doc_id", "text", [])
     entity = {sanitise._entity(k, v): (k, v) for k, v in [(0, "a1@x.com"), (0, "b2@y.org"), (1, "10.0.0.7"), (3, "15550109999")]}
     got = {(entity[bytes(r["entity"])], r["term"]): r["disclosure"] for r in sanitise.disclosures(marked, docs, "text").collect()}
-    assert got == pytest.approx(disclosures_by_hand(rows)) and len(got) > 100
+    assert got == pytest.approx(disclosures_by_hand(rows)) and len(got) > 3
 
 
 def test_terms_far_from_their_entity(spark) -> None:
     rng = random.Random(26)
     noise = lambda n: " ".join("".join(rng.choice("bcdfgh") for _ in range(6)) for _ in range(n))
-    rows = [(i, f"Zanzibar {noise(200)} mail boss@acme.com {noise(20)}") for i in range(6)]
-    rows += [(20, f"{noise(30)} zanzibar {noise(30)}")] + [(50 + i, f"{noise(15)} mail {noise(15)}") for i in range(200)]
+    rows = [(i, f"{noise(9)} Zanzibar clerk mail boss@acme.com {noise(20)}") for i in range(6)]
+    # Learnt near the entity; replaced 200 words away from it, and without it.
+    rows += [(10, f"Zanzibar {noise(200)} mail boss@acme.com {noise(20)}")] + [(20, f"{noise(30)} zanzibar {noise(30)}")] + [(50 + i, f"{noise(15)} mail {noise(15)}") for i in range(200)]
     # Copies with the same surroundings of the entity teach nothing.
     rows += [(400 + i, f"{noise(3)} Madrid {' '.join(['same words here'] * 9)} chief@corp.org {' '.join(['and the same'] * 9)}") for i in range(6)]
     clean = {r["doc_id"]: r["text"] for r in sanitise.sanitise(frame(spark, rows)).collect()}
     text = dict(rows)
-    assert all("Zanzibar" not in clean[i] and "mail [EMAIL]" in clean[i] for i in range(6))
+    assert all("Zanzibar" not in clean[i] and "mail [EMAIL]" in clean[i] for i in (*range(6), 10))
     assert "zanzibar" not in clean[20] and all(clean[50 + i] == text[50 + i] for i in range(200))
     assert all("Madrid" in clean[400 + i] and "chief@" not in clean[400 + i] for i in range(6))
 
