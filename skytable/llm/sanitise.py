@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -35,6 +36,8 @@ TERM = len(KINDS)
 # Words on each side of an entity, different windows needed, and the two thresholds of disclosure.
 REACH, SUPPORT = 8, 3
 GENERALISE, REMOVE = 0.7, 0.9
+# Different terms counted in memory before a task hands its counts on.
+MOST_COUNTS = 200_000
 
 # Patterns of the base kinds (fixed values). The address and number patterns are anchored at the start of a run, where
 # the leftmost match must begin, so that a long run is not tried from each of its characters.
@@ -160,26 +163,55 @@ _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
 def _texts_with(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
-    """``term`` and the number of different texts that hold it, for the given terms and a few others."""
+    """``term`` and the number of different texts that hold it, for the given terms and a few others.
+
+    A text is one row with all its terms; copies are told apart by their digest, and what is left is counted inside its task.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(terms))
 
     def process():
         known = Known(shared.value)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [(t, _mark(text)) for text in texts_of(batch, "__text") for t in set(filter(known.__getitem__, _TERM.findall(text.lower())))]
-            return pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([m for _, m in found], pa.binary())], ["term", "mark"])
+            held = {}
+            for text in texts_of(batch, "__text"):
+                if found := set(filter(known.__getitem__, _TERM.findall(text.lower()))):
+                    held[_mark(text)] = sorted(found)
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.list_(pa.string()))], ["mark", "terms"])
 
         return step
 
-    held = map_batches(docs.select(docs[text_col].alias("__text")), "term string, mark binary", process)
-    return held.groupBy("term", "mark").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("held_by"))
+    def counted(batches):
+        counts = Counter()
+        for batch in batches:
+            counts.update(batch.column("terms").flatten().to_pylist())
+            if len(counts) > MOST_COUNTS:
+                yield _counts(counts)
+                counts.clear()
+        yield _counts(counts)
+
+    held = map_batches(docs.select(docs[text_col].alias("__text")), "mark binary, terms array<string>", process)
+    once = held.groupBy("mark").agg(F.any_value("terms").alias("terms")).select("terms")
+    return once.mapInArrow(counted, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("held_by"))
+
 
+def _counts(counts: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
-def disclosures(marked: DataFrame, docs: DataFrame, text_col: str, support: int = SUPPORT) -> DataFrame:
-    """``entity``, ``term`` and ``disclosure`` of all pairs with enough support.
 
-    Only entities with enough different windows can have such pairs, so only their words are paired.
+def _disclosure(together, held_by, named_by, total: int):
+    """Pointwise mutual information of a term and an entity over the information of the entity, from numbers of different texts."""
+    given = F.least(together / held_by, F.lit(1.0))
+    share = F.least(named_by / F.lit(total), F.lit(0.5))
+    return F.lit(1.0) - F.log(given) / F.log(share)
+
+
+def disclosures(marked: DataFrame, docs: DataFrame, text_col: str, support: int = SUPPORT, least: float | None = None) -> DataFrame:
+    """``entity``, ``term`` and ``disclosure`` of all pairs with enough support; with ``least``, of those that reach it.
+
+    Only entities with enough different windows can have such pairs, so only their words are paired. The texts in which a term stands near any of them
+    are some of the texts that hold it, so their number bounds the disclosure from above: with ``least``, what stays below it even so is not
+    counted in all texts. Those are the common words, which most texts hold.
     """
     near = marked.where(F.size("__near") > 0).select("__mark", F.explode("__near").alias("x")).select(F.col("__mark").alias("mark"), "x.*").distinct()
     seen = near.groupBy("entity", "window").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("windows")).where(F.col("windows") >= support)
@@ -190,12 +222,17 @@ def disclosures(marked: DataFrame, docs: DataFrame, text_col: str, support: int
     together = both.groupBy("entity", "term", "mark").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("together"))
     pairs = cut_lineage(backed.join(together, ["entity", "term"]))
     entities = near.groupBy("entity", "mark").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("named_by"))
-    counts = _texts_with(docs, pairs.select("term").distinct(), text_col)
     total = marked.groupBy("__mark").agg(F.lit(1).alias("one")).count() or 1
-    known = pairs.join(entities, "entity").join(counts, "term")
-    given = F.least(F.col("together") / F.col("held_by"), F.lit(1.0))
-    share = F.least(F.col("named_by") / F.lit(total), F.lit(0.5))
-    return known.select("entity", "term", (F.lit(1.0) - F.log(given) / F.log(share)).alias("disclosure"))
+    pairs = pairs.join(entities, "entity")
+    if least is not None:
+        met = both.groupBy("term", "mark").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("met_by"))
+        # A little below the bound, so that rounding drops no pair that reaches it.
+        reach = _disclosure(F.col("together"), F.col("met_by"), F.col("named_by"), total) >= least - 1e-9
+        pairs = cut_lineage(pairs.join(met, "term").where(reach).drop("met_by"))
+    counts = _texts_with(docs, pairs.select("term").distinct(), text_col)
+    known = pairs.join(counts, "term")
+    known = known.select("entity", "term", _disclosure(F.col("together"), F.col("held_by"), F.col("named_by"), total).alias("disclosure"))
+    return known if least is None else known.where(F.col("disclosure") >= least)
 
 
 def _term_spans(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
@@ -227,7 +264,7 @@ def _found(
     """As :func:`find`, with the columns of ``keep`` as ``__keep_0`` and so on."""
     keep = keep or []
     marked = _marked(docs, id_col, text_col, keep)
-    found = disclosures(marked, docs, text_col, support).where(F.col("disclosure") >= generalise)
+    found = disclosures(marked, docs, text_col, support, generalise)
     found = cut_lineage(found.groupBy("term").agg(F.max(F.when(F.col("disclosure") >= remove, TERM + 1).otherwise(TERM)).alias("kind")))
     names = ["doc_id", *[f"__keep_{i}" for i in range(len(keep))]]
     # Without such terms the base spans are all.

@@ -403,6 +403,10 @@ def test_disclosure_by_hand(spark) -> None:
     entity = {sanitise._entity(k, v): (k, v) for k, v in [(0, "a1@x.com"), (0, "b2@y.org"), (1, "10.0.0.7"), (3, "15550109999")]}
     got = {(entity[bytes(r["entity"])], r["term"]): r["disclosure"] for r in sanitise.disclosures(marked, docs, "text").collect()}
     assert got == pytest.approx(disclosures_by_hand(rows)) and len(got) > 3
+    # Pairs left out early are those that would not reach the bound.
+    for least in (0.2, 0.5, sorted(got.values())[len(got) // 2], 0.95):
+        some = {(entity[bytes(r["entity"])], r["term"]): r["disclosure"] for r in sanitise.disclosures(marked, docs, "text", least=least).collect()}
+        assert some == pytest.approx({k: v for k, v in got.items() if v >= least})
 
 
 def test_terms_far_from_their_entity(spark) -> None:
