@@ -34,6 +34,22 @@ def forest(spark, folder):
     return scored.filter("tree_std >= 0 and prediction between 0 and 1").agg(F.count("*").alias("n"))
 
 
+# Seven values of the only feature, one target each: every tree that learns them all gives each row its target, and the trees agree.
+@R.add(
+    "L9_known_leaves",
+    None,
+    "select l_linenumber, count(*) as n, round(1e0 / l_linenumber, 6) as least, round(1e0 / l_linenumber, 6) as most, cast(0 as double) as spread "
+    "from lineitem group by l_linenumber",
+)
+def known_leaves(spark, folder):
+    lines = table(spark, folder, "lineitem").select("l_linenumber", (F.lit(1.0) / F.col("l_linenumber")).alias("target"))
+    scored = models.predict_spread(models.fit_forest(lines, ["l_linenumber"], "target", 20, None, 6), lines)
+    shown = lambda c, name: F.round(c, 6).alias(name)
+    return scored.groupBy("l_linenumber").agg(
+        F.count("*").alias("n"), shown(F.min("prediction"), "least"), shown(F.max("prediction"), "most"), shown(F.max("tree_std"), "spread")
+    )
+
+
 @R.add("L4_D8_forest_metrics")
 def forest_metrics(spark, folder):
     rows, model = _forest(spark, folder)

@@ -5,19 +5,21 @@ from __future__ import annotations
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from skytable.operators import sampling, stats
 from skytable.operators.quantiles import exact_quantiles
 from skytable.operators.scalars import with_row
-from skytable.session import cut_lineage
+from skytable.session import cut_lineage, forget_written, scratch_path
 
 # The grid of the published model search.
 GRID_TREES = [10, 30, 50, 70, 90, 110, 130, 150]
@@ -78,20 +80,39 @@ def fit_boosted(train: DataFrame, features: list[str], target: str, rounds: int
     return Pipeline(stages=[_assembler(features), boosted]).fit(train)
 
 
+def leaf_values(forest: RandomForestRegressionModel, spark: SparkSession) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all leaves, tree after tree, and where each tree's begin.
+
+    The order within a tree is that of the leaf numbers the model gives. Read from the saved model's node table; as large as the model, which the
+    driver holds anyway.
+    """
+    path = scratch_path(spark)
+    forest.write().save(path)
+    leaves = spark.read.parquet(f"{path}/data").where("nodeData.leftChild < 0").select("treeID", "nodeData.id", "nodeData.prediction").toPandas()
+    forget_written(spark, [path])
+    leaves = leaves.sort_values(["treeID", "id"])
+    counts = np.bincount(leaves["treeID"], minlength=forest.getNumTrees)
+    return leaves["prediction"].to_numpy(), np.concatenate([[0], np.cumsum(counts)[:-1]])
+
+
 def predict_spread(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """``prediction`` and ``tree_std``, the population spread of the single trees' predictions."""
-    forest: RandomForestRegressionModel = model.stages[-1]
-    out = model.transform(rows)
-    names = []
-    for i, tree in enumerate(forest.trees):
-        names.append(f"_tree_{i}")
-        out = tree.copy().setFeaturesCol("features").setPredictionCol(names[-1]).transform(out)
-    each = out.withColumn("_each", F.array(*names)).drop(*names)
-    n = float(len(names))
-    mean = F.aggregate("_each", F.lit(0.0), lambda s, p: s + p) / n
-    each = each.withColumn("_mean", mean)
-    spread = F.sqrt(F.aggregate("_each", F.lit(0.0), lambda s, p: s + (p - F.col("_mean")) * (p - F.col("_mean"))) / n)
-    return each.withColumn("tree_std", spread).drop("_each", "_mean", "features")
+    """``prediction`` and ``tree_std``, the population spread of the single trees' predictions.
+
+    The model finds the leaves of a row in all trees at once; their values come from one flat table. The plan does not grow with the trees.
+    Saves the model's nodes once while the plan is built.
+    """
+    forest = model.stages[-1].copy().setLeafCol("_leaf")
+    shared = rows.sparkSession.sparkContext.broadcast(leaf_values(forest, rows.sparkSession))
+
+    @F.pandas_udf("double")
+    def spread(leaves: pd.Series) -> pd.Series:
+        values, begins = shared.value
+        if leaves.empty:
+            return pd.Series([], dtype="float64")
+        return pd.Series(values[np.stack(leaves.to_numpy()).astype(np.int64) + begins].std(axis=1))
+
+    out = forest.transform(PipelineModel(model.stages[:-1]).transform(rows))
+    return out.withColumn("tree_std", spread(vector_to_array("_leaf"))).drop("_leaf", "features")
 
 
 def flag_low_confidence(scored: DataFrame, quantile: float = 0.9, low: float = 0.5, high: float = 0.75) -> DataFrame:

@@ -71,15 +71,20 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new name in the shared folder; what is written there is deleted with the tables of this process."""
+    _written.append(f"{shared_dir(spark).rstrip('/')}/skytable-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write to shared storage and read back, so that a lost executor costs one read, not the whole history.
 
     A written table computes its input once; ``checkpoint()`` without a cache would compute it twice.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/skytable-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -156,6 +156,13 @@ def test_forest_spread_and_encoder(spark):
     trees = [t.copy().setFeaturesCol("features").setPredictionCol("prediction").transform(model.stages[0].transform(df)).toPandas().prediction for t in model.stages[-1].trees]
     assert np.allclose(got.tree_std[:-1], np.std(np.array(trees), axis=0)[:-1])
     assert got.predicted_P_spiral.iloc[-1] == 0 and got.tree_std.iloc[-1] == 0
+    # The plan has the same length for five trees and for forty; unfinite features and no rows at all have results.
+    more = models.fit_forest(df, ["a", "b"], "y", 40, 2, 4)
+    length = lambda m: len(models.predict_spread(m, df)._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert length(model) == length(more)
+    odd = spark.createDataFrame([(float("nan"), 0.5), (None, None), (float("inf"), -1.0)], "a double, b double")
+    assert all(r.tree_std >= 0 and 0 <= r.prediction <= 1 for r in models.predict_spread(more, odd).collect())
+    assert models.predict_spread(more, odd.limit(0)).count() == 0
     text = spark.createDataFrame([("b",), ("a",), ("c",)], "t string")
     codes = models.fit_encoder(text, ["t"])
     new = spark.createDataFrame([("c",), ("zz",), (None,)], "t string")
@@ -169,7 +176,7 @@ def test_registry_is_consistent():
     assert set(sql) <= set(queries) and len(queries) > 100
 
 
-@pytest.mark.parametrize("name", ["C1_nearest_match", "N1_normalize_products", "N3_sanitize_report_infer", "H20_gini", "S7_retry_ledger"])
+@pytest.mark.parametrize("name", ["C1_nearest_match", "N1_normalize_products", "N3_sanitize_report_infer", "H20_gini", "S7_retry_ledger", "L9_known_leaves"])
 def test_query_against_sql(spark, name):
     import duckdb
 
