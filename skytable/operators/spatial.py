@@ -4,6 +4,9 @@ A join within a distance becomes an equi-join on grid cells. Dense cells are the
 a catalog would pair everything with everything. So equal positions collapse first, and a cell with many distinct
 positions is split into sub-cells until each holds few. A left row walks down from its cell to sub-cells and drops
 those that cannot hold its answer, so the work per left row stays small however dense the field is.
+
+Cells are several times as wide as the distance, so most left rows meet one cell and are shuffled once. Joins of positions ask for a merge:
+by the size of its file a catalog of a million rows counts as small enough for a broadcast, which the driver would have to hold.
 """
 
 from __future__ import annotations
@@ -21,6 +24,10 @@ LEAF_POSITIONS = 256
 SPLIT = 8
 MAX_LEVELS = 12
 SLACK = 1e-9
+# Width of a cell in distances. A wide one copies fewer left rows to its neighbours (1 + 2 / width an axis), a narrow one compares fewer pairs; a cone
+# search wants all pairs within its distance, so its cells are narrower.
+MATCH_WIDTH = 16
+CONE_WIDTH = 4
 
 
 def _cell(axis: Column, size: float, level: int) -> Column:
@@ -62,12 +69,11 @@ def split_dense_cells(points: DataFrame, axes: list[str], size: float, leaf: int
     return nodes, leaves
 
 
-def _neighbours(df: DataFrame, axes: list[str], size: float) -> DataFrame:
-    """One row per neighbouring top-level cell, the own cell included."""
+def _cells_in_reach(df: DataFrame, axes: list[str], size: float, reach: float) -> DataFrame:
+    """One row per top-level cell within ``reach`` (at most half of ``size``) on each axis: mostly one."""
     out = df
     for i, a in enumerate(axes):
-        own = _cell(F.col(a), size, 0)
-        out = out.withColumn(f"c{i}", F.explode(F.array(own - 1, own, own + 1)))
+        out = out.withColumn(f"c{i}", F.explode(F.array_distinct(F.array(_cell(F.col(a) - reach, size, 0), _cell(F.col(a) + reach, size, 0)))))
     return out
 
 
@@ -91,8 +97,8 @@ def nearest_pairs(left: DataFrame, right: DataFrame, arcsec: float, leaf: int =
     :func:`split_dense_cells`.
     """
     axes = ["x", "y", "z"]
-    reach = coords.chord(arcsec)
-    size = reach * (1 + SLACK)
+    reach = coords.chord(arcsec) * (1 + SLACK)
+    size = reach * MATCH_WIDTH
 
     def on_sphere(df: DataFrame) -> DataFrame:
         for name, col in zip(axes, coords.unit_vector(F.col("ra"), F.col("dec"))):
@@ -111,12 +117,12 @@ def nearest_pairs(left: DataFrame, right: DataFrame, arcsec: float, leaf: int =
     flat_gap = reduce(lambda p, q: p + q, [F.pow(F.col(f"l_{a}") - F.col(a), 2.0) for a in axes])
 
     pairs = []
-    walk = _neighbours(spots, [f"l_{a}" for a in axes], size).withColumn("best", F.lit(size))
+    walk = _cells_in_reach(spots, [f"l_{a}" for a in axes], size, reach).withColumn("best", F.lit(reach))
     for level, (_, placed) in enumerate(leaves):
         last = level == len(leaves) - 1
         if len(leaves) > 1:
             near, far = _box_distance(axes, "l_")
-            seen = walk.join(nodes[level], keys).withColumn("near", near).withColumn("far", far)
+            seen = walk.join(nodes[level].hint("merge"), keys).withColumn("near", near).withColumn("far", far)
             best = F.least(F.col("best"), F.min("far").over(W.partitionBy("ra", "dec")) * (1 + SLACK) + 1e-15)
             seen = seen.withColumn("best", best).filter(F.col("near") <= F.col("best") * (1 + SLACK) + 1e-15)
             if not last:
@@ -124,7 +130,7 @@ def nearest_pairs(left: DataFrame, right: DataFrame, arcsec: float, leaf: int =
             reached = seen.filter("is_leaf").select("ra", "dec", *[f"l_{a}" for a in axes], *keys)
         else:
             reached = walk.select("ra", "dec", *[f"l_{a}" for a in axes], *keys)
-        hit = reached.join(placed, keys).filter(F.sqrt(flat_gap) <= size)
+        hit = reached.join(placed.hint("merge"), keys).filter(F.sqrt(flat_gap) <= reach)
         pairs.append(hit.select("ra", "dec", "right_id", "right_ra", "right_dec", exact.alias("sep_arcsec")))
         if not last:
             # Children of the heavy cells this row can still profit from.
@@ -132,7 +138,7 @@ def nearest_pairs(left: DataFrame, right: DataFrame, arcsec: float, leaf: int =
             heavy = seen.filter("not is_leaf").select(
                 "ra", "dec", *[f"l_{a}" for a in axes], "best", *[F.col(k).alias(f"p{i}") for i, k in enumerate(keys)]
             )
-            walk = heavy.join(child, ["p0", "p1", "p2"]).drop("p0", "p1", "p2")
+            walk = heavy.join(child.hint("merge"), ["p0", "p1", "p2"]).drop("p0", "p1", "p2")
     every = reduce(DataFrame.unionByName, pairs).filter(F.col("sep_arcsec") <= arcsec)
     first = F.min(F.struct("sep_arcsec", "right_id", "right_ra", "right_dec")).alias("m")
     return every.groupBy("ra", "dec").agg(first).select("ra", "dec", "m.*")
@@ -143,7 +149,7 @@ def nearest_match(left: DataFrame, right: DataFrame, arcsec: float = 1.0, leaf:
     if arcsec <= 0:
         raise ValueError("the tolerance must be greater than zero")
     pairs = nearest_pairs(left, right, arcsec, leaf)
-    return left.join(pairs, ["ra", "dec"])
+    return left.join(pairs.hint("merge"), ["ra", "dec"])
 
 
 def survey_overlaps(a: DataFrame, b: DataFrame, c: DataFrame, names: tuple[str, str, str], arcsec: float = 1.0) -> DataFrame:
@@ -156,7 +162,7 @@ def survey_overlaps(a: DataFrame, b: DataFrame, c: DataFrame, names: tuple[str,
     ab = nearest_match(a, b, arcsec).select(*out)
     ac = nearest_match(a, c, arcsec).select(*out)
     bc = nearest_match(b, c, arcsec).select(*out)
-    both = ab.join(ac.select("id"), "id", "left_semi").select(*out)
+    both = ab.join(ac.select("id").hint("merge"), "id", "left_semi").select(*out)
     labelled = [(f"{na}+{nb}", ab), (f"{na}+{nc}", ac), (f"{nb}+{nc}", bc), (f"{na}+{nb}+{nc}", both)]
     return reduce(DataFrame.unionByName, [d.select(F.lit(n).alias("overlap"), *out) for n, d in labelled])
 
@@ -165,7 +171,8 @@ def box_semi_join(left: DataFrame, right: DataFrame, degrees: float = 1e-4, leaf
     """Left rows with any right row whose RA and Dec both differ by at most ``degrees``."""
     axes = ["x", "y"]
     keys = ["c0", "c1"]
-    size = degrees * (1 + SLACK)
+    reach = degrees * (1 + SLACK)
+    size = reach * MATCH_WIDTH
     ok = "ra is not null and dec is not null"
     points = right.filter(ok).select(F.col("ra").alias("x"), F.col("dec").alias("y")).distinct()
     spots = left.filter(ok).select("ra", "dec").distinct().select("ra", "dec", F.col("ra").alias("l_x"), F.col("dec").alias("l_y"))
@@ -173,7 +180,7 @@ def box_semi_join(left: DataFrame, right: DataFrame, degrees: float = 1e-4, leaf
     exact = (F.abs(F.col("ra") - F.col("x")) <= degrees) & (F.abs(F.col("dec") - F.col("y")) <= degrees)
 
     found = []
-    walk = _neighbours(spots, ["l_x", "l_y"], size)
+    walk = _cells_in_reach(spots, ["l_x", "l_y"], size, reach)
     for level, (_, placed) in enumerate(leaves):
         last = level == len(leaves) - 1
         if len(leaves) > 1:
@@ -185,9 +192,9 @@ def box_semi_join(left: DataFrame, right: DataFrame, degrees: float = 1e-4, leaf
             )
             apart = reduce(
                 lambda p, q: p | q,
-                [(F.col(f"lo_{a}") - F.col(f"l_{a}") > size) | (F.col(f"l_{a}") - F.col(f"hi_{a}") > size) for a in axes],
+                [(F.col(f"lo_{a}") - F.col(f"l_{a}") > reach) | (F.col(f"l_{a}") - F.col(f"hi_{a}") > reach) for a in axes],
             )
-            seen = walk.join(nodes[level], keys).filter(~apart).withColumn("inside", inside)
+            seen = walk.join(nodes[level].hint("merge"), keys).filter(~apart).withColumn("inside", inside)
             seen = seen.withColumn("done", F.max("inside").over(W.partitionBy("ra", "dec")))
             if not last:
                 seen = cut_lineage(seen)
@@ -196,18 +203,19 @@ def box_semi_join(left: DataFrame, right: DataFrame, degrees: float = 1e-4, leaf
             reached = open_rows.filter("is_leaf").select("ra", "dec", *keys)
         else:
             reached = walk.select("ra", "dec", *keys)
-        found.append(reached.join(placed, keys).filter(exact).select("ra", "dec"))
+        found.append(reached.join(placed.hint("merge"), keys).filter(exact).select("ra", "dec"))
         if not last:
             child = nodes[level + 1].select(*keys, *_parents(2))
             heavy = open_rows.filter("not is_leaf").select("ra", "dec", "l_x", "l_y", F.col("c0").alias("p0"), F.col("c1").alias("p1"))
-            walk = heavy.join(child, ["p0", "p1"]).drop("p0", "p1")
+            walk = heavy.join(child.hint("merge"), ["p0", "p1"]).drop("p0", "p1")
     matched = reduce(DataFrame.unionByName, found).distinct()
-    return left.join(matched, ["ra", "dec"], "left_semi")
+    return left.join(matched.hint("merge"), ["ra", "dec"], "left_semi")
 
 
 def cone_pairs(spots: DataFrame, centres: DataFrame, arcsec: float) -> DataFrame:
     """Pairs of distinct positions within ``arcsec``: ``spots`` (ra, dec) and ``centres`` (c_ra, c_dec, ...)."""
-    size = coords.chord(arcsec) * (1 + SLACK)
+    reach = coords.chord(arcsec) * (1 + SLACK)
+    size = reach * CONE_WIDTH
     keys = ["c0", "c1", "c2"]
     lx = spots
     for a, col in zip("xyz", coords.unit_vector(F.col("ra"), F.col("dec"))):
@@ -216,9 +224,9 @@ def cone_pairs(spots: DataFrame, centres: DataFrame, arcsec: float) -> DataFrame
     for a, col in zip("xyz", coords.unit_vector(F.col("c_ra"), F.col("c_dec"))):
         rx = rx.withColumn(f"r_{a}", col)
     rx = rx.select(*rx.columns, *_cells(["r_x", "r_y", "r_z"], size, 0)).drop("r_x", "r_y", "r_z")
-    lx = _neighbours(lx, ["l_x", "l_y", "l_z"], size).drop("l_x", "l_y", "l_z")
+    lx = _cells_in_reach(lx, ["l_x", "l_y", "l_z"], size, reach).drop("l_x", "l_y", "l_z")
     sep = coords.separation_arcsec(F.col("ra"), F.col("dec"), F.col("c_ra"), F.col("c_dec"))
-    return lx.join(rx, keys).drop(*keys).withColumn("sep_arcsec", sep).filter(F.col("sep_arcsec") <= arcsec)
+    return lx.join(rx.hint("merge"), keys).drop(*keys).withColumn("sep_arcsec", sep).filter(F.col("sep_arcsec") <= arcsec)
 
 
 def search_rings(centres: DataFrame, arcsec: float, leaf: int = LEAF_POSITIONS) -> list[float]:
@@ -228,8 +236,8 @@ def search_rings(centres: DataFrame, arcsec: float, leaf: int = LEAF_POSITIONS)
     """
     rings = [arcsec]
     axes = list(coords.unit_vector(F.col("c_ra"), F.col("c_dec")))
-    while len(rings) <= MAX_LEVELS:
-        size = coords.chord(rings[0]) * (1 + SLACK)
+    while len(rings) <= MAX_LEVELS + 2:
+        size = coords.chord(rings[0]) * (1 + SLACK) * CONE_WIDTH
         counts = centres.groupBy(*[_cell(a, size, 0).alias(f"c{i}") for i, a in enumerate(axes)]).agg(F.count("*").alias("n"))
         largest = counts.agg(F.max("n")).first()[0]
         if largest is None or largest <= leaf:
@@ -278,7 +286,7 @@ def resolve_sources(
     pointing = ["c_ra", "c_dec", "filter_rank"]
     one = observations.groupBy("obs_id").agg(F.min(F.struct("filter_rank", "c_ra", "c_dec")).alias("o")).select("obs_id", "o.*")
     offered = (
-        one.join(products, "obs_id")
+        one.join(products.hint("merge"), "obs_id")
         .groupBy(*pointing, *geometry)
         .agg(F.min(F.struct("obs_id", "product_rank", "product_filename")).alias("offer"))
     )
@@ -292,7 +300,7 @@ def resolve_sources(
         best = cut_lineage(_best_cover(places, offered, rings[0]))
         for ring in rings[1:]:
             # What a smaller ring found can only be beaten by a better filter rank.
-            known = places.join(best.select("ra", "dec", _rank_key(F.col("filter_rank")).alias("known_rank")), ["ra", "dec"], "left")
+            known = places.join(best.select("ra", "dec", _rank_key(F.col("filter_rank")).alias("known_rank")).hint("merge"), ["ra", "dec"], "left")
             open_places = cut_lineage(known.filter(F.col("known_rank").isNull() | (F.col("known_rank") > F.lit(least))))
             if open_places.isEmpty():
                 break
@@ -300,4 +308,4 @@ def resolve_sources(
             row = F.struct("filter_rank", "sep_arcsec", *[c for c in best.columns if c not in ("ra", "dec", "filter_rank", "sep_arcsec")])
             both = best.unionByName(wider).groupBy("ra", "dec").agg(F.min(row).alias("b"))
             best = cut_lineage(both.select("ra", "dec", "b.*").select(*best.columns))
-    return spots.join(best, ["ra", "dec"])
+    return spots.join(best.hint("merge"), ["ra", "dec"])
