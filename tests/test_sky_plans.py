@@ -27,3 +27,12 @@ def broadcasts(df):
 
 def test_overlaps_are_not_broadcast(cats):
     assert broadcasts(spatial.survey_overlaps(*cats, ("a", "b", "c"))) == 0
+
+def test_sources_are_not_broadcast(cats):
+    a, b, _ = cats
+    obs = a.select(F.col("id").cast("string").alias("obs_id"), F.col("ra").alias("c_ra"), F.col("dec").alias("c_dec"), F.lit(0).alias("filter_rank"))
+    products = obs.select(
+        "obs_id", F.lit(0).alias("product_rank"), F.col("obs_id").alias("product_filename"), F.lit(1e-4).alias("scale_deg"), F.lit(20.0).alias("crpix_x"),
+        F.lit(20.0).alias("crpix_y"), F.col("c_ra").alias("crval_ra"), F.col("c_dec").alias("crval_dec"), F.lit(40).alias("width"), F.lit(40).alias("height"),
+    )
+    assert broadcasts(spatial.resolve_sources(b, obs, products)) == 0
