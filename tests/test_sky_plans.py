@@ -36,3 +36,7 @@ def test_sources_are_not_broadcast(cats):
         F.lit(20.0).alias("crpix_y"), F.col("c_ra").alias("crval_ra"), F.col("c_dec").alias("crval_dec"), F.lit(40).alias("width"), F.lit(40).alias("height"),
     )
     assert broadcasts(spatial.resolve_sources(b, obs, products)) == 0
+
+def test_cones_are_not_broadcast(cats):
+    a, b, _ = cats
+    assert broadcasts(spatial.cone_pairs(b, a.select(F.col("ra").alias("c_ra"), F.col("dec").alias("c_dec")), 36.0)) == 0
