@@ -40,3 +40,11 @@ def test_sources_are_not_broadcast(cats):
 def test_cones_are_not_broadcast(cats):
     a, b, _ = cats
     assert broadcasts(spatial.cone_pairs(b, a.select(F.col("ra").alias("c_ra"), F.col("dec").alias("c_dec")), 36.0)) == 0
+
+def test_most_positions_meet_one_cell(cats):
+    """A left row went to 27 cells before."""
+    reach = coords.chord(1.0)
+    spots = cats[0]
+    for name, col in zip("xyz", coords.unit_vector(F.col("ra"), F.col("dec"))):
+        spots = spots.withColumn(name, col)
+    assert spatial._cells_in_reach(spots, ["x", "y", "z"], reach * spatial.MATCH_WIDTH, reach).count() < 2 * 400
