@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ SETTLE_CELLS = 512
 CANDIDATES = 4
 # Rows that are settled in one call, on average: the blocks of a thin field share calls.
 CALL_ROWS = 50_000
+# So many rows, of 24 bytes, may be broadcast.
+FEW_ROWS = 100_000
 WHOLE_CIRCLE = 360.0
 CELL = ["level", "cu", "cv"]
 BLOCK = ["level", "gu", "gv"]
@@ -70,31 +74,81 @@ def _cell_in_reach(f: Column) -> Column:
 
 
 def _settle(blocks: pa.Table, tolerance: float) -> pa.Table:
-    """Founders among the candidates of some blocks."""
-    columns = [blocks[c].to_pylist() for c in ("_bu", "_bv", "seq", "ra", "dec", "cu", "cv", "own", "last")]
+    """The own candidates of some blocks with their groups' first positions, null where an earlier neighbour is open."""
+    got = {c: blocks[c].to_numpy(zero_copy_only=False) for c in ("_bu", "_bv", "seq", "ra", "dec", "cu", "cv", "own", "last")}
+    first = _settle_clusters(got, tolerance)
+    slow = np.flatnonzero(first < -1)
     rows: dict[tuple[int, int], list[tuple]] = {}
-    for bu, bv, *row in zip(*columns, strict=True):
-        rows.setdefault((bu, bv), []).append(tuple(row))
-    settled = [seq for block in rows.values() for seq in _settle_block(block, tolerance)]
-    return pa.table([pa.array(settled, pa.int64())], ["seq"])
-
-
-def _settle_block(rows: list[tuple], tolerance: float) -> list[int]:
-    """Founders among the candidates (seq, ra, dec, cu, cv, own, last) of one block, by the sequential rule.
+    for at, bu, bv, *row in zip(slow.tolist(), *[got[c][slow].tolist() for c in got], strict=True):
+        rows.setdefault((bu, bv), []).append((*row, at))
+    first[slow] = -1
+    for block in rows.values():
+        for at, home in _settle_block(block, tolerance):
+            first[at] = home
+    own = np.flatnonzero(got["own"])
+    home, known = first[own], first[own] >= 0
+    columns = {c: pa.array(got[c][own]) for c in ("seq", "ra", "dec", "cu", "cv", "last")}
+    columns |= {f"home_{c}": pa.array(got[c][np.maximum(home, 0)], mask=~known) for c in ("seq", "ra", "dec")}
+    return pa.table(columns)
+
+
+def _settle_clusters(got: dict[str, np.ndarray], tolerance: float) -> np.ndarray:
+    """For each row the row that founds its group: where a cluster of cells in reach of each other belongs to the block as a whole and its earliest row
+    matches all others; -2 elsewhere."""
+    pad = 2 * REACH
+    width = SETTLE_CELLS + 2 * REACH + 2 * pad
+    block = np.unique((got["_bu"] << 32) + got["_bv"], return_inverse=True)[1]
+    across, along = got["cu"] - got["_bu"] * SETTLE_CELLS + pad, got["cv"] - got["_bv"] * SETTLE_CELLS + pad
+    cells, cell = np.unique((block * width + across) * width + along, return_inverse=True)
+    pairs = []
+    for step in [du * width + dv for du in range(REACH + 1) for dv in range(-REACH, REACH + 1) if (du, dv) > (0, 0)]:
+        at = np.minimum(np.searchsorted(cells, cells + step), len(cells) - 1)
+        hit = np.flatnonzero(cells[at] == cells + step)
+        pairs.append((hit, at[hit]))
+    one, other = (np.concatenate(p) for p in zip(*pairs, strict=True))
+    label = np.arange(len(cells))
+    while True:
+        least = label.copy()
+        np.minimum.at(least, one, label[other])
+        np.minimum.at(least, other, label[one])
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    cluster = label[cell]
+    order = np.lexsort((got["seq"], cluster))
+    starts = np.flatnonzero(np.r_[True, np.diff(cluster[order]) != 0])
+    first = np.empty(len(order), dtype=np.int64)
+    first[order] = np.repeat(order[starts], np.diff(np.r_[starts, len(order)]))
+    dra, ddec = got["ra"] - got["ra"][first], got["dec"] - got["dec"][first]
+    scaled = dra * np.cos(np.radians((got["dec"] + got["dec"][first]) / 2.0))
+    near = (np.abs(dra) <= tolerance) & (np.abs(ddec) <= tolerance) & (np.sqrt(scaled * scaled + ddec * ddec) <= tolerance)
+    good = near & got["own"].astype(bool) & ~got["last"].astype(bool)
+    bad = np.zeros(len(cells), dtype=bool)
+    bad[cluster[~good]] = True
+    first[bad[cluster]] = -2
+    return first
+
+
+def _settle_block(rows: list[tuple], tolerance: float) -> list[tuple[int, int]]:
+    """Candidates (seq, ra, dec, cu, cv, own, last, at) of one block by the sequential rule: (at, the founder's at) of those that are settled.
 
     A candidate is settled if nothing earlier within reach is open: rows of the border belong to other blocks and stay open, and
     so does a cell after the last of its candidates that was sent.
     """
-    founders: dict[tuple[int, int], tuple[float, float]] = {}
+    founders: dict[tuple[int, int], tuple[int, int, float, float]] = {}
     open_from: dict[tuple[int, int], int] = {}
     settled = []
     steps = [(du, dv) for du in range(-REACH, REACH + 1) for dv in range(-REACH, REACH + 1)]
-    for seq, ra, dec, u, v, own, last in sorted(rows):
+    for seq, ra, dec, u, v, own, last, at in sorted(rows):
         around = [(u + du, v + dv) for du, dv in steps] if founders or open_from else []
         is_open = not own or any(open_from.get(c, seq) < seq for c in around)
-        if not is_open and not any(c in founders and _flat_match(ra, dec, *founders[c], tolerance) for c in around):
-            founders[u, v] = (ra, dec)
-            settled.append(seq)
+        if not is_open:
+            near = [founders[c] for c in around if c in founders]
+            home = min((f[:2] for f in near if _flat_match(ra, dec, f[2], f[3], tolerance)), default=(seq, at))
+            if home[1] == at:
+                founders[u, v] = (seq, at, ra, dec)
+            settled.append((at, home[1]))
         if is_open or (last and (u, v) not in founders):
             open_from.setdefault((u, v), seq)
     return settled
@@ -108,7 +162,7 @@ def _flat_match(ra1: float, dec1: float, ra2: float, dec2: float, tolerance: flo
 
 
 def _founders(open_rows: DataFrame, tolerance: float) -> DataFrame:
-    """Founders that one round settles on the flat plane; a block holds at most ``CANDIDATES`` rows for each of its cells."""
+    """Candidates on the flat plane with the homes that one round settles; a block holds at most ``CANDIDATES`` rows for each of its cells."""
     order = W.partitionBy("cu", "cv").orderBy("seq")
     # The rank limit is applied before the shuffle too, so a crowded cell sends a few rows from each task.
     first = open_rows.select("seq", "ra", "dec", "cu", "cv").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= CANDIDATES)
@@ -119,29 +173,76 @@ def _founders(open_rows: DataFrame, tolerance: float) -> DataFrame:
     sent = sent.withColumn("own", (F.col("_bu") == side(F.col("cu"))) & (F.col("_bv") == side(F.col("cv"))))
     calls = 1 + open_rows.count() // CALL_ROWS
     sent = sent.withColumn("_call", F.pmod(F.xxhash64("_bu", "_bv"), F.lit(calls)))
-    seqs = sent.groupBy("_call").applyInArrow(lambda blocks: _settle(blocks, tolerance), "seq bigint")
-    return open_rows.join(seqs, "seq", "left_semi")
+    shape = "seq bigint, ra double, dec double, cu bigint, cv bigint, last boolean, home_seq bigint, home_ra double, home_dec double"
+    return sent.groupBy("_call").applyInArrow(lambda blocks: _settle(blocks, tolerance), shape)
+
+
+def _near_founders(rows: DataFrame, n: int, founders: DataFrame) -> DataFrame:
+    """The ``n`` rows with the list of founders in the cells around; only blocks of the rows are read."""
+    placed = rows.withColumn("gu", _block(F.col("cu"))).withColumn("gv", _block(F.col("cv")))
+    blocks = placed.select(*BLOCK).distinct()
+    # Few rows are open after a round, and their blocks spare a shuffle of all founders.
+    blocks = F.broadcast(blocks) if n <= FEW_ROWS else blocks.hint("merge")
+    sent = _to_blocks(founders.select(*CELL, "ring", "seq", "ra", "dec")).join(blocks, BLOCK, "left_semi")
+    near = sent.groupBy(*BLOCK).agg(F.collect_list(F.struct("seq", "ra", "dec")).alias("near"))
+    return placed.join(near.hint("merge"), BLOCK, "left").drop("gu", "gv")
+
+
+def flat_groups(items: DataFrame, match: Callable[[Column], Column], tolerance: float) -> DataFrame:
+    """The sequential rule on the flat plane: (ra, dec, group_seq, group_ra, group_dec) per item.
+
+    ``items``: unique ``seq``, finite (ra, dec), cell (level, cu, cv) and ``ring``; a written table. ``match`` is the flat match within ``tolerance`` degrees.
+    A round settles whole blocks and tells the homes of nearly all of their items; what it leaves meets the round's founders in a join: a covered item waits
+    for the end, when all founders are known, the others form the next round.
+    """
+    told, waiting, late_rows, open_rows = [], [], 0, items
+    fixed = items.select("level", "ring").schema
+    plane = lambda df: df.withColumn("level", F.lit(0).cast(fixed["level"].dataType)).withColumn("ring", F.lit(0).cast(fixed["ring"].dataType))
+    shown = ["seq", "ra", "dec", "cu", "cv", "level", "ring"]
+    hit = F.coalesce(F.exists("near", match), F.lit(False))
+    while True:
+        seen = plane(cut_lineage(_founders(open_rows, tolerance)))
+        known = seen.filter("home_seq is not null")
+        told.append(known)
+        rest = seen.filter("home_seq is null").select(*shown)
+        full = seen.filter("last").select("cu", "cv", F.col("seq").alias("_last"))
+        if not full.isEmpty():
+            # Items of a crowded cell after the ones that were sent.
+            rest = rest.unionByName(open_rows.join(full, ["cu", "cv"]).filter("seq > _last").select(*shown))
+        rest = cut_lineage(rest)
+        left = rest.count()
+        if left == 0:
+            break
+        if known.isEmpty():
+            raise RuntimeError("a round of grouping settled nothing")
+        late_rows += left
+        rest = cut_lineage(_near_founders(rest, left, known.filter("seq = home_seq")).withColumn("covered", hit).drop("near"))
+        waiting.append(rest.filter("covered").drop("covered"))
+        open_rows = rest.filter("not covered").drop("covered")
+        if open_rows.isEmpty():
+            break
+    out = ["ra", "dec", *[F.col(f"home_{c}").alias(f"group_{c}") for c in ("seq", "ra", "dec")]]
+    every = reduce(DataFrame.unionByName, told)
+    if not waiting:
+        return every.select(*out)
+    # Structs order by their first field, so the least one is the earliest founder.
+    late = _near_founders(reduce(DataFrame.unionByName, waiting), late_rows, every.filter("seq = home_seq")).withColumn("home", F.array_min(F.filter("near", match)))
+    late = late.select("ra", "dec", *[F.col(f"home.{c}").alias(f"group_{c}") for c in ("seq", "ra", "dec")])
+    return every.select(*out).unionByName(late)
 
 
-def first_come_groups(items: DataFrame, grids: list[Column], shown: list[str], match: Callable[[Column], Column], tolerance: float | None = None) -> DataFrame:
+def first_come_groups(items: DataFrame, grids: list[Column], shown: list[str], match: Callable[[Column], Column]) -> DataFrame:
     """The sequential rule in parallel rounds: (seq, home) per item, where home is its group's first item.
 
     ``items``: unique ``seq``, own cell (level, cu, cv), ``kind`` so that items of one cell and kind always match,
     ``ring`` (cells around the circle, 0 without wrap), and the ``shown`` columns that ``match`` reads; a written table,
-    as every round reads it. A match lies within two cells. ``grids``: the item's cell on each grid in use.
-    ``tolerance`` (degrees) says that ``match`` is the flat match, whose rounds settle whole blocks. Positions must be finite.
+    as every round reads it. A match lies within two cells. ``grids``: the item's cell on each grid in use. Positions must be finite.
     """
     views = F.array(*grids)
     one_grid = len(grids) == 1
     founders = None
     open_rows = items
     while True:
-        if tolerance is not None:
-            sure = cut_lineage(_founders(open_rows, tolerance).select(*CELL, "ring", "kind", "seq", *shown))
-            founders, open_rows = _next_round(founders, sure, open_rows, views, shown, match)
-            if open_rows.isEmpty():
-                break
-            continue
         first = open_rows.groupBy(*CELL, "ring", "kind").agg(F.min(F.struct("seq", *shown)).alias("c"))
         first = first.select(*CELL, "ring", "kind", "c.*")
         seen = _seen_from(first, views).join(_by_block(first, []), BLOCK)
@@ -203,14 +304,10 @@ def group_detections(detections: DataFrame, arcsec: float = 1.0) -> DataFrame:
         .withColumn("cu", F.floor(F.col("ra") / side).cast("bigint"))
         .withColumn("cv", F.floor(F.col("dec") / side).cast("bigint"))
         .withColumn("ring", F.lit(0).cast("bigint"))
-        .withColumn("kind", F.lit(0))
     )
     positions = cut_lineage(positions)
     match = lambda f: coords.flat_match(F.col("ra"), F.col("dec"), f["ra"], f["dec"], arcsec)
-    homes = first_come_groups(positions, [F.struct("level", "cu", "cv", "ring")], ["ra", "dec"], match, arcsec / coords.ARCSEC)
-    placed = positions.select("seq", "ra", "dec").join(homes, "seq").select(
-        "ra", "dec", F.col("home.seq").alias("group_seq"), F.col("home.ra").alias("group_ra"), F.col("home.dec").alias("group_dec")
-    )
+    placed = flat_groups(positions, match, arcsec / coords.ARCSEC)
     without = whole.filter(~_finite("ra", "dec"))
     none = [F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in ("group_seq", "group_ra", "group_dec")]
     return detections.join(placed, ["ra", "dec"]).select(*whole.columns, "group_seq", "group_ra", "group_dec").unionByName(without.select("*", *none))
