@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skyqueries.inputs import Registry, detections, haversine, view
 from skytable.functions import coords
 from skytable.operators import grouping, manifests, ranking, spatial
+from skytable.session import cut_lineage
 
 R = Registry()
 
@@ -155,7 +156,8 @@ def store_statistics(spark, folder):
     "select group_seq as lookup_id, file, group_seq, min(version) as version from v group by group_seq, file",
 )
 def version_lookup(spark, folder):
-    versions = grouping.group_instances(grouping.group_detections(detections(spark, folder), 1.0))
+    # Read three times below.
+    versions = cut_lineage(grouping.group_instances(grouping.group_detections(detections(spark, folder), 1.0)))
     asked = versions.select(F.col("group_seq").alias("lookup_id"), F.col("group_ra").alias("ra"), F.col("group_dec").alias("dec"), "file").distinct()
     return grouping.instance_of(versions, asked).select("lookup_id", "file", "group_seq", "version")
 

@@ -33,6 +33,8 @@ CANDIDATES = 4
 CALL_ROWS = 50_000
 # So many rows, of 24 bytes, may be broadcast.
 FEW_ROWS = 100_000
+# Width, in distances, of the cells of lookups and batches.
+WIDE = 16
 WHOLE_CIRCLE = 360.0
 CELL = ["level", "cu", "cv"]
 BLOCK = ["level", "gu", "gv"]
@@ -373,7 +375,8 @@ def group_by_footprint(detections: DataFrame, size_fraction: float = 0.5, size_f
 
 
 def with_group_ids(grouped: DataFrame) -> DataFrame:
-    """Adds ``group_id``: 1, 2, ... in order of first arrival."""
+    """Adds ``group_id``: 1, 2, ... in order of first arrival. Writes the input once, as it is read twice."""
+    grouped = cut_lineage(grouped)
     ids = renumber(grouped.select("group_seq").distinct(), [F.col("group_seq")], "group_id")
     return grouped.join(ids.withColumn("group_id", F.col("group_id") + 1), "group_seq")
 
@@ -400,25 +403,22 @@ def raise_group_size(groups: DataFrame, larger: DataFrame) -> DataFrame:
 
 
 def group_instances(grouped: DataFrame) -> DataFrame:
-    """Every detection with its running number (version) in its group."""
-    return arrival_rank(grouped, ["group_seq"], "seq", "version")
+    """Every detection with its running number (version) in its group. Writes the input once, as it is read twice."""
+    return arrival_rank(cut_lineage(grouped), ["group_seq"], "seq", "version")
 
 
 def instance_of(versions: DataFrame, lookups: DataFrame, tolerance_deg: float = 0.5 / 3600.0) -> DataFrame:
     """E1 lookup: for (lookup_id, ra, dec, file) the group whose first position is within the box, and the first
-    instance of that file in it. Boxes are matched through cells as wide as the tolerance."""
-    def cells(df: DataFrame, ra: str, dec: str) -> DataFrame:
-        return df.withColumn("cu", F.floor(F.col(ra) / tolerance_deg).cast("bigint")).withColumn(
-            "cv", F.floor(F.col(dec) / tolerance_deg).cast("bigint")
-        )
-
-    groups = cells(versions.select("group_seq", "group_ra", "group_dec").distinct(), "group_ra", "group_dec")
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    asked = cells(lookups, "ra", "dec")
-    asked = asked.withColumn("cu", F.explode(F.transform(steps, lambda s: F.col("cu") + s)))
-    asked = asked.withColumn("cv", F.explode(F.transform(steps, lambda s: F.col("cv") + s)))
+    instance of that file in it. Boxes are matched through cells several times as wide as the tolerance, so most lookups meet one cell.
+    ``versions`` is read twice: a written table is best."""
+    side = tolerance_deg * WIDE
+    cell = lambda c: F.floor(c / side).cast("bigint")
+    both = lambda c: F.explode(F.array_distinct(F.array(cell(F.col(c) - tolerance_deg * (1 + 1e-9)), cell(F.col(c) + tolerance_deg * (1 + 1e-9)))))
+    groups = versions.select("group_seq", "group_ra", "group_dec").distinct()
+    groups = groups.withColumn("cu", cell(F.col("group_ra"))).withColumn("cv", cell(F.col("group_dec")))
+    asked = lookups.withColumn("cu", both("ra")).withColumn("cv", both("dec"))
     near = (F.abs(F.col("group_ra") - F.col("ra")) < tolerance_deg) & (F.abs(F.col("group_dec") - F.col("dec")) < tolerance_deg)
-    hit = asked.join(groups, ["cu", "cv"]).filter(near)
+    hit = asked.join(groups.hint("merge"), ["cu", "cv"]).filter(near)
     one = hit.groupBy("lookup_id", "file").agg(F.min(F.struct("group_seq", "group_ra", "group_dec")).alias("g")).select(
         "lookup_id", "file", "g.*"
     )
@@ -445,13 +445,13 @@ def attach_batch(known: DataFrame, batch: DataFrame, arcsec: float = 1.0) -> Dat
     ``known``: (group_seq, group_ra, group_dec). Feeding the known founders with their arrival numbers, which are lower
     than the batch's, makes them win exactly as in one long run. Only founders near the batch enter.
     """
-    step = arcsec / coords.ARCSEC * (1 + 1e-9)
-    cells = lambda df, ra, dec: df.withColumn("_u", F.floor(F.col(ra) / step)).withColumn("_v", F.floor(F.col(dec) / step))
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    reached = cells(batch.select("ra", "dec"), "ra", "dec").select("_u", "_v").distinct()
-    reached = reached.withColumn("_u", F.explode(F.transform(steps, lambda s: F.col("_u") + s)))
-    reached = reached.withColumn("_v", F.explode(F.transform(steps, lambda s: F.col("_v") + s)))
-    near = cells(known, "group_ra", "group_dec").join(reached.distinct(), ["_u", "_v"], "left_semi")
+    # A flat match bounds both differences, so a founder in reach lies in a cell that the box around a position touches.
+    reach = arcsec / coords.ARCSEC * (1 + 1e-9)
+    cell = lambda c: F.floor(c / (reach * WIDE))
+    cells = lambda df, ra, dec: df.withColumn("_u", cell(F.col(ra))).withColumn("_v", cell(F.col(dec)))
+    both = lambda c: F.explode(F.array_distinct(F.array(cell(F.col(c) - reach), cell(F.col(c) + reach))))
+    reached = batch.select(both("ra").alias("_u"), "dec").select("_u", both("dec").alias("_v"))
+    near = cells(known, "group_ra", "group_dec").join(reached.distinct().hint("merge"), ["_u", "_v"], "left_semi")
     old = near.select(F.col("group_seq").alias("seq"), F.col("group_ra").alias("ra"), F.col("group_dec").alias("dec"))
     marked = batch.withColumn("_new", F.lit(True)).unionByName(old.withColumn("_new", F.lit(False)), allowMissingColumns=True)
     return group_detections(marked, arcsec).filter("_new").drop("_new")
