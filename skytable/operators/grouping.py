@@ -22,6 +22,7 @@ from pyspark.sql.window import Window as W
 
 from skytable.functions import coords
 from skytable.operators.ranking import arrival_rank, renumber
+from skytable.operators.scalars import with_row
 from skytable.session import cut_lineage
 
 REACH = 2
@@ -76,9 +77,11 @@ def _cell_in_reach(f: Column) -> Column:
 
 
 def _settle(blocks: pa.Table, tolerance: float) -> pa.Table:
-    """The own candidates of some blocks with their groups' first positions, null where an earlier neighbour is open."""
+    """The own candidates of some blocks with their groups' first positions, null where an earlier neighbour is open. ``by_open`` is true for all
+    rows in reach of a row that may be open after the round: an unsettled one, one after the last of its cell, or one of another block."""
     got = {c: blocks[c].to_numpy(zero_copy_only=False) for c in ("_bu", "_bv", "seq", "ra", "dec", "cu", "cv", "own", "last")}
-    first = _settle_clusters(got, tolerance)
+    place, width = _numbered_cells(got)
+    first = _settle_clusters(got, place, width, tolerance)
     slow = np.flatnonzero(first < -1)
     rows: dict[tuple[int, int], list[tuple]] = {}
     for at, bu, bv, *row in zip(slow.tolist(), *[got[c][slow].tolist() for c in got], strict=True):
@@ -87,21 +90,29 @@ def _settle(blocks: pa.Table, tolerance: float) -> pa.Table:
     for block in rows.values():
         for at, home in _settle_block(block, tolerance):
             first[at] = home
+    steps = np.array([du * width + dv for du in range(-REACH, REACH + 1) for dv in range(-REACH, REACH + 1)])
+    may_open = ~got["own"].astype(bool) | got["last"].astype(bool) | (first < 0)
+    by_open = np.isin(place, np.unique(np.unique(place[may_open])[:, None] + steps))
     own = np.flatnonzero(got["own"])
     home, known = first[own], first[own] >= 0
     columns = {c: pa.array(got[c][own]) for c in ("seq", "ra", "dec", "cu", "cv", "last")}
     columns |= {f"home_{c}": pa.array(got[c][np.maximum(home, 0)], mask=~known) for c in ("seq", "ra", "dec")}
-    return pa.table(columns)
+    return pa.table(columns | {"by_open": pa.array(by_open[own])})
 
 
-def _settle_clusters(got: dict[str, np.ndarray], tolerance: float) -> np.ndarray:
-    """For each row the row that founds its group: where a cluster of cells in reach of each other belongs to the block as a whole and its earliest row
-    matches all others; -2 elsewhere."""
+def _numbered_cells(got: dict[str, np.ndarray]) -> tuple[np.ndarray, int]:
+    """A number for the block and cell of each row, and the difference between cells side by side along the first axis."""
     pad = 2 * REACH
     width = SETTLE_CELLS + 2 * REACH + 2 * pad
     block = np.unique((got["_bu"] << 32) + got["_bv"], return_inverse=True)[1]
     across, along = got["cu"] - got["_bu"] * SETTLE_CELLS + pad, got["cv"] - got["_bv"] * SETTLE_CELLS + pad
-    cells, cell = np.unique((block * width + across) * width + along, return_inverse=True)
+    return (block * width + across) * width + along, width
+
+
+def _settle_clusters(got: dict[str, np.ndarray], place: np.ndarray, width: int, tolerance: float) -> np.ndarray:
+    """For each row the row that founds its group: where a cluster of cells in reach of each other belongs to the block as a whole and its earliest row
+    matches all others; -2 elsewhere."""
+    cells, cell = np.unique(place, return_inverse=True)
     pairs = []
     for step in [du * width + dv for du in range(REACH + 1) for dv in range(-REACH, REACH + 1) if (du, dv) > (0, 0)]:
         at = np.minimum(np.searchsorted(cells, cells + step), len(cells) - 1)
@@ -175,7 +186,7 @@ def _founders(open_rows: DataFrame, tolerance: float) -> DataFrame:
     sent = sent.withColumn("own", (F.col("_bu") == side(F.col("cu"))) & (F.col("_bv") == side(F.col("cv"))))
     calls = 1 + open_rows.count() // CALL_ROWS
     sent = sent.withColumn("_call", F.pmod(F.xxhash64("_bu", "_bv"), F.lit(calls)))
-    shape = "seq bigint, ra double, dec double, cu bigint, cv bigint, last boolean, home_seq bigint, home_ra double, home_dec double"
+    shape = "seq bigint, ra double, dec double, cu bigint, cv bigint, last boolean, home_seq bigint, home_ra double, home_dec double, by_open boolean"
     return sent.groupBy("_call").applyInArrow(lambda blocks: _settle(blocks, tolerance), shape)
 
 
@@ -197,7 +208,7 @@ def flat_groups(items: DataFrame, match: Callable[[Column], Column], tolerance:
     A round settles whole blocks and tells the homes of nearly all of their items; what it leaves meets the round's founders in a join: a covered item waits
     for the end, when all founders are known, the others form the next round.
     """
-    told, waiting, late_rows, open_rows = [], [], 0, items
+    told, founders, waiting, late_rows, open_rows = [], [], [], 0, items
     fixed = items.select("level", "ring").schema
     plane = lambda df: df.withColumn("level", F.lit(0).cast(fixed["level"].dataType)).withColumn("ring", F.lit(0).cast(fixed["ring"].dataType))
     shown = ["seq", "ra", "dec", "cu", "cv", "level", "ring"]
@@ -206,6 +217,8 @@ def flat_groups(items: DataFrame, match: Callable[[Column], Column], tolerance:
         seen = plane(cut_lineage(_founders(open_rows, tolerance)))
         known = seen.filter("home_seq is not null")
         told.append(known)
+        # What waits was open in the first round, so of its many founders only those near open rows are asked again.
+        founders.append(known.filter("seq = home_seq" if founders else "seq = home_seq and by_open"))
         rest = seen.filter("home_seq is null").select(*shown)
         full = seen.filter("last").select("cu", "cv", F.col("seq").alias("_last"))
         if not full.isEmpty():
@@ -218,7 +231,7 @@ def flat_groups(items: DataFrame, match: Callable[[Column], Column], tolerance:
         if known.isEmpty():
             raise RuntimeError("a round of grouping settled nothing")
         late_rows += left
-        rest = cut_lineage(_near_founders(rest, left, known.filter("seq = home_seq")).withColumn("covered", hit).drop("near"))
+        rest = cut_lineage(_near_founders(rest, left, founders[-1]).withColumn("covered", hit).drop("near"))
         waiting.append(rest.filter("covered").drop("covered"))
         open_rows = rest.filter("not covered").drop("covered")
         if open_rows.isEmpty():
@@ -228,13 +241,13 @@ def flat_groups(items: DataFrame, match: Callable[[Column], Column], tolerance:
     if not waiting:
         return every.select(*out)
     # Structs order by their first field, so the least one is the earliest founder.
-    late = _near_founders(reduce(DataFrame.unionByName, waiting), late_rows, every.filter("seq = home_seq")).withColumn("home", F.array_min(F.filter("near", match)))
+    late = _near_founders(reduce(DataFrame.unionByName, waiting), late_rows, reduce(DataFrame.unionByName, founders)).withColumn("home", F.array_min(F.filter("near", match)))
     late = late.select("ra", "dec", *[F.col(f"home.{c}").alias(f"group_{c}") for c in ("seq", "ra", "dec")])
     return every.select(*out).unionByName(late)
 
 
 def first_come_groups(items: DataFrame, grids: list[Column], shown: list[str], match: Callable[[Column], Column]) -> DataFrame:
-    """The sequential rule in parallel rounds: (seq, home) per item, where home is its group's first item.
+    """The sequential rule in parallel rounds: the ``shown`` columns and ``group_seq``, the number of the group's first item, per item.
 
     ``items``: unique ``seq``, own cell (level, cu, cv), ``kind`` so that items of one cell and kind always match,
     ``ring`` (cells around the circle, 0 without wrap), and the ``shown`` columns that ``match`` reads; a written table,
@@ -242,7 +255,7 @@ def first_come_groups(items: DataFrame, grids: list[Column], shown: list[str], m
     """
     views = F.array(*grids)
     one_grid = len(grids) == 1
-    founders = None
+    founders, told = [], []
     open_rows = items
     while True:
         first = open_rows.groupBy(*CELL, "ring", "kind").agg(F.min(F.struct("seq", *shown)).alias("c"))
@@ -256,11 +269,13 @@ def first_come_groups(items: DataFrame, grids: list[Column], shown: list[str], m
             sure = first.join(calm, "seq", "left_semi")
         sure = cut_lineage(sure)
         if one_grid:
-            founders, open_rows = _next_round(founders, sure, open_rows, views, shown, match)
+            founders.append(sure)
+            covered, open_rows = _next_round(sure, open_rows, views, shown, match)
+            told.append(covered)
         else:
             if sure.isEmpty() and not open_rows.isEmpty():
                 raise RuntimeError("a round of grouping settled nothing")
-            founders = sure if founders is None else founders.unionByName(sure)
+            founders.append(sure)
             near = _by_block(sure, shown)
             hit = F.coalesce(F.exists("near", match), F.lit(False))
             covered = _seen_from(open_rows, views).join(near, BLOCK).filter(hit).select("seq").distinct()
@@ -268,18 +283,28 @@ def first_come_groups(items: DataFrame, grids: list[Column], shown: list[str], m
         if open_rows.isEmpty():
             break
     # Structs order by their first field, so the least one is the earliest founder.
-    home = F.array_min(F.filter("near", match))
-    placed = _seen_from(items, views).join(_by_block(founders, shown), BLOCK).select("seq", home.alias("home")).filter("home is not null")
-    return placed if one_grid else placed.groupBy("seq").agg(F.min("home").alias("home"))
-
-
-def _next_round(founders, sure: DataFrame, open_rows: DataFrame, views: Column, shown: list[str], match) -> tuple[DataFrame, DataFrame]:
-    """All founders so far, and the rows that the new ones leave open."""
+    home = F.array_min(F.filter("near", match))["seq"]
+    if one_grid:
+        every = reduce(DataFrame.unionByName, told)
+        if len(told) == 1:
+            return every.select(*shown, "group_seq")
+        # A row that a round covers may still lie in reach of an earlier founder that a later round finds.
+        later = _by_block(reduce(DataFrame.unionByName, founders[1:]), shown)
+        return _seen_from(every, views).join(later, BLOCK, "left").select(*shown, F.least("group_seq", home).alias("group_seq"))
+    placed = _seen_from(items, views).join(_by_block(reduce(DataFrame.unionByName, founders), shown), BLOCK).select("seq", home.alias("group_seq"))
+    homes = placed.filter("group_seq is not null").groupBy("seq").agg(F.min("group_seq").alias("group_seq"))
+    return items.join(homes, "seq").select(*shown, "group_seq")
+
+
+def _next_round(sure: DataFrame, open_rows: DataFrame, views: Column, shown: list[str], match) -> tuple[DataFrame, DataFrame]:
+    """The rows that the new founders cover, each with the earliest of them as ``group_seq``, and the rows that stay open: one join, written once."""
     if sure.isEmpty() and not open_rows.isEmpty():
         raise RuntimeError("a round of grouping settled nothing")
-    hit = F.coalesce(F.exists("near", match), F.lit(False))
-    rest = _seen_from(open_rows, views).join(_by_block(sure, shown), BLOCK, "left").filter(~hit).select(*open_rows.columns)
-    return sure if founders is None else founders.unionByName(sure), cut_lineage(rest)
+    home = F.array_min(F.filter("near", match))["seq"]
+    kept = [c for c in open_rows.columns if c != "group_seq"]
+    met = _seen_from(open_rows, views).join(_by_block(sure, shown), BLOCK, "left").select(*kept, home.alias("group_seq"))
+    met = cut_lineage(met)
+    return met.filter("group_seq is not null"), met.filter("group_seq is null").drop("group_seq")
 
 
 def _finite(*columns: str) -> Column:
@@ -297,7 +322,12 @@ def group_detections(detections: DataFrame, arcsec: float = 1.0) -> DataFrame:
     ``detections`` needs a unique integer ``seq`` and (ra, dec); rows without a finite position come back with a null group. Runs
     a few rounds of jobs with checkpoints.
     """
-    whole, detections = detections, detections.filter(_finite("ra", "dec"))
+    return _with_groups(detections, _placed(detections, arcsec))
+
+
+def _placed(detections: DataFrame, arcsec: float) -> DataFrame:
+    """(ra, dec, group_seq, group_ra, group_dec) of every finite position of the detections (seq, ra, dec)."""
+    detections = detections.filter(_finite("ra", "dec"))
     side = arcsec / coords.ARCSEC / math.sqrt(2.0) * (1 - 1e-9)
     positions = (
         detections.groupBy("ra", "dec")
@@ -309,8 +339,12 @@ def group_detections(detections: DataFrame, arcsec: float = 1.0) -> DataFrame:
     )
     positions = cut_lineage(positions)
     match = lambda f: coords.flat_match(F.col("ra"), F.col("dec"), f["ra"], f["dec"], arcsec)
-    placed = flat_groups(positions, match, arcsec / coords.ARCSEC)
-    without = whole.filter(~_finite("ra", "dec"))
+    return flat_groups(positions, match, arcsec / coords.ARCSEC)
+
+
+def _with_groups(whole: DataFrame, placed: DataFrame) -> DataFrame:
+    """The detections with their positions' groups, null where a position is not finite."""
+    detections, without = whole.filter(_finite("ra", "dec")), whole.filter(~_finite("ra", "dec"))
     none = [F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in ("group_seq", "group_ra", "group_dec")]
     return detections.join(placed, ["ra", "dec"]).select(*whole.columns, "group_seq", "group_ra", "group_dec").unionByName(without.select("*", *none))
 
@@ -367,18 +401,17 @@ def group_by_footprint(detections: DataFrame, size_fraction: float = 0.5, size_f
         inside = (gap <= f["half_ra"]) & (F.abs(F.col("dec") - f["dec"]) <= f["half_dec"])
         return (f["seq"] <= F.col("seq")) & inside & coords.similar_size(f["size"], F.col("size"), size_fraction, size_floor)
 
-    homes = first_come_groups(items, grids, same, match)
-    placed = items.join(homes, "seq").select(*same, F.col("home.seq").alias("group_seq"))
+    placed = first_come_groups(items, grids, same, match)
     keys = [detections[c].eqNullSafe(placed[c]) for c in same]
     grouped = detections.join(placed, keys).select(*[detections[c] for c in detections.columns], "group_seq")
     return grouped.unionByName(whole.filter(~usable).withColumn("group_seq", F.lit(None).cast("bigint")))
 
 
 def with_group_ids(grouped: DataFrame) -> DataFrame:
-    """Adds ``group_id``: 1, 2, ... in order of first arrival. Writes the input once, as it is read twice."""
+    """Adds ``group_id``: 1, 2, ... in order of first arrival, null for rows without a group. Writes the input once, as it is read twice."""
     grouped = cut_lineage(grouped)
-    ids = renumber(grouped.select("group_seq").distinct(), [F.col("group_seq")], "group_id")
-    return grouped.join(ids.withColumn("group_id", F.col("group_id") + 1), "group_seq")
+    ids = renumber(grouped.filter("group_seq is not null").select("group_seq").distinct(), [F.col("group_seq")], "group_id")
+    return grouped.join(ids.withColumn("group_id", F.col("group_id") + 1), "group_seq", "left")
 
 
 def group_summary(grouped: DataFrame) -> DataFrame:
@@ -427,16 +460,14 @@ def instance_of(versions: DataFrame, lookups: DataFrame, tolerance_deg: float =
 
 
 def store_statistics(grouped: DataFrame) -> DataFrame:
-    """Totals over all groups; the ratio is 0 for an empty store."""
-    return grouped.agg(
-        F.countDistinct("group_seq").alias("total_groups"),
-        F.count("*").alias("total_instances"),
-        F.countDistinct("file").alias("files_processed"),
-        F.countDistinct("band").alias("unique_bands"),
-    ).withColumn(
-        "instances_per_group",
-        F.when(F.col("total_groups") > 0, F.col("total_instances") / F.col("total_groups")).otherwise(F.lit(0.0)),
-    )
+    """Totals over all groups; the ratio is 0 for an empty store. Writes the three columns it counts once: each count of different values is an
+    aggregate of its own, as several in one would copy every row for each of them."""
+    rows = cut_lineage(grouped.select("group_seq", "file", "band"))
+    totals = rows.agg(F.countDistinct("group_seq").alias("total_groups"), F.count("*").alias("total_instances"))
+    for column, name in (("file", "files_processed"), ("band", "unique_bands")):
+        totals = with_row(totals, rows.select(column).distinct().agg(F.count(column).alias(name)))
+    ratio = F.when(F.col("total_groups") > 0, F.col("total_instances") / F.col("total_groups")).otherwise(F.lit(0.0))
+    return totals.withColumn("instances_per_group", ratio)
 
 
 def attach_batch(known: DataFrame, batch: DataFrame, arcsec: float = 1.0) -> DataFrame:
@@ -453,5 +484,5 @@ def attach_batch(known: DataFrame, batch: DataFrame, arcsec: float = 1.0) -> Dat
     reached = batch.select(both("ra").alias("_u"), "dec").select("_u", both("dec").alias("_v"))
     near = cells(known, "group_ra", "group_dec").join(reached.distinct().hint("merge"), ["_u", "_v"], "left_semi")
     old = near.select(F.col("group_seq").alias("seq"), F.col("group_ra").alias("ra"), F.col("group_dec").alias("dec"))
-    marked = batch.withColumn("_new", F.lit(True)).unionByName(old.withColumn("_new", F.lit(False)), allowMissingColumns=True)
-    return group_detections(marked, arcsec).filter("_new").drop("_new")
+    # The founders only take part in the grouping; the batch alone is joined with what it told.
+    return _with_groups(batch, _placed(batch.select("seq", "ra", "dec").unionByName(old), arcsec))
