@@ -164,7 +164,8 @@ def group_stream(detections: DataFrame, store: str | None = None, arcsec: float
     spark = detections.sparkSession
     base = store or f"{shared_dir(spark).rstrip('/')}/skytable-groups-{uuid.uuid4().hex}"
     rows, founders = f"{base}/rows", f"{base}/founders"
-    empty = spark.createDataFrame([], "group_seq long, group_ra double, group_dec double")
+    # A range without rows is made by no Python worker.
+    empty = spark.range(0).selectExpr("id as group_seq", "cast(id as double) as group_ra", "cast(id as double) as group_dec")
     layout = "group_seq long, group_ra double, group_dec double, batch long, band long"
     band = lambda dec: F.floor(F.col(dec) / BAND_DEGREES)
 
