@@ -136,7 +136,8 @@ def raise_size(spark, folder):
     GROUPED + "select group_seq, seq, band, file, row_number() over (partition by group_seq order by seq) as version from f",
 )
 def instances(spark, folder):
-    return grouping.group_instances(grouping.group_detections(detections(spark, folder), 1.0)).select("group_seq", "seq", "band", "file", "version")
+    grouped = grouping.group_detections(detections(spark, folder), 1.0).select("group_seq", "seq", "band", "file")
+    return grouping.group_instances(grouped).select("group_seq", "seq", "band", "file", "version")
 
 
 @R.add(
