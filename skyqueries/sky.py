@@ -125,7 +125,8 @@ def group_ids(spark, folder):
     GROUPED + "select group_seq, max(case when file = 'F' then height end) as first_height, max(height) as max_height from f group by 1 having count(*) filter (where file = 'F') > 0",
 )
 def raise_size(spark, folder):
-    g = grouping.group_detections(detections(spark, folder), 1.0)
+    # Read twice below.
+    g = cut_lineage(grouping.group_detections(detections(spark, folder), 1.0).select("group_seq", "group_ra", "group_dec", "file", "height", "width"))
     start = grouping.group_summary(g.filter("file = 'F'")).withColumn("first_height", F.col("max_height"))
     return grouping.raise_group_size(start, g.filter("file <> 'F'")).select("group_seq", "first_height", "max_height")
 
