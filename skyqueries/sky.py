@@ -116,7 +116,9 @@ def group_summary(spark, folder):
 
 @R.add("D1_group_ids", ["detections"], GROUPED + "select seq, dense_rank() over (order by group_seq) as group_id from f")
 def group_ids(spark, folder):
-    return grouping.with_group_ids(grouping.group_detections(detections(spark, folder), 1.0)).select("seq", "group_id")
+    # What is not asked for need not be written.
+    grouped = grouping.group_detections(detections(spark, folder), 1.0).select("seq", "group_seq")
+    return grouping.with_group_ids(grouped).select("seq", "group_id")
 
 
 @R.add(
