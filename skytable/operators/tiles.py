@@ -217,40 +217,68 @@ FLUX_REACH, PSF_REACH, REACH_ENDS, KRON_REACH = 6.0, 8.0, (5.0, 200.0), 6.0
 _CIRCLES = ["inner", "outer", "flux", "half"]
 
 
-def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A tile and the sums of each row up to each column."""
-    before = np.zeros((values.shape[0], values.shape[1] + 1))
-    np.cumsum(values, axis=1, out=before[:, 1:])
-    return values, before
+# So many pixels of apertures are measured in one call.
+CALL_PIXELS = 1 << 20
 
 
-def _aperture(values: np.ndarray, before: np.ndarray, y0: int, x0: int, s: dict) -> tuple | None:
-    """The parts of a detection's sums that lie in one tile; a circle takes one difference of prefix sums for each row."""
-    rows, cols = values.shape
-    ya, yb = max(y0, int(np.ceil(s["y"] - s["reach"]))), min(y0 + rows - 1, int(np.floor(s["y"] + s["reach"])))
-    xa, xb = max(x0, int(np.ceil(s["x"] - s["reach"]))), min(x0 + cols - 1, int(np.floor(s["x"] + s["reach"])))
-    if ya > yb or xa > xb:
-        return None
-    dy = np.arange(ya, yb + 1) - s["y"]
-
-    def circle(radius: float) -> float:
-        inside = np.flatnonzero(np.abs(dy) <= radius)
-        half = np.sqrt(radius * radius - dy[inside] ** 2)
-        low = np.clip(np.ceil(s["x"] - half).astype(int) - x0, 0, cols)
-        high = np.clip(np.floor(s["x"] + half).astype(int) + 1 - x0, 0, cols)
-        line = inside + ya - y0
-        return float((before[line, np.maximum(low, high)] - before[line, low]).sum())
-
-    sums = [circle(s[f"r_{c}"]) for c in _CIRCLES]
-    part = values[ya - y0 : yb - y0 + 1, xa - x0 : xb - x0 + 1]
-    wide, high = np.broadcast_arrays((np.arange(xa, xb + 1) - s["x"])[None, :], dy[:, None])
+def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers ``first`` to ``first + count - 1`` of every entry, and the entry of each number."""
+    entry = np.repeat(np.arange(len(count)), count)
+    return np.arange(len(entry)) - (np.cumsum(count) - count)[entry] + first[entry], entry
+
+
+def _apertures(tiles: list[np.ndarray], tile: np.ndarray, place: dict[str, np.ndarray], s: dict[str, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, tuple]:
+    """The parts of detections' sums that lie in one tile each, for all of them at once: ``tile`` and ``place`` (y0, x0, rows, cols) tell each detection's.
+
+    Sums (circles, then the two Kron sums) by detection, which detections reach their tile, and the light by squared distance: (detection, distance, light)
+    in order. A circle takes one difference of prefix sums for each row.
+    """
+    n, ends = len(tile), []
+    for at, start, size in (("y", "y0", "rows"), ("x", "x0", "cols")):
+        low = np.maximum(place[start], np.ceil(s[at] - s["reach"]).astype(np.int64))
+        high = np.minimum(place[start] + place[size] - 1, np.floor(s[at] + s["reach"]).astype(np.int64))
+        ends += [low, np.maximum(high - low + 1, 0)]
+    ya, tall, xa, broad = ends
+    reached = (tall > 0) & (broad > 0)
+    tall = np.where(reached, tall, 0)
+    sizes = np.array([t.size for t in tiles], dtype=np.int64)
+    flat, starts = np.concatenate([t.ravel() for t in tiles]), (np.cumsum(sizes) - sizes)[tile]
+    # Every row of a tile has one prefix sum more than pixels.
+    before = [np.zeros((t.shape[0], t.shape[1] + 1)) for t in tiles]
+    for t, sums in zip(tiles, before, strict=True):
+        np.cumsum(t, axis=1, out=sums[:, 1:])
+    longer = np.array([t.size for t in before], dtype=np.int64)
+    runs, run_starts = np.concatenate([t.ravel() for t in before]), (np.cumsum(longer) - longer)[tile]
+
+    y, of = _ranges(ya, tall)
+    dy, line = y - s["y"][of], run_starts[of] + (y - place["y0"][of]) * (place["cols"][of] + 1)
+    sums = []
+    for c in _CIRCLES:
+        radius, cols = s[f"r_{c}"][of], place["cols"][of]
+        inside = np.abs(dy) <= radius
+        half = np.sqrt(np.maximum(radius * radius - dy**2, 0.0))
+        low = np.clip(np.ceil(s["x"][of] - half).astype(np.int64) - place["x0"][of], 0, cols)
+        high = np.clip(np.floor(s["x"][of] + half).astype(np.int64) + 1 - place["x0"][of], 0, cols)
+        light = runs[line + np.maximum(low, high)] - runs[line + low]
+        sums.append(np.bincount(of[inside], light[inside], n))
+
+    x, row = _ranges(xa[of], broad[of])
+    of, y = of[row], y[row]
+    v = flat[starts[of] + (y - place["y0"][of]) * place["cols"][of] + x - place["x0"][of]]
+    wide, high = x - s["x"][of], dy[row]
     square = wide * wide + high * high
-    near = square <= max(s["r_flux"], s["r_half"]) ** 2
-    at, place = np.unique(square[near], return_inverse=True)
-    cos, sin = np.cos(s["theta"]), np.sin(s["theta"])
-    ell = np.sqrt(((wide * cos + high * sin) / max(s["a"], 0.01)) ** 2 + ((high * cos - wide * sin) / max(s["b"], 0.01)) ** 2)
-    held = (ell <= KRON_REACH) & (square <= s["reach"] ** 2)
-    return sums, float((ell * part)[held].sum()), float(part[held].sum()), at, np.bincount(place, part[near], len(at))
+    cos, sin = np.cos(s["theta"])[of], np.sin(s["theta"])[of]
+    a, b = np.maximum(s["a"], 0.01)[of], np.maximum(s["b"], 0.01)[of]
+    ell = np.sqrt(((wide * cos + high * sin) / a) ** 2 + ((high * cos - wide * sin) / b) ** 2)
+    held = (ell <= KRON_REACH) & (square <= s["reach"][of] ** 2)
+    sums += [np.bincount(of[held], (ell * v)[held], n), np.bincount(of[held], v[held], n)]
+    near = square <= np.maximum(s["r_flux"], s["r_half"])[of] ** 2
+    of, square, v = of[near], square[near], v[near]
+    order = np.lexsort((square, of))
+    of, square, v = of[order], square[order], v[order]
+    new = np.ones(len(of), dtype=bool)
+    new[1:] = (of[1:] != of[:-1]) | (square[1:] != square[:-1])
+    return sums, reached, (of[new], square[new], np.bincount(np.cumsum(new) - 1, v, int(new.sum())))
 
 
 def aperture_measures(detections: DataFrame, tiles: DataFrame, psf: DataFrame | None = None, tile: int = TILE) -> DataFrame:
@@ -266,7 +294,9 @@ def aperture_measures(detections: DataFrame, tiles: DataFrame, psf: DataFrame |
     inner, outer = (F.when(F.col("fwhm").isNull(), F.lit(plain)).otherwise(F.greatest(F.lit(ends[0]), ends[1] * F.col("fwhm"))) for ends, plain in zip((PSF_INNER, PSF_OUTER), PLAIN_RADII, strict=True))
     known = known.select("*", inner.alias("r_inner"), outer.alias("r_outer"), reach(FLUX_REACH).alias("r_flux"), reach(PSF_REACH).alias("r_half"))
     known = known.withColumn("reach", F.greatest("r_outer", "r_flux", "r_half"))
-    span = lambda at: F.explode(F.sequence(F.floor((F.col(at) - F.col("reach")) / tile).cast("int"), F.floor((F.col(at) + F.col("reach")) / tile).cast("int")))
+    # An image has no tiles before 0.
+    known = known.filter((F.col("x") + F.col("reach") >= 0) & (F.col("y") + F.col("reach") >= 0))
+    span = lambda at: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(at) - F.col("reach")) / tile).cast("int")), F.floor((F.col(at) + F.col("reach")) / tile).cast("int")))
     spot = ["object", "x", "y", "a", "b", "theta", "reach", *[f"r_{c}" for c in _CIRCLES]]
     asked = known.withColumn("ty", span("y")).withColumn("tx", span("x"))
     asked = asked.select("image_id", "ty", "tx", F.struct(*spot).alias("spot"))
@@ -276,24 +306,41 @@ def aperture_measures(detections: DataFrame, tiles: DataFrame, psf: DataFrame |
     both = held.unionByName(asked, allowMissingColumns=True).repartition("image_id", "ty", "tx").sortWithinPartitions("image_id", "ty", "tx", F.col("spot").isNotNull())
     id_type, object_type = (dict(known.dtypes)[c] for c in ("image_id", "object"))
 
+    def told(batch: pa.RecordBatch, rows: list[int], of: list[int], tiles: list[np.ndarray], places: list[dict]) -> pa.RecordBatch:
+        """The parts of the spots in some rows of a batch, each with the number of its tile."""
+        picked = batch.take(pa.array(rows, pa.int64())).column("spot")
+        number = {c: picked.field(c).to_numpy(zero_copy_only=False) for c in spot[1:]}
+        place = {c: np.array([places[i][c] for i in of], dtype=np.int64) for c in _PLACE[2:]}
+        sums, reached, (owner, square, light) = _apertures(tiles, np.array(of, dtype=np.int64), place, number)
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(rows)))]), pa.int32())
+        columns = [batch.column("image_id").take(pa.array(rows, pa.int64())), *[picked.field(c) for c in ("object", "r_flux", "r_half")], *[pa.array(v, pa.float64()) for v in sums]]
+        columns += [pa.ListArray.from_arrays(ends, pa.array(v, pa.float64())) for v in (square, light)]
+        names = ["image_id", "object", "r_flux", "r_half", *_CIRCLES, "kron_top", "kron_bottom", "at", "light"]
+        return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(reached))
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, values, place = None, None, None
         for batch in batches:
-            spots, places, rows, found = batch.column("spot").to_pylist(), batch.column("place").to_pylist(), [], []
+            is_tile = batch.column("spot").is_null().to_pylist()
+            reaches = batch.column("spot").field("reach").to_pylist()
+            places, rows, of, tiles, at, pixels = batch.column("place").to_pylist(), [], [], [], [], 0
             for k, own in enumerate(zip(*[batch.column(c).to_pylist() for c in ("image_id", "ty", "tx")], strict=True)):
-                if spots[k] is None:
+                if is_tile[k]:
                     key, place = own, places[k]
-                    values = _prefixed(np.asarray(batch.column("values")[k].values).reshape(place["rows"], place["cols"]))
-                elif own == key and (part := _aperture(*values, place["y0"], place["x0"], spots[k])):
+                    values = np.asarray(batch.column("values")[k].values).reshape(place["rows"], place["cols"])
+                elif own == key:
+                    if not tiles or tiles[-1] is not values:
+                        tiles.append(values)
+                        at.append(place)
+                        pixels += values.size
                     rows.append(k)
-                    found.append(part)
-            picked = batch.take(pa.array(rows, pa.int64()))
-            field = lambda c: picked.column("spot").field(c)  # noqa: B023, E731
-            numbers = [pa.array([f[0][i] for f in found], pa.float64()) for i in range(len(_CIRCLES))] + [pa.array([f[i] for f in found], pa.float64()) for i in (1, 2)]
-            lists = [pa.array([f[i].tolist() for f in found], pa.list_(pa.float64())) for i in (3, 4)]
-            yield pa.RecordBatch.from_arrays(
-                [picked.column("image_id"), field("object"), field("r_flux"), field("r_half"), *numbers, *lists], ["image_id", "object", "r_flux", "r_half", *_CIRCLES, "kron_top", "kron_bottom", "at", "light"]
-            )
+                    of.append(len(tiles) - 1)
+                    pixels += min(values.size, int(2 * reaches[k] + 1) ** 2)
+                    if pixels >= CALL_PIXELS:
+                        yield told(batch, rows, of, tiles, at)
+                        rows, of, tiles, at, pixels = [], [], [], [], 0
+            if rows:
+                yield told(batch, rows, of, tiles, at)
 
     numbers = ", ".join(f"{c} double" for c in ["r_flux", "r_half", *_CIRCLES, "kron_top", "kron_bottom"])
     parts = both.mapInArrow(measure, f"image_id {id_type}, object {object_type}, {numbers}, at array<double>, light array<double>")
