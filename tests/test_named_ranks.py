@@ -64,3 +64,10 @@ def test_validation_sizes(spark, folder):
     names = rows.withColumn("b", sampling.observed_bin(F.col("p"), F.lit(0.0), F.lit(1.0)))
     quota = {r.b: max(1, int(r.n * 0.2)) for r in names.groupBy("b").agg(F.count("*").alias("n")).collect()}
     assert {r.b: r.n for r in names.join(held, "name").groupBy("b").agg(F.count("*").alias("n")).collect()} == quota and 1 in quota.values()
+
+
+def test_bucket_split_sizes(spark, folder):
+    agree(spark, folder, "E7_bucket_split_sizes")
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet").withColumn("p", F.col("l_discount") * 10)
+    split = sampling.bucket_split(rows, "p", ["l_orderkey", "l_linenumber"], 5)
+    assert split.columns == [*rows.columns, "split"] and split.drop("split").exceptAll(rows).count() == 0 and split.count() == rows.count()
