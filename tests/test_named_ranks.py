@@ -71,3 +71,7 @@ def test_bucket_split_sizes(spark, folder):
     rows = spark.read.parquet(f"{folder}/lineitem.parquet").withColumn("p", F.col("l_discount") * 10)
     split = sampling.bucket_split(rows, "p", ["l_orderkey", "l_linenumber"], 5)
     assert split.columns == [*rows.columns, "split"] and split.drop("split").exceptAll(rows).count() == 0 and split.count() == rows.count()
+
+
+def test_deficit_sizes(spark, folder):
+    agree(spark, folder, "E8_deficit_sizes")
