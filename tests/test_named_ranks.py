@@ -75,3 +75,7 @@ def test_bucket_split_sizes(spark, folder):
 
 def test_deficit_sizes(spark, folder):
     agree(spark, folder, "E8_deficit_sizes")
+
+
+def test_importance_properties(spark, folder):
+    agree(spark, folder, "F4_importance_properties")
