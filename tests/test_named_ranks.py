@@ -79,3 +79,10 @@ def test_deficit_sizes(spark, folder):
 
 def test_importance_properties(spark, folder):
     agree(spark, folder, "F4_importance_properties")
+
+
+def test_feature_importance(spark, folder):
+    got = rows_of(spark, folder, "F4_feature_importance")
+    # The target is made of the discount and a little of the tax.
+    assert {r["feature"] for r in got} == {"l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"} and sum(r["importance"] for r in got) == pytest.approx(1)
+    assert [r["feature"] for r in got][0] == "l_discount" and got[0]["importance"] > 0.8
