@@ -86,3 +86,17 @@ def test_feature_importance(spark, folder):
     # The target is made of the discount and a little of the tax.
     assert {r["feature"] for r in got} == {"l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"} and sum(r["importance"] for r in got) == pytest.approx(1)
     assert [r["feature"] for r in got][0] == "l_discount" and got[0]["importance"] > 0.8
+
+
+def test_training_set(spark, folder):
+    got = {r["bin"]: r["n"] for r in rows_of(spark, folder, "L13_G4_training_set")}
+    p = {k: (k * 37) % 101 / 1e2 for k in range(1, 61)}
+    bins = pd.Series({k: min(int(np.floor(v * 10)), 9) for k, v in p.items()})
+    lines = pd.read_parquet(f"{folder}/lineitem.parquet")
+    top = bins.value_counts().max()
+    held = entry.queries()["L13_G4_training_set_validation_size"](spark, folder).first().n
+    lack = top - bins.value_counts().reindex(range(10), fill_value=0)
+    offered = lines.l_partkey[lines.l_partkey <= 60].map(bins).value_counts().reindex(range(10), fill_value=0)
+    # Every bin is filled up as far as there are variations; which of them are held back is drawn.
+    assert (offered > 20).all() and sum(got.values()) == 60 - held + lack.sum()
+    assert all(got[b] <= top and got[b] >= lack[b] for b in got)
