@@ -100,3 +100,7 @@ def test_training_set(spark, folder):
     # Every bin is filled up as far as there are variations; which of them are held back is drawn.
     assert (offered > 20).all() and sum(got.values()) == 60 - held + lack.sum()
     assert all(got[b] <= top and got[b] >= lack[b] for b in got)
+
+
+def test_training_set_validation_size(spark, folder):
+    agree(spark, folder, "L13_G4_training_set_validation_size")
