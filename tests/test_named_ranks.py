@@ -104,3 +104,7 @@ def test_training_set(spark, folder):
 
 def test_training_set_validation_size(spark, folder):
     agree(spark, folder, "L13_G4_training_set_validation_size")
+
+
+def test_forest_metric_properties(spark, folder):
+    agree(spark, folder, "L4_D8_forest_metric_properties")
