@@ -108,3 +108,7 @@ def test_training_set_validation_size(spark, folder):
 
 def test_forest_metric_properties(spark, folder):
     agree(spark, folder, "L4_D8_forest_metric_properties")
+
+
+def test_forest_with_spread(spark, folder):
+    agree(spark, folder, "L4_L9_forest_with_spread")
