@@ -112,3 +112,16 @@ def test_forest_metric_properties(spark, folder):
 
 def test_forest_with_spread(spark, folder):
     agree(spark, folder, "L4_L9_forest_with_spread")
+
+
+def split_sizes(folder):
+    """Rows of the two splits of ``least(1, 8 * discount + tax)`` in two buckets."""
+    lines = pd.read_parquet(f"{folder}/lineitem.parquet")
+    high = (np.minimum(1.0, lines.l_discount * 8 + lines.l_tax) >= 0.5).sum()
+    keep = int(min(high, len(lines) - high) * 0.8)
+    return {"train": 2 * keep, "test": len(lines) - 2 * keep}
+
+
+def test_forest_metrics(spark, folder):
+    got = rows_of(spark, folder, "L4_D8_forest_metrics")
+    assert {r["split"]: r["n"] for r in got} == split_sizes(folder) and all(0.8 < r["r2"] <= 1 and r["mae"] <= r["rmse"] for r in got)
