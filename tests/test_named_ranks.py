@@ -125,3 +125,7 @@ def split_sizes(folder):
 def test_forest_metrics(spark, folder):
     got = rows_of(spark, folder, "L4_D8_forest_metrics")
     assert {r["split"]: r["n"] for r in got} == split_sizes(folder) and all(0.8 < r["r2"] <= 1 and r["mae"] <= r["rmse"] for r in got)
+
+
+def test_boosted_metric_properties(spark, folder):
+    agree(spark, folder, "L5_boosted_metric_properties")
