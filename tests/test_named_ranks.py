@@ -134,3 +134,7 @@ def test_boosted_metric_properties(spark, folder):
 def test_boosted_metrics(spark, folder):
     got = rows_of(spark, folder, "L5_boosted_metrics")
     assert {r["split"]: r["n"] for r in got} == split_sizes(folder) and all(0.9 < r["r2"] <= 1 and r["mae"] <= r["rmse"] for r in got)
+
+
+def test_grid_properties(spark, folder):
+    agree(spark, folder, "L6_grid_properties")
