@@ -138,3 +138,9 @@ def test_boosted_metrics(spark, folder):
 
 def test_grid_properties(spark, folder):
     agree(spark, folder, "L6_grid_properties")
+
+
+def test_grid_search(spark, folder):
+    got = rows_of(spark, folder, "L6_grid_search")
+    assert {(r["trees"], r["features"], r["buckets"]) for r in got} == {(t, f, b) for t in (5, 10) for f in (2, 4) for b in (1, 2)} and len(got) == 8
+    assert all(r["status"] == "success" and r["error"] is None and r["train_r2"] <= 1 and r["val_rmse"] >= 0 for r in got)
