@@ -144,3 +144,12 @@ def test_grid_search(spark, folder):
     got = rows_of(spark, folder, "L6_grid_search")
     assert {(r["trees"], r["features"], r["buckets"]) for r in got} == {(t, f, b) for t in (5, 10) for f in (2, 4) for b in (1, 2)} and len(got) == 8
     assert all(r["status"] == "success" and r["error"] is None and r["train_r2"] <= 1 and r["val_rmse"] >= 0 for r in got)
+
+
+def test_cross_validation(spark, folder):
+    agree(spark, folder, "L7_cross_validation")
+    rows = spark.read.parquet(f"{folder}/labels.parquet")
+    dealt = sampling.fold_number(rows, "quality", ["doc_id"]).groupBy("quality", "fold").agg(F.count("*").alias("n")).collect()
+    for label in (0, 1):
+        sizes = [r.n for r in dealt if r.quality == label]
+        assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1 and sum(sizes) == rows.filter(F.col("quality") == label).count()
